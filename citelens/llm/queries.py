@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelens.llm import site_lines
+from citelens.llm import main_text, site_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def p1_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.block_table(_table(spark, folder, "page_content"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.body_lines(_table(spark, folder, "page_content"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
