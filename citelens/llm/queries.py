@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelens.llm import main_text, site_lines
+from citelens.llm import main_text, shared_spans, site_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.body_lines(_table(spark, folder, "page_content"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.shared_pairs(
+        _table(spark, folder, "passage_matches_ngram"), _table(spark, folder, "page_content")
+    )
+
+
+def p6_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans.shared_sizes(
+        _table(spark, folder, "passage_matches_ngram"), _table(spark, folder, "page_content")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
