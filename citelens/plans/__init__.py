@@ -1 +1,3 @@
-"""citelens.plans"""
+"""Queries: what a user runs, composed from the operators."""
+
+from citelens.plans import nested_queries  # noqa: F401
