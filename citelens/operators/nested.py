@@ -14,15 +14,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A container still to open: its members are cast once, when it is met.
 _VALUE = T.StructType(
-    [T.StructField("path", T.StringType()), T.StructField("parent", T.StringType()), T.StructField("v", T.VariantType())]
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("parent", T.StringType()),
+        T.StructField("fields", T.MapType(T.StringType(), T.VariantType())),
+        T.StructField("elements", T.ArrayType(T.VariantType())),
+    ]
 )
 _OBJECT = T.StructType(
     [T.StructField("node", T.StringType()), T.StructField("parent", T.StringType()), T.StructField("v", T.VariantType())]
 )
-_STATE = T.StructType(
-    [T.StructField("open", T.ArrayType(_VALUE)), T.StructField("met", T.ArrayType(_OBJECT))]
-)
+_STATE = T.StructType([T.StructField("open", T.ArrayType(_VALUE)), T.StructField("met", T.ArrayType(_OBJECT))])
 
 
 def valid_json(body: Column) -> Column:
@@ -44,65 +48,58 @@ def _elements(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def _children(value: Column) -> Column:
-    """The values within an object or array; each element that is an object becomes the parent of what it holds."""
+def _value(path: Column, parent: Column, v: Column, element: bool, payload: bool) -> Column:
+    return F.struct(
+        path.alias("path"),
+        parent.alias("parent"),
+        _fields(v).alias("fields"),
+        _elements(v).alias("elements"),
+        F.lit(element).alias("element"),
+        (v if payload else F.lit(None).cast("variant")).alias("v"),
+    )
+
+
+def _children(value: Column, payload: bool) -> Column:
+    """The values within an object or array."""
+    prefix = F.when(value["path"] == "", F.lit("")).otherwise(F.concat(value["path"], F.lit(".")))
     fields = F.transform(
-        F.map_entries(_fields(value["v"])),
-        lambda kv: F.struct(
-            F.when(value["path"] == "", kv["key"]).otherwise(F.concat(value["path"], F.lit("."), kv["key"])).alias("path"),
-            value["parent"].alias("parent"),
-            kv["value"].alias("v"),
-            F.lit(False).alias("element"),
-        ),
+        F.map_entries(value["fields"]),
+        lambda kv: _value(F.concat(prefix, kv["key"]), value["parent"], kv["value"], False, payload),
     )
     elements = F.transform(
-        _elements(value["v"]),
-        lambda x, i: F.struct(
-            F.concat(value["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
-            value["parent"].alias("parent"),
-            x.alias("v"),
-            F.lit(True).alias("element"),
+        value["elements"],
+        lambda x, i: _value(
+            F.concat(value["path"], F.lit("["), i.cast("string"), F.lit("]")), value["parent"], x, True, payload
         ),
     )
     return F.coalesce(fields, elements, F.array())
 
 
 def _step(state: Column, payload: bool) -> Column:
+    """Open the state's containers; an element that is an object is met and becomes the parent of what it holds."""
     below = F.filter(
-        F.flatten(F.transform(state["open"], _children)),
-        lambda x: _fields(x["v"]).isNotNull() | _elements(x["v"]).isNotNull(),
-    )
-    marked = F.transform(
-        below,
-        lambda x: F.struct(
-            x["path"].alias("path"),
-            x["parent"].alias("parent"),
-            x["v"].alias("v"),
-            (x["element"] & _fields(x["v"]).isNotNull()).alias("met"),
-        ),
+        F.flatten(F.transform(state["open"], lambda x: _children(x, payload))),
+        lambda x: x["fields"].isNotNull() | x["elements"].isNotNull(),
     )
-    # An array holds one struct, so that the marked values are worked out once for both uses.
+    # An array holds the opened containers, so that they are worked out once for both uses.
     return F.element_at(
         F.transform(
-            F.array(marked),
+            F.array(below),
             lambda all_: F.struct(
                 F.transform(
                     all_,
                     lambda x: F.struct(
                         x["path"].alias("path"),
-                        F.when(x["met"], x["path"]).otherwise(x["parent"]).alias("parent"),
-                        x["v"].alias("v"),
+                        F.when(x["element"] & x["fields"].isNotNull(), x["path"]).otherwise(x["parent"]).alias("parent"),
+                        x["fields"].alias("fields"),
+                        x["elements"].alias("elements"),
                     ),
                 ).alias("open"),
                 F.concat(
                     state["met"],
                     F.transform(
-                        F.filter(all_, lambda x: x["met"]),
-                        lambda x: F.struct(
-                            x["path"].alias("node"),
-                            x["parent"].alias("parent"),
-                            (x["v"] if payload else F.lit(None).cast("variant")).alias("v"),
-                        ),
+                        F.filter(all_, lambda x: x["element"] & x["fields"].isNotNull()),
+                        lambda x: F.struct(x["path"].alias("node"), x["parent"].alias("parent"), x["v"].alias("v")),
                     ),
                 ).alias("met"),
             ),
@@ -121,10 +118,13 @@ def object_nodes(df: DataFrame, key: str, body: str, payload: bool = False) -> D
     """
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # valid JSON may repeat a name
     root = df.select(F.col(key), F.col(body).alias("text"), valid_json(F.col(body)).alias("root")).where("root is not null")
-    start = F.struct(
-        F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("parent"), F.col("root").alias("v"))).alias("open"),
-        F.array().cast(T.ArrayType(_OBJECT)).alias("met"),
-    ).cast(_STATE)
+    whole = F.struct(
+        F.lit("").alias("path"),
+        F.lit("").alias("parent"),
+        _fields(F.col("root")).alias("fields"),
+        _elements(F.col("root")).alias("elements"),
+    )
+    start = F.struct(F.array(whole).alias("open"), F.array().cast(T.ArrayType(_OBJECT)).alias("met")).cast(_STATE)
     levels = F.length("text") - F.length(F.translate("text", "[{", "")) + 1  # no body is deeper than it has brackets
     met = F.aggregate(
         F.sequence(F.lit(1), levels),
