@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelens.llm import main_text, shared_spans, site_lines
+from citelens.llm import copies, main_text, shared_spans, site_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,14 @@ def p1_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.block_table(_table(spark, folder, "page_content"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.copies(_table(spark, folder, "candidates"), _table(spark, folder, "label_validation"))
+
+
+def p3_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.collapsed(_table(spark, folder, "candidates"), _table(spark, folder, "label_validation"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.body_lines(_table(spark, folder, "page_content"))
 
