@@ -29,7 +29,7 @@ from citelens.staging import spread, stage
 
 _WORD = re.compile(r"[^\W_]+")
 _LABEL = re.compile(r"\[[^\]]*\]\s*\((.*)\)", re.S)
-_OPENERS = "<(\"'[„“‚‘«‹»›`"
+_OPENERS = "<(\"'„“‚‘«‹»›`"
 _CLOSERS = ">\"'“”‘’«»‹›`]"
 _PUNCTUATION = ".,;:!?…"
 _SCHEME = re.compile(r"(?:[a-z][a-z0-9+.\-]*:)?//", re.I)
@@ -51,16 +51,17 @@ def _unwrap(text: str) -> str:
     """Without the white space, brackets, quotes, link label and final punctuation around a url."""
     while True:
         before = text
-        text = text.strip()
+        text = text.strip().rstrip(_PUNCTUATION).lstrip(_OPENERS)
         label = _LABEL.fullmatch(text)
         if label:
             text = label[1]
-        text = text.lstrip(_OPENERS).rstrip(_PUNCTUATION)
+        elif text[:1] == "[" and "](" not in text:
+            text = text[1:]
         if text[-1:] in _CLOSERS:
             text = text[:-1]
         elif text[-1:] == ")" and text.count(")") > text.count("("):
             text = text[:-1]
-        elif text[-1:] == "/" and (len(text) > 1 and (text[-2].isspace() or text[-2] in _CLOSERS + ")")):
+        elif text[-1:] == "/" and ("?" not in text or text[-2:-1].isspace() or text[-2:-1] in _CLOSERS + ")"):
             text = text[:-1]
         if text == before:
             return text
