@@ -171,19 +171,16 @@ def classes(records: DataFrame) -> DataFrame:
     )
     ends: dict[int, list] = {}
     for x in runs.where("edge is not null").collect():  # at most two rows of each partition
-        end = ends.setdefault(x["part"], [None, None, None, None])
-        if x["head"] and (end[1] is None or x["row_id"] < end[1]):
-            end[0], end[1] = x["edge"], x["row_id"]
-        if end[3] is None or not x["head"] or x["first_id"] == end[1]:
-            end[2], end[3] = x["edge"], x["first_id"]
+        ends.setdefault(x["part"], []).append(x)
     true_first, last_key, last_first = [], None, None
     for part in sorted(ends):
-        head_key, _, tail_key, tail_first = ends[part]
-        if head_key == last_key and last_first is not None:
-            true_first.append((part, last_first))
-            if tail_key == head_key:
-                tail_first = last_first
-        last_key, last_first = tail_key, tail_first
+        head = next(x for x in ends[part] if x["head"])
+        tail = next((x for x in ends[part] if not x["head"]), None)
+        first = head["first_id"]
+        if head["edge"] == last_key:
+            first = last_first
+            true_first.append((part, first))
+        last_key, last_first = (tail["edge"], tail["first_id"]) if tail else (head["edge"], first)
     if not true_first:
         return runs.select("table_name", "row_id", "first_id")
     mended = F.broadcast(spark.createDataFrame(true_first, "part int, mended bigint").withColumn("head", F.lit(True)))
