@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelens.llm import copies, main_text, shared_spans, site_lines
+from citelens.llm import copies, group_split, main_text, shared_spans, site_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,20 @@ def p3_collapsed(spark: SparkSession, folder: str) -> DataFrame:
     return copies.collapsed(_table(spark, folder, "candidates"), _table(spark, folder, "label_validation"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return group_split.tied_sets(_table(spark, folder, "label_validation")).select("row_id", "set_domain")
+
+
+def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return group_split.grouped_splits(
+        _table(spark, folder, "label_validation"), _table(spark, folder, "split_shares")
+    )
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    return group_split.split_report(_table(spark, folder, "label_validation"), _table(spark, folder, "split_shares"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.body_lines(_table(spark, folder, "page_content"))
 
