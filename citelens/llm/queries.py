@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelens.llm import copies, group_split, main_text, shared_spans, site_lines
+from citelens.llm import copies, encoding_repair, group_split, main_text, shared_spans, site_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,14 @@ def p6_sizes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding_repair.garbled_documents(_table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding_repair.restored_documents(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
