@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citelens.llm import copies, encoding_repair, group_split, main_text, shared_spans, site_lines
+from citelens.llm import copies, encoding_repair, group_split, main_text, packing, shared_spans, site_lines, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,22 @@ def p6_sizes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenize.encoded(_table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenize.round_trip(_table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_documents(_table(spark, folder, "documents"), _table(spark, folder, "container_limits"))
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packing_report(_table(spark, folder, "documents"), _table(spark, folder, "container_limits"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return encoding_repair.garbled_documents(_table(spark, folder, "documents")).select("doc_id")
 
