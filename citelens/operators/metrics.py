@@ -25,7 +25,10 @@ def _by_score(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataF
 
 def running_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, s, tp, n, cum_tp, cum_n, positives, total): of each distinct score, counts at it and at or above it."""
-    grouped = _by_score(df, score, label, by)
+    return _running(_by_score(df, score, label, by), by)
+
+
+def _running(grouped: DataFrame, by: Sequence[str]) -> DataFrame:
     edges = grouped.groupBy(*by).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     share = (F.col("hi") - F.col("s")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     cell = F.least(F.lit(RANGES - 1), F.floor(F.coalesce(share, F.lit(0.0)) * RANGES)).cast("int")
@@ -64,6 +67,13 @@ def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] =
     return counts.groupBy(*by).agg(F.sum(step).alias("ap"), F.max("positives").alias("positives"), F.max("total").alias("total"))
 
 
+def weighted_ap(grouped: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
+    """(by, ap) from weighted counts (by, score, tp, n) of distinct scores."""
+    counts = _running(grouped.withColumnRenamed(score, "s").select(*by, "s", "tp", "n"), by)
+    step = F.col("tp") / F.nullif(F.col("positives"), F.lit(0)) * F.col("cum_tp") / F.col("cum_n")
+    return counts.groupBy(*by).agg(F.sum(step).alias("ap"))
+
+
 def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, auc): tie-corrected; NULL unless both classes are there."""
     c = running_counts(df, score, label, by)
