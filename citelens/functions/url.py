@@ -15,8 +15,13 @@ TRANSACTIONAL = ("/product", "/buy", "/pricing", "/shop", "kaufen", "preis")
 COMMERCIAL = ("best", "review", " vs ", "vergleich", "test", "beste")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def _part(url: Column, n: int) -> Column:
-    return F.regexp_extract(F.trim(url), _URL, n)
+    return F.regexp_extract(strip(url), _URL, n)
 
 
 def _path(url: Column) -> Column:
@@ -27,7 +32,7 @@ def _path(url: Column) -> Column:
 def collector_key(url: Column) -> Column:
     """Scheme and host in lower case, path without final slashes; parameters and fragment are dropped."""
     key = F.concat(F.lower(_part(url, 1)), F.lit("://"), F.lower(_part(url, 2)), _path(url))
-    return F.when(F.coalesce(F.trim(url), F.lit("")) == "", "").otherwise(key)
+    return F.when(F.coalesce(strip(url), F.lit("")) == "", "").otherwise(key)
 
 
 def repair_key(url: Column) -> Column:
@@ -35,23 +40,23 @@ def repair_key(url: Column) -> Column:
     host = F.regexp_replace(F.lower(_part(url, 2)), r"^www\.", "")
     query = _part(url, 4)
     key = F.concat(host, _path(url), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(F.coalesce(F.trim(url), F.lit("")) == "", "").otherwise(key)
+    return F.when(F.coalesce(strip(url), F.lit("")) == "", "").otherwise(key)
 
 
 def validation_key(url: Column) -> Column:
     """The same intent by another way: the scheme is cut, then the fragment, then host and rest are split."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"(?i)^https?://", ""), r"#.*$", "")
+    bare = F.regexp_replace(F.regexp_replace(strip(url), r"(?i)^https?://", ""), r"#.*$", "")
     host = F.regexp_replace(F.lower(F.substring_index(bare, "/", 1)), r"^www\.", "")
     rest = F.when(F.contains(bare, F.lit("/")), F.regexp_replace(bare, r"^[^/]*", "")).otherwise("/")
     base = F.regexp_replace(F.substring_index(rest, "?", 1), "/+$", "")
     query = F.when(F.contains(rest, F.lit("?")), F.regexp_replace(rest, r"^[^?]*", "")).otherwise("")
     key = F.concat(host, F.when(base == "", "/").otherwise(base), query)
-    return F.when(F.coalesce(F.trim(url), F.lit("")) == "", "").otherwise(key)
+    return F.when(F.coalesce(strip(url), F.lit("")) == "", "").otherwise(key)
 
 
 def passage_key(url: Column) -> Column:
     """All in lower case, without scheme, leading www. and final slashes; parameters and fragment stay."""
-    bare = F.regexp_replace(F.lower(F.trim(url)), r"^https?://", "")
+    bare = F.regexp_replace(F.lower(strip(url)), r"^https?://", "")
     return F.regexp_replace(F.regexp_replace(bare, r"^www\.", ""), "/+$", "")
 
 
@@ -72,16 +77,16 @@ def without_www(domain: Column) -> Column:
 
 def clean_domain(domain: Column) -> Column:
     """The label of a markdown link around the domain, in lower case, without leading www.; "" for null."""
-    text = F.trim(domain)
+    text = strip(domain)
     label = F.when(F.rlike(text, F.lit(r"^\[[^\]]*\]\([^)]*\)")), F.regexp_extract(text, r"^\[([^\]]*)\]", 1)).otherwise(text)
-    return F.coalesce(F.regexp_replace(F.lower(F.trim(label)), r"^www\.", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(F.lower(strip(label)), r"^www\.", ""), F.lit(""))
 
 
 def clean_url(url: Column) -> Column:
     """The target of a markdown link around the url; "" for null."""
-    text = F.trim(url)
+    text = strip(url)
     target = F.regexp_extract(text, r"^\[[^\]]*\]\(([^)]*)\)", 1)
-    return F.coalesce(F.trim(F.when(F.rlike(text, F.lit(r"^\[[^\]]*\]\([^)]*\)")), target).otherwise(text)), F.lit(""))
+    return F.coalesce(strip(F.when(F.rlike(text, F.lit(r"^\[[^\]]*\]\([^)]*\)")), target).otherwise(text)), F.lit(""))
 
 
 def _first(url: Column, *patterns: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citelens.functions import stats, url
@@ -11,11 +11,26 @@ from citelens.plans.registry import query
 from citelens.plans.tables import C, candidates, table
 from citelens.schemas import CONTENT_FEATURES, RANK_FEATURES, SENTINEL_RANK, SERP_FEATURES, stable_columns
 
-RANKED = F.col("organic_rank") != SENTINEL_RANK
-DOMAIN = url.without_www(url.domain_strict(F.col("url")))
 SQL_DOMAIN = "replace(nullif(regexp_extract(url, 'https?://([^/]+)/', 1), ''), 'www.', '')"
 
 
+def ranked() -> Column:
+    """Whether the row has a true rank."""
+    return F.col("organic_rank") != SENTINEL_RANK
+
+
+def domain() -> Column:
+    return url.without_www(url.domain_strict(F.col("url")))
+
+
+def segment() -> Column:
+    return (
+        F.when(F.coalesce("has_local_pack", F.lit(0)) == 1, "local")
+        .when(F.coalesce("has_featured_snippet", F.lit(0)) == 1, "snippet")
+        .otherwise("informational")
+    )
+
+
 def _r(x, n: int = 6):
     return F.round(x, n)
 
@@ -80,8 +95,8 @@ def engineered_features(spark: SparkSession, folder: str) -> DataFrame:
     "WHERE organic_rank <> 101 GROUP BY query_id",
 )
 def ranked_only_population(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = candidates(spark, folder).where(RANKED)
-    return ranked.groupBy("query_id").agg(
+    rows = candidates(spark, folder).where(ranked())
+    return rows.groupBy("query_id").agg(
         F.count("*").alias("n"), F.sum("cited").alias("cited"), F.countDistinct("url").alias("urls")
     )
 
@@ -92,7 +107,7 @@ def variant(df: DataFrame, name: str) -> tuple[DataFrame, list[str], list[str]]:
     if name not in specs:
         raise ValueError(f"unknown variant {name!r}, not in {sorted(specs)}")
     ranked_only, numeric = specs[name]
-    return (df.where(RANKED) if ranked_only else df), numeric, ["content_type"]
+    return (df.where(ranked()) if ranked_only else df), numeric, ["content_type"]
 
 
 def _variant_query(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -140,7 +155,7 @@ def crawl_ok_population(spark: SparkSession, folder: str) -> DataFrame:
 )
 def domain_rate_transform(spark: SparkSession, folder: str) -> DataFrame:
     """The mean of a row's domain: an aggregate joined back, so that a hot domain is reduced before it moves."""
-    df = candidates(spark, folder).select("row_id", "cited", DOMAIN.alias("d"))
+    df = candidates(spark, folder).select("row_id", "cited", domain().alias("d"))
     rates = df.groupBy("d").agg(F.round(F.avg("cited"), 3).alias("domain_citation_rate"))
     same = df["d"].eqNullSafe(rates["d"])
     return df.join(rates, same).select("row_id", "domain_citation_rate")
@@ -169,9 +184,9 @@ _LEADERS = f"""SELECT d AS domain, n, k AS cited, round(k / n::double, 6) AS rat
 
 
 def _leaders(spark: SparkSession, folder: str, least: int) -> DataFrame:
-    ranked = candidates(spark, folder).where(RANKED).select("cited", DOMAIN.alias("domain"))
-    base = ranked.agg(F.avg("cited").alias("base"))
-    counts = ranked.where("domain is not null").groupBy("domain").agg(F.count("*").alias("n"), F.sum("cited").alias("cited"))
+    rows = candidates(spark, folder).where(ranked()).select("cited", domain().alias("domain"))
+    base = rows.agg(F.avg("cited").alias("base"))
+    counts = rows.where("domain is not null").groupBy("domain").agg(F.count("*").alias("n"), F.sum("cited").alias("cited"))
     return counts.where(F.col("n") >= least).crossJoin(F.broadcast(base))
 
 
@@ -200,11 +215,6 @@ _SEGMENT = (
     "CASE WHEN coalesce(has_local_pack, 0) = 1 THEN 'local' WHEN coalesce(has_featured_snippet, 0) = 1 THEN 'snippet' "
     "ELSE 'informational' END"
 )
-SEGMENT = (
-    F.when(F.coalesce("has_local_pack", F.lit(0)) == 1, "local")
-    .when(F.coalesce("has_featured_snippet", F.lit(0)) == 1, "snippet")
-    .otherwise("informational")
-)
 
 
 def query_meta(spark: SparkSession, folder: str) -> DataFrame:
@@ -223,7 +233,7 @@ def query_meta(spark: SparkSession, folder: str) -> DataFrame:
 )
 def intent_segment_summary(spark: SparkSession, folder: str) -> DataFrame:
     rates = candidates(spark, folder).groupBy("query_id").agg(F.avg("cited").alias("rate"))
-    joined = query_meta(spark, folder).select("query_id", "ai_overview_present", SEGMENT.alias("segment")).join(rates, "query_id", "left")
+    joined = query_meta(spark, folder).select("query_id", "ai_overview_present", segment().alias("segment")).join(rates, "query_id", "left")
     return joined.groupBy("segment").agg(
         F.count("*").alias("queries"),
         _r(F.avg("ai_overview_present")).alias("aio_rate"),
@@ -239,7 +249,7 @@ def intent_segment_summary(spark: SparkSession, folder: str) -> DataFrame:
 )
 def segment_examples(spark: SparkSession, folder: str) -> DataFrame:
     """The first three queries of each segment: a top-k report, limited before anything is collected."""
-    named = query_meta(spark, folder).where("query is not null").select(SEGMENT.alias("segment"), "query").distinct()
+    named = query_meta(spark, folder).where("query is not null").select(segment().alias("segment"), "query").distinct()
     first = relational.top_k(named, ["segment"], [F.col("query")], 3)
     return first.groupBy("segment").agg(F.array_join(F.array_sort(F.collect_list("query")), " | ").alias("examples"))
 
@@ -265,8 +275,8 @@ def wordcount_curve(spark: SparkSession, folder: str) -> DataFrame:
         .agg(
             F.count("*").alias("n_all"),
             _r(F.avg("cited")).alias("rate_all"),
-            F.count_if(RANKED).alias("n_ranked"),
-            _r(F.avg(F.when(RANKED, F.col("cited")))).alias("rate_ranked"),
+            F.count_if(ranked()).alias("n_ranked"),
+            _r(F.avg(F.when(ranked(), F.col("cited")))).alias("rate_ranked"),
         )
     )
 
@@ -287,7 +297,7 @@ _FLAGS = ["has_schema", "has_faq", "is_https", "is_forum", "is_video"]
     "AS INTEGER) AS distorted FROM f, b",
 )
 def artifact_audit_flags(spark: SparkSession, folder: str) -> DataFrame:
-    audit = relational.flag_audit(candidates(spark, folder), _FLAGS, "cited", RANKED)
+    audit = relational.flag_audit(candidates(spark, folder), _FLAGS, "cited", ranked())
     rounded = {c: _r(F.col(c)) for c in ("rate_all", "lift_all", "rate_restricted", "lift_restricted")}
     return audit.withColumns(rounded)
 
@@ -347,7 +357,7 @@ def keep_first_candidates(spark: SparkSession, folder: str) -> DataFrame:
 def oof_target_encoding(spark: SparkSession, folder: str) -> DataFrame:
     from citelens.operators.validation import rank_folds
 
-    df = candidates(spark, folder).select("query_id", "cited", DOMAIN.alias("domain"))
+    df = candidates(spark, folder).select("query_id", "cited", domain().alias("domain"))
     folded = df.join(rank_folds(df, "query_id", 5), "query_id")
     prior_rows = folded.withColumn("domain", F.col("domain"))
     encoded = relational.out_of_group_mean(prior_rows, "domain", "fold", "cited")
@@ -372,8 +382,8 @@ def mark_join_cited(spark: SparkSession, folder: str) -> DataFrame:
 def anti_join_unranked(spark: SparkSession, folder: str) -> DataFrame:
     df = candidates(spark, folder)
     key = ["query_id", "url"]
-    unranked = df.where(~RANKED & F.col("url").isNotNull()).select(key).distinct()
-    return unranked.join(df.where(RANKED).select(key), key, "left_anti")
+    unranked = df.where(~ranked() & F.col("url").isNotNull()).select(key).distinct()
+    return unranked.join(df.where(ranked()).select(key), key, "left_anti")
 
 
 @query(
@@ -392,9 +402,9 @@ def semi_join_covered(spark: SparkSession, folder: str) -> DataFrame:
     "(SELECT 1 FROM candidates b WHERE b.organic_rank <> 101 AND a.query_id = b.query_id AND a.url = b.url)",
 )
 def union_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = candidates(spark, folder).where(RANKED).select("query_id", "url", "organic_rank", F.lit(1).alias("ranked"))
+    own = candidates(spark, folder).where(ranked()).select("query_id", "url", "organic_rank", F.lit(1).alias("ranked"))
     rest = anti_join_unranked(spark, folder)
-    return ranked.unionByName(rest.select("query_id", "url", F.lit(SENTINEL_RANK).alias("organic_rank"), F.lit(0).alias("ranked")))
+    return own.unionByName(rest.select("query_id", "url", F.lit(SENTINEL_RANK).alias("organic_rank"), F.lit(0).alias("ranked")))
 
 
 @query(
@@ -425,7 +435,7 @@ def repeated_key_mass(spark: SparkSession, folder: str) -> DataFrame:
  round(sum(CASE WHEN r <= 10 THEN n END) / sum(n)::double, 6) AS top_10_share FROM r""",
 )
 def concentration_topk(spark: SparkSession, folder: str) -> DataFrame:
-    cited = candidates(spark, folder).where("cited = 1").select(DOMAIN.alias("d")).where("d is not null")
+    cited = candidates(spark, folder).where("cited = 1").select(domain().alias("d")).where("d is not null")
     out = relational.concentration(cited, "d", (1, 5, 10))
     return out.withColumns({c: _r(F.col(c)) for c in out.columns if c != "keys"})
 
@@ -504,7 +514,7 @@ def feature_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     "HAVING sum(cited) >= 3 AND count_if(organic_rank <> 101) >= 2",
 )
 def evidence_filter(spark: SparkSession, folder: str) -> DataFrame:
-    each = candidates(spark, folder).groupBy("query_id").agg(F.count_if(RANKED).alias("n_ranked"), F.sum("cited").alias("n_cited"))
+    each = candidates(spark, folder).groupBy("query_id").agg(F.count_if(ranked()).alias("n_ranked"), F.sum("cited").alias("n_cited"))
     return each.where("n_cited >= 3 and n_ranked >= 2")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelens.operators import inference, metrics, validation
-from citelens.plans.candidate_queries import DOMAIN, RANKED, SQL_DOMAIN
+from citelens.plans.candidate_queries import domain, ranked
 from citelens.plans.registry import query
 from citelens.plans.tables import C, candidates
 
@@ -192,8 +192,8 @@ _FLAGS = ["has_schema", "has_faq", "is_https", "is_forum", "is_video"]
     ),
 )
 def contingency_odds(spark: SparkSession, folder: str) -> DataFrame:
-    ranked = candidates(spark, folder).where(RANKED)
-    return inference.contingency(ranked, _FLAGS, "cited").withColumn("odds", _r("odds"))
+    rows = candidates(spark, folder).where(ranked())
+    return inference.contingency(rows, _FLAGS, "cited").withColumn("odds", _r("odds"))
 
 
 @query("fisher_holm")
@@ -218,9 +218,9 @@ def holm_adjust(spark: SparkSession, folder: str) -> DataFrame:
 @query("clustered_logit")
 def clustered_logit(spark: SparkSession, folder: str) -> DataFrame:
     """Odds of has_schema and has_faq among the queries with a citation; p naive, by url and by domain."""
-    ranked = candidates(spark, folder).where(RANKED).withColumn("domain", DOMAIN)
-    having = ranked.where("cited > 0").select("query_id").distinct()
-    population = ranked.join(having, "query_id", "left_semi")
+    rows_ranked = candidates(spark, folder).where(ranked()).withColumn("domain", domain())
+    having = rows_ranked.where("cited > 0").select("query_id").distinct()
+    population = rows_ranked.join(having, "query_id", "left_semi")
     rows = []
     for flag in ("has_schema", "has_faq"):
         fit = inference.clustered_logit(population, flag, "cited", ["url", "domain"])
@@ -235,7 +235,7 @@ def clustered_logit(spark: SparkSession, folder: str) -> DataFrame:
 def double_blocked_folds(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each fold's train and test side, blocked by query and by domain at once."""
     df = validation.double_blocked(
-        candidates(spark, folder).where(RANKED).select("row_id", "query_id", "cited", DOMAIN.alias("domain")).where("domain is not null"),
+        candidates(spark, folder).where(ranked()).select("row_id", "query_id", "cited", domain().alias("domain")).where("domain is not null"),
         "query_id", "domain", 5, 42,
     )
     folds = df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4))))

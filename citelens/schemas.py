@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 SENTINEL_RANK = 101
 
 #: The contractual columns of candidates, in order.
-CANDIDATES = T._parse_datatype_string(
+CANDIDATES = (
     "query_id string, query string, url string, organic_rank int, domain_rating double, page_authority double, "
     "word_count int, has_schema int, num_lists_tables int, has_faq int, query_url_similarity double, "
     "passage_match_score double, content_freshness_days int, num_entities_matched int, readability_score double, "
@@ -32,14 +32,12 @@ CONTENT_FEATURES = (
 ).split()
 RANK_FEATURES = ["organic_rank", "rank_reciprocal"]
 
-REFERENCE = T._parse_datatype_string(
-    "struct<type:string,source:string,domain:string,url:string,title:string,text:string>"
-)
-TRANSCRIPT = T._parse_datatype_string(
+REFERENCE = "struct<type:string,source:string,domain:string,url:string,title:string,text:string>"
+TRANSCRIPT = (
     "video_id string, language string, language_code string, is_generated boolean, n_snippets int, duration_s double, "
     "text string, snippets array<struct<start:double,text:string>>"
 )
-PAGE = T._parse_datatype_string("url string, html string, ok boolean, status int")
+PAGE = "url string, html string, ok boolean, status int"
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
