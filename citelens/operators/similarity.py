@@ -26,7 +26,8 @@ def shared_ngrams(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     """
 
     def grams(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(T.ngrams(T.tokens(F.col("text")), n)).alias("gram"))
+        split = df.select(key, T.tokens(F.col("text")).alias("tokens"))  # a column of its own: worked out once
+        return split.select(key, F.explode(T.ngrams(F.col("tokens"), n)).alias("gram"))
 
     joined = grams(left, left_key).join(grams(right, right_key), "gram")
     return joined.groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
