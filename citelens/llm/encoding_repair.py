@@ -181,7 +181,9 @@ def _telling(word: str, meant: str, own: frozenset[str]) -> bool:
         before, after = word[i - 1 : i], word[i + 1 : i + 2]
         if not a.isalpha() and before.isalpha() and after.isalpha() and (b.isalpha() or b in _JOINING):
             return True
-        if a not in own and a not in _USUAL and b in own and (after.islower() or b.islower() and before.isalpha()):
+        if own is _WEST or a in own or a in _USUAL or b not in own:
+            continue
+        if b.islower() and (before.isalpha() or after.islower()) or not a.isalpha() and after.islower():
             return True
     return False
 
