@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson score interval in [0, 1]; NULL for n = 0."""
-    p = k / F.nullif(n, F.lit(0))
+    n = F.nullif(n, F.lit(0))
+    p = k / n
     centre = p + z * z / (2 * n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     scale = 1 + z * z / n
-    return F.greatest(F.lit(0.0), (centre - half) / scale), F.least(F.lit(1.0), (centre + half) / scale)
+    low, high = (centre - half) / scale, (centre + half) / scale
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), low)), F.when(n.isNotNull(), F.least(F.lit(1.0), high))
 
 
 def rule_of_three(n: Column) -> Column:

@@ -19,7 +19,7 @@ def tumbling_windows(snippets: Column, seconds: float = 30.0) -> Column:
     state = F.struct(
         F.array().cast(_WINDOW).alias("done"),
         F.array().cast("array<string>").alias("open"),
-        F.coalesce(F.element_at(snippets, 1)["start"], F.lit(0.0)).alias("since"),
+        F.coalesce(F.get(snippets, 0)["start"], F.lit(0.0)).alias("since"),
     )
 
     def step(s: Column, x: Column) -> Column:
