@@ -156,7 +156,7 @@ def _names(site: str | None, html: str) -> re.Pattern[str] | None:
     names = set()
     title = re.search(r"<title[^>]*>([^<]*)", html, re.I)
     if title:
-        last = re.split(r"\s[|–—-]\s", " ".join(unescape(title[1]).split()))
+        last = " ".join(unescape(title[1]).split()).split(" | ")
         if len(last) > 1:
             names.add(last[-1])
     if site:

@@ -93,5 +93,22 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
 
+#: Site of a url as citelens.functions.site has it.
+_SITE = (
+    "nullif(regexp_replace(regexp_replace(trim(lower(coalesce("
+    "nullif(regexp_extract(url, '(?i)(?:[a-z][a-z0-9+.\\-]*:)?//(?:[^/?#\\s@]*@)?([^/?#\\s:)>\\]\"''\\\\]+)', 1), ''), "
+    "regexp_extract(url, '^[\\s \"''<(\\[]*([^/?#\\s:)>\\]\"''\\\\ ]+\\.[^/?#\\s:)>\\]\"''\\\\ ]+)', 1))), ' '), '[.,;]+$', ''), '^www\\.', ''), '')"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say it on whole tables; the other operators are tested against plain loops and round trips."""
+    return {
+        "p4_found": f"""WITH RECURSIVE r AS (SELECT row_id, query_id, {_SITE} AS site FROM label_validation),
+ e AS (SELECT DISTINCT query_id, site FROM r WHERE query_id IS NOT NULL AND site IS NOT NULL),
+ n AS (SELECT DISTINCT a.site AS a, b.site AS b FROM e a JOIN e b ON a.query_id = b.query_id),
+ reach(a, b) AS (SELECT DISTINCT site, site FROM r WHERE site IS NOT NULL UNION SELECT reach.a, n.b FROM reach JOIN n ON reach.b = n.a),
+ least AS (SELECT a AS site, min(b) AS first FROM reach GROUP BY a),
+ q AS (SELECT query_id, min(first) AS first FROM e JOIN least USING (site) GROUP BY query_id)
+ SELECT row_id, coalesce(l.first, q.first) AS set_domain FROM r LEFT JOIN least l ON r.site = l.site LEFT JOIN q ON r.query_id = q.query_id"""
+    }
