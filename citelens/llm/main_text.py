@@ -12,6 +12,7 @@ Scale. A page is handled by itself in one Arrow batch: one scan of three columns
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
 
@@ -26,6 +27,7 @@ from citelens.staging import spread
 _TAG = re.compile(r"<(?:(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)|[!?/][^>]*)(?:>|\Z)", re.I)
 _INLINE = frozenset("a b strong em i span u".split())
 _HOLDERS = frozenset("div section article main aside header footer nav td form details body blockquote figure".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("br hr img meta link input source wbr col area base".split())
 
 # Frequent German function words, as stop-word density counts them.
@@ -41,33 +43,35 @@ _ASIDE_NAMES = re.compile(
     r"|newsletter|banner|\bads?\b|advert|promo|\bcard\b|dialog",
     re.I,
 )
-# Headings over teasers and readers' comments.
+# Headings over teasers and readers' comments, in lower case.
 _ASIDE_HEADINGS = re.compile(
     r"meistgelesen|meist gelesen|mehr zum thema|das könnte (?:sie|dich) auch interessieren|weitere (?:beiträge|artikel|"
     r"themen)|ähnliche (?:beiträge|artikel)|auch interessant|passend dazu|neueste beiträge|verwandte|empfehlungen|"
-    r"\d[\d.]* kommentare?|kommentare?\b|leserkommentare|newsletter|teilen",
-    re.I,
+    r"\d[\d.]* kommentare?|kommentare?\b|leserkommentare|newsletter|teilen"
 )
-# Wording of prompts, notices, adverts, author and date lines.
+# How prompts, adverts, author and date lines begin, in lower case.
 _PROMPTS = re.compile(
-    r"(?:lesen sie auch|lesen sie mehr|mehr dazu|siehe auch|auch interessant|weiterlesen|zum thema)\s*:"
-    r"|aktion bei .*:|.{1,60} empfiehlt\s*:|(?:anzeige|werbung|sponsored|advertorial)\W*\Z"
-    r"|(?:diesen )?(?:beitrag|artikel|seite)?\s*(?:teilen|drucken|weiterempfehlen|merken)\W*\Z"
-    r"|(?:artikel|beitrag|seite) (?:weiterempfehlen|drucken|teilen|merken|versenden)|link kopieren|auf die merkliste"
-    r"|per (?:e-?mail|whatsapp) (?:senden|teilen|versenden)|drucken\Z"
-    r"|verpassen sie nichts|kostenlose post|jeden \w+tag neue tipps|.*\bim abo\Z|.*newsletter"
-    r"|stand\s*:\s*\d|veröffentlicht|aktualisiert|zuletzt geändert|text\s*:|autorin?\s*:|von der redaktion"
-    r"|geprüft durch|ein beitrag aus der reihe|foto\s*:|quelle\s*:"
-    r"|\W*©|copyright",
-    re.I,
+    r"(?:lesen sie (?:auch|mehr)|mehr dazu|siehe auch|auch interessant|weiterlesen|zum thema)\s*:"
+    r"|(?:anzeige|werbung|sponsored|advertorial)\W*\Z"
+    r"|(?:diesen )?(?:beitrag|artikel|seite)?\s*(?:teilen|drucken|weiterempfehlen|merken|versenden)\W*\Z"
+    r"|link kopieren|auf die merkliste|per (?:e-?mail|whatsapp) (?:senden|teilen|versenden)"
+    r"|verpassen sie nichts|kostenlose post|jeden \w+tag neue tipps"
+    r"|stand\s*:\s*\d|veröffentlicht|aktualisiert|zuletzt geändert|(?:text|autorin?|foto|quelle)\s*:|von der redaktion"
+    r"|geprüft durch|ein beitrag aus der reihe|copyright|[^\w]*©"
 )
+# Wording within prompts and adverts, in lower case.
+_PROMPTS_WITHIN = re.compile(r"\Aaktion bei [^:]*:|\A.{1,60} empfiehlt\s*:|\bim abo\Z|newsletter")
+# Notices below and around a body, in lower case: how they begin, and wording within them.
 _CLOSING = re.compile(
-    r"hinweis\s*:|.*(?:ohne gewähr|nachdruck nur|inklusive umsatzsteuer|verweise eine vergütung|alle rechte vorbehalten)"
-    r"|\W*©|.*(?:\bcookies?\b|partnern daten auf|partner beteiligt|stimmen sie der|auswahl gilt)"
-    r"|(?:alle annehmen|nur nötige|impressum|datenschutz|agb|sitemap|nach oben|barrierefreiheit|widerruf|"
-    r"cookie-einstellungen)\Z",
-    re.I,
+    r"hinweis\s*:|[^\w]*©|(?:alle annehmen|nur nötige|impressum|datenschutz|agb|sitemap|nach oben|barrierefreiheit|widerruf|"
+    r"cookie-einstellungen)\Z"
+)
+_CLOSING_WITHIN = re.compile(
+    r"ohne gewähr|nachdruck nur|inklusive umsatzsteuer|verweise eine vergütung|alle rechte vorbehalten|\bcookies?\b"
+    r"|partnern daten auf|partner beteiligt|stimmen sie der|auswahl gilt"
 )
+#: Notices are short; longer lines are judged by how they begin.
+_NOTICE = 200
 _SEPARATORS = re.compile(r"\s[›»>|]\s")
 
 GOOD, BAD, OPEN = 1, -1, 0
@@ -151,6 +155,11 @@ def blocks_of(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
     return blocks, holders
 
 
+@lru_cache(4096)
+def _name_pattern(names: tuple[str, ...]) -> re.Pattern[str]:
+    return re.compile("|".join(rf"\b{re.escape(x)}\b" for x in names))
+
+
 def _names(site: str | None, html: str) -> re.Pattern[str] | None:
     """The site's own name, from the title's last part and from the host."""
     names = set()
@@ -162,29 +171,31 @@ def _names(site: str | None, html: str) -> re.Pattern[str] | None:
     if site:
         core = site.split(".")[-2:][0]
         names |= {core.replace("-", " "), core}
-    names = {x for x in names if len(x) > 3}
-    return re.compile("|".join(rf"\b{re.escape(x)}\b" for x in sorted(names, key=len, reverse=True)), re.I) if names else None
+    names = {x.lower() for x in names if len(x) > 3}
+    return _name_pattern(tuple(sorted(names, key=len, reverse=True))) if names else None
 
 
 def _teaser_heading(block: Block) -> bool:
-    return block.tag in ("h2", "h3", "h4", "h5", "h6") and bool(_ASIDE_HEADINGS.match(block.text))
+    return block.tag in _HEADINGS and block.tag != "h1" and bool(_ASIDE_HEADINGS.match(block.text.lower()))
+
+
+def _closes(low: str) -> bool:
+    return bool(_CLOSING.match(low) or len(low) < _NOTICE and _CLOSING_WITHIN.search(low))
 
 
-def _decide(block: Block, own_name: re.Pattern[str] | None) -> int:
-    """Pass 1."""
-    text = block.text
-    words = text.lower().split()
-    heading = block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    if heading and _ASIDE_HEADINGS.match(text):
+def _decide(block: Block, low: str, closes: bool, own_name: re.Pattern[str] | None) -> int:
+    """Pass 1; ``low`` is the block's text in lower case."""
+    words = low.split()
+    heading = block.tag in _HEADINGS
+    if heading and _ASIDE_HEADINGS.match(low):
         return BAD
-    if _PROMPTS.match(text) or _CLOSING.match(text) or own_name and len(words) < 25 and own_name.search(text):
+    if closes or _PROMPTS.match(low) or _PROMPTS_WITHIN.search(low) or own_name and len(words) < 25 and own_name.search(low):
         return BAD
     if heading:
         return GOOD
-    if len(words) < 25 and len(_SEPARATORS.findall(text)) > 1:
+    if len(words) < 25 and len(_SEPARATORS.findall(low)) > 1:
         return BAD
-    stops = sum(w.strip(".,;:()„“\"'") in STOP_WORDS for w in words) / len(words)
-    if len(words) >= 8 and stops >= 0.15 and block.linked < 0.7:
+    if len(words) >= 8 and block.linked < 0.7 and sum(w in STOP_WORDS for w in words) >= 0.15 * len(words):
         return GOOD
     if block.linked > 0.8 and len(words) < 5 and block.tag == "li":
         return BAD
@@ -197,20 +208,22 @@ def main_lines(html: str | None, site: str | None = None) -> list[str]:
         return []
     blocks, holders = blocks_of(html)
     own_name = _names(site, html)
-    labels = [_decide(b, own_name) for b in blocks]
+    lows = [b.text.lower() for b in blocks]
+    closing = [_closes(low) for low in lows]
+    labels = [_decide(b, low, c, own_name) for b, low, c in zip(blocks, lows, closing)]
     aside = {
         n for n, (tag, attrs) in enumerate(holders) if tag in ("nav", "aside", "footer") or _ASIDE_NAMES.search(attrs)
     }
     tallies: dict[int, list[int]] = {}
     titled: set[int] = set()
-    for b, label in zip(blocks, labels):
+    for b, label, closes in zip(blocks, labels, closing):
         if b.tag == "h1":
             titled.update(b.path)
         for n in b.path:
             tally = tallies.setdefault(n, [0, 0, OPEN])
             tally[0] += label == GOOD
             tally[1] += label == BAD
-            tally[2] = tally[2] or (BAD if _CLOSING.match(b.text) or _teaser_heading(b) else GOOD)
+            tally[2] = tally[2] or (BAD if closes or _teaser_heading(b) else GOOD)
     for n, (good, bad, first) in tallies.items():  # one that opens with a notice or teaser heading, or is made of such
         if first == BAD or bad > 1 and bad > good:
             aside.add(n)
@@ -233,7 +246,7 @@ def main_lines(html: str | None, site: str | None = None) -> list[str]:
             else:
                 for i in range(title, len(blocks)):
                     b = blocks[i]
-                    if i > title and (b.gap or b.tag == "h1" or _CLOSING.match(b.text)):
+                    if i > title and (b.gap or b.tag == "h1" or closing[i]):
                         break
                     if _teaser_heading(b):
                         break
