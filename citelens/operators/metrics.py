@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citelens.operators.relational import position_in_group, top_k
+
 #: Ranges of the score, for running sums without a single task over all scores.
 RANGES = 64
 
@@ -90,27 +92,20 @@ def per_query_ap(df: DataFrame, score: str, label: str, query: str) -> DataFrame
     return each.agg(F.avg("ap").alias("mean_ap"), F.count("*").alias("queries"))
 
 
-def _ranked(df: DataFrame, label: str, query: str, order: Sequence[Column]) -> DataFrame:
-    all_ = Window.partitionBy(query)
-    return df.select(
-        query,
-        F.col(label).alias("y"),
-        F.row_number().over(all_.orderBy(*order)).alias("r"),
-        F.sum(label).over(all_).alias("k"),
-        F.count("*").over(all_).alias("n"),
-    )
+def _sizes(df: DataFrame, label: str, query: str) -> DataFrame:
+    return df.groupBy(query).agg(F.sum(label).alias("k"), F.count("*").alias("n")).where("k > 0")
 
 
 def precision_at_k(df: DataFrame, label: str, query: str, order: Sequence[Column], k: int) -> DataFrame:
     """(hits, places, precision): summed over the queries with k rows or more and a positive."""
-    top = _ranked(df, label, query, order).where((F.col("n") >= k) & (F.col("k") > 0) & (F.col("r") <= k))
-    return top.agg(F.sum("y").alias("hits"), F.count("*").alias("places"), F.avg("y").alias("precision"))
+    top = top_k(df, [query], order, k).join(_sizes(df, label, query), query).where(F.col("n") >= k)
+    return top.agg(F.sum(label).alias("hits"), F.count("*").alias("places"), F.avg(label).alias("precision"))
 
 
 def precision_at_true_k(df: DataFrame, label: str, query: str, order: Sequence[Column]) -> DataFrame:
     """(precision, queries): mean over the queries of the hits among their first k, where k is their positives."""
-    top = _ranked(df, label, query, order).where((F.col("k") > 0) & (F.col("r") <= F.col("k")))
-    each = top.groupBy(query).agg(F.avg("y").alias("p"))
+    placed = position_in_group(df, [query], order, "_r").join(_sizes(df, label, query), query)
+    each = placed.where(F.col("_r") < F.col("k")).groupBy(query).agg(F.avg(label).alias("p"))
     return each.agg(F.avg("p").alias("precision"), F.count("*").alias("queries"))
 
 

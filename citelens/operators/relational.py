@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citelens.staging import stage
+
 Keys = Sequence[str]
 
 
@@ -29,15 +31,31 @@ def top_k(df: DataFrame, group: Keys, order: Sequence[Column], k: int) -> DataFr
 
 
 def quota(df: DataFrame, group: Keys, order: Sequence[Column], exempt: Column, n: int) -> DataFrame:
-    """All exempt rows, and the first n others of each group; exempt rows take nothing from the quota."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    taken = F.sum(F.when(exempt, 0).otherwise(1)).over(w)
-    return df.withColumn("_taken", taken).where(exempt | (F.col("_taken") <= n)).drop("_taken")
+    """All exempt rows, and the first n others of each group; exempt rows take nothing from the quota.
+
+    The others are cut to n in each partition before they are shuffled, so that no group is gathered.
+    """
+    others = top_k(df.where(~F.coalesce(exempt, F.lit(False))), group, order, n).drop("position")
+    return df.where(exempt).unionByName(others)
 
 
 def position_in_group(df: DataFrame, group: Keys, order: Sequence[Column], name: str) -> DataFrame:
-    """Positions from 0."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    """``df`` with the positions from 0 of its rows in their groups, in an order that must be total.
+
+    The rows are sorted in ranges of (group, order); a group that spans several ranges goes on where the earlier ones ended,
+    so that a group of any size is never in one task.
+    """
+    ranged = stage(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "positions")
+    held = ranged.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    here = Window.partitionBy("_part", *group).orderBy(*order)
+    placed = ranged.withColumn("_at", F.row_number().over(here) - 1)
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = placed.join(before, same).withColumn(name, (F.col("_before") + F.col("_at")).cast("int"))
+    return joined.select(*df.columns, name)
 
 
 def impute_median(df: DataFrame, columns: Keys, zero: Keys = (), scope: Column | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citelens.operators.relational import position_in_group
 from citelens.staging import stage
 
 
@@ -72,11 +73,11 @@ def double_blocked(df: DataFrame, a: str, b: str, k: int, seed: int) -> DataFram
 
 
 def shuffle_within(df: DataFrame, group: Sequence[str], key: str, value: str, seed: int, salt: Column | None = None) -> DataFrame:
-    """``df`` with ``value`` permuted among the rows of each group."""
+    """``df`` with ``value`` permuted among the rows of each group; keys must be unique in a group, and groups not null."""
     order = F.xxhash64(key, F.lit(seed)) if salt is None else F.xxhash64(key, F.lit(seed), salt)
-    here = df.withColumn("_p", F.row_number().over(Window.partitionBy(*group).orderBy(key)))
-    there = df.select(*group, F.col(value).alias("_v"), F.row_number().over(Window.partitionBy(*group).orderBy(order, key)).alias("_p"))
-    return here.join(there, [*group, "_p"]).drop(value, "_p").withColumnRenamed("_v", value)
+    here = position_in_group(df, group, [F.col(key)], "_p")
+    there = position_in_group(df.select(*group, key, F.col(value).alias("_v")), group, [order, F.col(key)], "_p")
+    return here.join(there.drop(key), [*group, "_p"]).drop(value, "_p").withColumnRenamed("_v", value)
 
 
 def bootstrap_counts(groups: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:

@@ -11,15 +11,22 @@ from citelens.plans.candidate_queries import domain, engineer, ranked
 from citelens.plans.registry import query
 from citelens.plans.tables import candidates
 from citelens.schemas import CONTENT_FEATURES, RANK_FEATURES
+from citelens.staging import stage
 
 IMPUTED = [c for c in CONTENT_FEATURES if c not in ("has_schema", "has_faq", "structure_score")]
 
 
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows with a true rank: (row_id, domain, group, label, features); missing numbers are the median."""
+    """Rows with a true rank: (row_id, domain, group, label, features); missing numbers are the median.
+
+    The table is written once, since every fit and every score reads it again.
+    """
     filled = relational.impute_median(candidates(spark, folder).where(ranked()), IMPUTED, ["has_schema", "has_faq"])
     rows = engineer(filled).withColumn("domain", F.coalesce(domain(), F.lit("")))
-    return models.feature_frame(rows, "cited", "query_id", [*RANK_FEATURES, *CONTENT_FEATURES], ["content_type"], ["row_id", "domain"])
+    made = models.feature_frame(
+        rows, "cited", "query_id", [*RANK_FEATURES, *CONTENT_FEATURES], ["content_type"], ["row_id", "domain"]
+    )
+    return stage(made, "training-rows")
 
 
 def _folded(spark: SparkSession, folder: str, group: str = "group", k: int = 5) -> DataFrame:
