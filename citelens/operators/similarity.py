@@ -71,6 +71,31 @@ def tfidf(df: DataFrame, key: Sequence[str], tokens: str) -> DataFrame:
     return weighted.join(norms, list(key)).select(*key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def cosine_join(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, scope: Sequence[str], threshold: float
+) -> DataFrame:
+    """(scope, left_key, right_key, cosine): the pairs of one scope whose cosine is at least ``threshold``, none lost.
+
+    Both sides are weights (scope, key, term, w) of length 1. A text's most frequent terms are left out of the search while
+    their own length stays below the threshold: without a shared term among the others a pair can't reach it. Frequent words
+    therefore never bring pairs together; full products are only made for what the rarer terms found.
+    """
+    frequency = right.groupBy("term").agg(F.count("*").alias("_df"))
+    common_first = Window.partitionBy(*scope, left_key).orderBy(F.desc("_df"), "term")
+    upto = F.sum(F.col("w") * F.col("w")).over(common_first.rowsBetween(Window.unboundedPreceding, 0))
+    searched = left.join(frequency, "term").withColumn("_upto", upto).where(F.col("_upto") >= threshold * threshold - 1e-6)
+    found = (
+        searched.select(*scope, left_key, "term").join(right.select(*scope, right_key, "term"), [*scope, "term"])
+        .select(*scope, left_key, right_key)
+        .distinct()
+    )
+    products = found.join(left.withColumnRenamed("w", "_a"), [*scope, left_key]).join(
+        right.withColumnRenamed("w", "_b"), [*scope, right_key, "term"]
+    )
+    dots = products.groupBy(*scope, left_key, right_key).agg(F.round(F.sum(F.col("_a") * F.col("_b")), 9).alias("cosine"))
+    return dots.where(F.col("cosine") >= threshold)
+
+
 def nearest_vectors(
     vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 5, block: int = 2048
 ) -> DataFrame:

@@ -245,10 +245,10 @@ def tfidf_cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def best_passage(spark: SparkSession, folder: str) -> DataFrame:
     """The source sentence of the same query with the highest cosine of at least 0.45; ties go to the smallest id."""
     v = _weights(spark, folder)
-    a = v.where("side = 0").select("query_id", "term", F.col("id").alias("match_id"), F.col("w").alias("wa"))
-    b = v.where("side = 1").select("query_id", "term", F.col("id").alias("source_id"), F.col("w").alias("wb"))
-    pairs = a.join(b, ["query_id", "term"]).groupBy("match_id", "source_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("cosine"))
-    return pairs.where("cosine >= 0.45").groupBy("match_id").agg(
+    a = v.where("side = 0").select("query_id", "term", F.col("id").alias("match_id"), "w")
+    b = v.where("side = 1").select("query_id", "term", F.col("id").alias("source_id"), "w")
+    pairs = similarity.cosine_join(a, b, "match_id", "source_id", ["query_id"], 0.45)
+    return pairs.groupBy("match_id").agg(
         F.max_by("source_id", F.struct("cosine", -F.col("source_id"))).alias("source_id"), F.round(F.max("cosine"), 6).alias("cosine")
     )
 
