@@ -159,15 +159,12 @@ def packing_report(documents: DataFrame, limits: DataFrame, folder: str = VOCABU
     """(containers, tokens, capacity, least_containers, fill): the least number is the sum of tokens over the capacity."""
     made = packed_documents(documents, limits, folder).where("container is not null")
     each = made.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.max("container_size").alias("size"))
-    most = limits.agg(F.max("capacity").alias("most"))
-    return (
-        each.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("size").alias("capacity"))
-        .crossJoin(F.broadcast(most))
-        .select(
-            "containers",
-            "tokens",
-            "capacity",
-            F.ceil(F.col("tokens") / F.col("most")).alias("least_containers"),
-            (F.col("tokens") / F.col("capacity")).alias("fill"),
-        )
+    most = limits.agg(F.max("capacity")).first()[0]
+    summed = each.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("size").alias("capacity"))
+    return summed.select(
+        "containers",
+        "tokens",
+        "capacity",
+        F.ceil(F.col("tokens") / most).alias("least_containers"),
+        (F.col("tokens") / F.nullif(F.col("capacity"), F.lit(0))).alias("fill"),
     )
