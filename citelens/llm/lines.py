@@ -13,9 +13,12 @@ COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 HIDDEN = re.compile(
     r"<(script|style|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b)|\Z)", re.S | re.I
 )
+#: What follows a tag's name: quoted values are passed over whole; a quote that is never closed ends with the next ">".
+#: Nothing is tried twice, so that broken pages take no longer than whole ones.
+ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+(?:>|\Z|["'][^>]*+(?:>|\Z))"""
 #: Tags that vanish without a trace; every other tag ends a line.
-INLINE = re.compile(r"</?(?:a|b|strong|em|i|span|u)(?:[\s/](?:[^>\"']|\"[^\"]*\"|'[^']*')*)?(?:>|\Z)", re.I)
-BREAK = re.compile(r"<[/!?]?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.I)
+INLINE = re.compile(r"</?(?:a|b|strong|em|i|span|u)(?:>|\Z|(?=[\s/])" + ATTRIBUTES + ")", re.I)
+BREAK = re.compile(r"<[/!?]?[a-z]" + ATTRIBUTES + r"|<[!?/][^>]*+(?:>|\Z)", re.I)
 
 
 def page_lines(html: str | None) -> list[str]:

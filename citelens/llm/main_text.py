@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citelens.functions.site import site_of
-from citelens.llm.lines import COMMENT, HIDDEN, map_many
+from citelens.llm.lines import ATTRIBUTES, COMMENT, HIDDEN, map_many
 from citelens.staging import spread
 
-_TAG = re.compile(r"<(?:(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)|[!?/][^>]*)(?:>|\Z)", re.I)
+_TAG = re.compile(r"<(?:(/?)([a-z][^\s/>]*)(" + ATTRIBUTES + r")|[!?/][^>]*+(?:>|\Z))", re.I)
 _INLINE = frozenset("a b strong em i span u".split())
 _HOLDERS = frozenset("div section article main aside header footer nav td form details body blockquote figure".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())

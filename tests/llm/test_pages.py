@@ -26,12 +26,27 @@ def page(i, url, html):
         ("<li>eins<li>zwei <a hre", ["eins", "zwei"]),
         ('<p title="a > b">t</p>', ["t"]),
         ("<header>k</header>", ["k"]),
+        ('eins<li><a href="/85', ["eins"]),
+        ('<p>eins <a href="/8>zwei</a></p>', ["eins zwei"]),
+        ("<i", []),
     ],
 )
 def test_page_lines(html, lines):
     assert page_lines(html) == lines
 
 
+def test_broken_pages_take_no_longer():
+    import time
+
+    from citelens.llm.main_text import main_lines
+
+    began = time.time()
+    for html in ("<a " * 200_000, '<p title="' * 100_000, "<" * 300_000, "<!--" * 100_000, "<script>" * 50_000, "&#" * 200_000):
+        page_lines(html)
+        main_lines(html)
+    assert time.time() - began < 30
+
+
 def site_fixture():
     rows, n = [], 0
     for site, count in (("www.A.test", 12), ("b.test", 5), ("c.test", 4)):
