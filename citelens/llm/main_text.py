@@ -27,6 +27,8 @@ from citelens.staging import spread
 _TAG = re.compile(r"<(?:(/?)([a-z][^\s/>]*)(" + ATTRIBUTES + r")|[!?/][^>]*+(?:>|\Z))", re.I)
 _INLINE = frozenset("a b strong em i span u".split())
 _HOLDERS = frozenset("div section article main aside header footer nav td form details body blockquote figure".split())
+_LISTS = frozenset(("ul", "ol", "table"))
+_SELF_CLOSING = frozenset(("li", "td", "tr", "p"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("br hr img meta link input source wbr col area base".split())
 
@@ -78,22 +80,30 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 
 class Block(NamedTuple):
-    """A line with what the rules need; path: the numbers of the containers around it, outermost first."""
+    """A line with what the rules need; holder: the number of the innermost container around it, -1 without one."""
 
     text: str
     tag: str
     linked: float
-    path: tuple[int, ...]
+    holder: int
     gap: bool
 
 
-def blocks_of(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
-    """The blocks of a page, and the (tag, attributes) of each container by number."""
+class Holder(NamedTuple):
+    """A container; parent: the number of the one around it, always a smaller number, or -1."""
+
+    tag: str
+    attributes: str
+    parent: int
+
+
+def blocks_of(html: str) -> tuple[list[Block], list[Holder]]:
+    """The blocks of a page and its containers, both in document order."""
     html = HIDDEN.sub("<br>", COMMENT.sub("", html))
     blocks: list[Block] = []
-    holders: list[tuple[str, str]] = []
-    stack: list[tuple[str, int]] = []
-    path: tuple[int, ...] = ()
+    holders: list[Holder] = []
+    stack: list[tuple[str, int]] = []  # open tags, each with the innermost container that holds its text
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked = total = anchors = at = 0
     gap = False
@@ -104,14 +114,19 @@ def blocks_of(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
             raw = "".join(parts)
             text = " ".join((unescape(raw) if "&" in raw else raw).split())
             if text:
-                tag = stack[-1][0] if stack else ""
-                blocks.append(Block(text, tag, linked / max(1, total), path, gap))
+                tag, holder = stack[-1] if stack else ("", -1)
+                blocks.append(Block(text, tag, linked / max(1, total), holder, gap))
                 gap = False
             else:
                 gap = gap or raw.count("\n") > 2
             parts.clear()
         linked = total = 0
 
+    def cut(i: int) -> None:
+        for name, _ in stack[i:]:
+            opened[name] -= 1
+        del stack[i:]
+
     for m in _TAG.finditer(html):
         if m.start() > at:
             text = html[at : m.start()]
@@ -131,24 +146,24 @@ def blocks_of(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
         if name == "!" or name in _VOID:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        else:
-            if name in ("li", "td", "tr", "p"):  # an unclosed one ends where the next begins
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("ul", "ol", "table") or stack[i][0] in _HOLDERS and name != "p":
-                        break
-            number = -1
-            if name in _HOLDERS:
-                number = len(holders)
-                holders.append((name, m[3] or ""))
-            stack.append((name, number))
-        path = tuple(n for _, n in stack if n >= 0)
+            if opened.get(name):
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                cut(i)
+            continue
+        if name in _SELF_CLOSING and opened.get(name):  # an unclosed one ends where the next begins
+            i = len(stack) - 1
+            while stack[i][0] != name and stack[i][0] not in _HOLDERS and stack[i][0] not in _LISTS:
+                i -= 1
+            if stack[i][0] == name:
+                cut(i)
+        holder = stack[-1][1] if stack else -1
+        if name in _HOLDERS:
+            holders.append(Holder(name, m[3] or "", holder))
+            holder = len(holders) - 1
+        stack.append((name, holder))
+        opened[name] = opened.get(name, 0) + 1
     if at < len(html):
         parts.append(html[at:])
     close()
@@ -211,59 +226,65 @@ def main_lines(html: str | None, site: str | None = None) -> list[str]:
     lows = [b.text.lower() for b in blocks]
     closing = [_closes(low) for low in lows]
     labels = [_decide(b, low, c, own_name) for b, low, c in zip(blocks, lows, closing)]
-    aside = {
-        n for n, (tag, attrs) in enumerate(holders) if tag in ("nav", "aside", "footer") or _ASIDE_NAMES.search(attrs)
-    }
-    tallies: dict[int, list[int]] = {}
-    titled: set[int] = set()
-    for b, label, closes in zip(blocks, labels, closing):
-        if b.tag == "h1":
-            titled.update(b.path)
-        for n in b.path:
-            tally = tallies.setdefault(n, [0, 0, OPEN])
-            tally[0] += label == GOOD
-            tally[1] += label == BAD
-            tally[2] = tally[2] or (BAD if closes or _teaser_heading(b) else GOOD)
-    for n, (good, bad, first) in tallies.items():  # one that opens with a notice or teaser heading, or is made of such
-        if first == BAD or bad > 1 and bad > good:
-            aside.add(n)
-    aside -= titled  # around the title stands the body, or a container that was never closed
-    inside = [not aside.intersection(b.path) for b in blocks]
+    n = len(holders)
+    good, bad, first, last = [0] * n, [0] * n, [-1] * n, [-1] * n
+    titled = [False] * n
+    for i, b in enumerate(blocks):
+        if b.holder >= 0:
+            good[b.holder] += labels[i] == GOOD and b.tag != "h1"
+            bad[b.holder] += labels[i] == BAD
+            if first[b.holder] < 0:
+                first[b.holder] = i
+            last[b.holder] = i
+            titled[b.holder] = titled[b.holder] or b.tag == "h1"
+    for k in range(n - 1, -1, -1):  # containers count what those within them hold
+        up = holders[k].parent
+        if up >= 0 and first[k] >= 0:
+            good[up] += good[k]
+            bad[up] += bad[k]
+            first[up] = first[k] if first[up] < 0 else min(first[up], first[k])
+            last[up] = max(last[up], last[k])
+            titled[up] = titled[up] or titled[k]
+    aside = [False] * n
+    for k, h in enumerate(holders):
+        opens_badly = first[k] >= 0 and (closing[first[k]] or _teaser_heading(blocks[first[k]]))
+        own = h.tag in ("nav", "aside", "footer") or bool(_ASIDE_NAMES.search(h.attributes))
+        own = own or opens_badly or bad[k] > 1 and bad[k] > good[k]
+        # Around the title stands the body, or a container that was never closed.
+        aside[k] = own and not titled[k] or h.parent >= 0 and aside[h.parent]
+    inside = [b.holder < 0 or not aside[b.holder] for b in blocks]
 
     titles = [i for i, b in enumerate(blocks) if b.tag == "h1" and inside[i]]
     keep = [False] * len(blocks)
-    if titles:
-        for title in titles:
-            path = blocks[title].path
-            while path:
-                members = [i for i, b in enumerate(blocks) if b.path[: len(path)] == path]
-                if any(labels[i] == GOOD and inside[i] and blocks[i].tag != "h1" for i in members):
-                    break
-                path = path[:-1]
-            if path and holders[path[-1]][0] != "body":
-                for i in members:
-                    keep[i] = i >= title
-            else:
-                for i in range(title, len(blocks)):
-                    b = blocks[i]
-                    if i > title and (b.gap or b.tag == "h1" or closing[i]):
-                        break
-                    if _teaser_heading(b):
-                        break
-                    keep[i] = True
-    else:
-        keep = [label == GOOD or label == OPEN for label in labels]
+    for title in titles:
+        if keep[title]:
+            continue
+        k = blocks[title].holder
+        while k >= 0 and not good[k]:
+            k = holders[k].parent
+        if k >= 0 and holders[k].tag != "body":
+            keep[title : last[k] + 1] = [True] * (last[k] + 1 - title)
+            continue
+        for i in range(title, len(blocks)):
+            b = blocks[i]
+            if i > title and (b.gap or b.tag == "h1" or closing[i]) or _teaser_heading(b):
+                break
+            keep[i] = True
+    if not titles:
+        keep = [label != BAD for label in labels]
 
     members = [i for i in range(len(blocks)) if keep[i] and inside[i]]
+    before, after = [OPEN] * len(members), [OPEN] * len(members)  # the nearest decided neighbours
+    for at in range(1, len(members)):
+        before[at] = labels[members[at - 1]] or before[at - 1]
+    for at in range(len(members) - 2, -1, -1):
+        after[at] = labels[members[at + 1]] or after[at + 1]
     out: list[str] = []
-    for k, i in enumerate(members):  # pass 2
+    for at, i in enumerate(members):  # pass 2
         label = labels[i]
         if label == OPEN:
-            before = next((labels[j] for j in reversed(members[:k]) if labels[j]), OPEN)
-            after = next((labels[j] for j in members[k + 1 :] if labels[j]), OPEN)
-            label = BAD if BAD in (before, after) and GOOD not in (before, after) else GOOD
-            if not titles and GOOD not in (before, after):
-                label = BAD
+            near = (before[at], after[at])
+            label = GOOD if GOOD in near or titles and BAD not in near else BAD
         if label == GOOD:
             out.append(blocks[i].text)
     return list(dict.fromkeys(out))

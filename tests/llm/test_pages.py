@@ -41,7 +41,8 @@ def test_broken_pages_take_no_longer():
     from citelens.llm.main_text import main_lines
 
     began = time.time()
-    for html in ("<a " * 200_000, '<p title="' * 100_000, "<" * 300_000, "<!--" * 100_000, "<script>" * 50_000, "&#" * 200_000):
+    for html in ("<a " * 200_000, '<p title="' * 100_000, "<" * 300_000, "<!--" * 100_000, "<script>" * 50_000, "&#" * 200_000,
+                 "<div>x" * 50_000, "<div>" * 50_000 + "</x>" * 50_000, "<article><h1>t</h1>" * 20_000, "<td>a" * 50_000, "<p>a</p>" * 50_000):
         page_lines(html)
         main_lines(html)
     assert time.time() - began < 30
