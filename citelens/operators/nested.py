@@ -40,6 +40,22 @@ def valid_json(body: Column) -> Column:
     return F.when((F.size(listed) == 1) & alone, F.element_at(listed, 1))
 
 
+def _depth(body: Column) -> Column:
+    """How deep the body's arrays and objects are nested, from its brackets outside of strings."""
+    outside = F.regexp_replace(F.regexp_replace(body, r"\\.", ""), '"[^"]*+"', "")
+    brackets = F.split(F.regexp_replace(outside, r"[^\[\]{}]++", ""), "")
+    deepest = F.aggregate(
+        brackets,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, c: F.struct(
+            (s["now"] + F.when(c.isin("[", "{"), 1).when(c == "", 0).otherwise(-1)).alias("now"),
+            F.greatest(s["most"], s["now"]).alias("most"),
+        ),
+        lambda s: F.greatest(s["most"], s["now"]),
+    )
+    return deepest
+
+
 def _fields(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
@@ -125,7 +141,7 @@ def object_nodes(df: DataFrame, key: str, body: str, payload: bool = False) -> D
         _elements(F.col("root")).alias("elements"),
     )
     start = F.struct(F.array(whole).alias("open"), F.array().cast(T.ArrayType(_OBJECT)).alias("met")).cast(_STATE)
-    levels = F.length("text") - F.length(F.translate("text", "[{", "")) + 1  # no body is deeper than it has brackets
+    levels = _depth(F.col("text")) + 1
     met = F.aggregate(
         F.sequence(F.lit(1), levels),
         start,
