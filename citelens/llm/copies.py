@@ -49,22 +49,36 @@ def _plain(text: str) -> str:
 
 def _unwrap(text: str) -> str:
     """Without the white space, brackets, quotes, link label and final punctuation around a url."""
+    start, end = 0, len(text)
+    opened, closed = text.count("("), text.count(")")
+    parameters, labels = "?" in text, text.rfind("](")
     while True:
-        before = text
-        text = text.strip().rstrip(_PUNCTUATION).lstrip(_OPENERS)
-        label = _LABEL.fullmatch(text)
-        if label:
-            text = label[1]
-        elif text[:1] == "[" and "](" not in text:
-            text = text[1:]
-        if text[-1:] in _CLOSERS:
-            text = text[:-1]
-        elif text[-1:] == ")" and text.count(")") > text.count("("):
-            text = text[:-1]
-        elif text[-1:] == "/" and ("?" not in text or text[-2:-1].isspace() or text[-2:-1] in _CLOSERS + ")"):
-            text = text[:-1]
-        if text == before:
-            return text
+        before = start, end
+        while end > start and (text[end - 1].isspace() or text[end - 1] in _PUNCTUATION):
+            end -= 1
+        while start < end and (text[start].isspace() or text[start] in _OPENERS):
+            opened -= text[start] == "("
+            start += 1
+        if start == end:
+            return ""
+        if text[start] == "[":
+            label = _LABEL.fullmatch(text, start, end) if labels > start else None
+            if label:
+                start, end = label.span(1)
+                opened, closed = text.count("(", start, end), text.count(")", start, end)
+                continue
+            if labels < start:
+                start += 1
+        last = text[end - 1] if end > start else ""
+        if last and last in _CLOSERS:
+            end -= 1
+        elif last == ")" and closed > opened:
+            closed -= 1
+            end -= 1
+        elif last == "/" and (not parameters or text[end - 2].isspace() or text[end - 2] in _CLOSERS + ")"):
+            end -= 1
+        if (start, end) == before:
+            return text[start:end]
 
 
 def canonical_url(url: str | None) -> str | None:

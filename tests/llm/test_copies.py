@@ -29,6 +29,15 @@ def test_canonical_url(a, b, same):
     assert (copies.canonical_url(a) == copies.canonical_url(b)) is same
 
 
+def test_long_wrappings():
+    import time
+
+    began = time.time()
+    for url in (")" * 300_000, "(" * 300_000, "/" * 300_000, "https://a.test/" + "x/)." * 100_000, "[a](" * 300 + "b.test/" + ")" * 300, "[" * 200_000):
+        copies.canonical_url(url)
+    assert time.time() - began < 20
+
+
 def test_canonical_empty():
     assert copies.canonical_url(None) is None
     assert copies.canonical_url("") is None
