@@ -17,7 +17,7 @@ COMMERCIAL = ("best", "review", " vs ", "vergleich", "test", "beste")
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.regexp_replace(text, r"^[\s\p{Z}]++|(?<![\s\p{Z}])[\s\p{Z}]++$", "")
 
 
 def _part(url: Column, n: int) -> Column:
@@ -25,7 +25,7 @@ def _part(url: Column, n: int) -> Column:
 
 
 def _path(url: Column) -> Column:
-    path = F.regexp_replace(_part(url, 3), "/+$", "")
+    path = F.regexp_replace(_part(url, 3), "(?<!/)/++$", "")
     return F.when(path == "", "/").otherwise(path)
 
 
@@ -48,7 +48,7 @@ def validation_key(url: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(strip(url), r"(?i)^https?://", ""), r"#.*$", "")
     host = F.regexp_replace(F.lower(F.substring_index(bare, "/", 1)), r"^www\.", "")
     rest = F.when(F.contains(bare, F.lit("/")), F.regexp_replace(bare, r"^[^/]*", "")).otherwise("/")
-    base = F.regexp_replace(F.substring_index(rest, "?", 1), "/+$", "")
+    base = F.regexp_replace(F.substring_index(rest, "?", 1), "(?<!/)/++$", "")
     query = F.when(F.contains(rest, F.lit("?")), F.regexp_replace(rest, r"^[^?]*", "")).otherwise("")
     key = F.concat(host, F.when(base == "", "/").otherwise(base), query)
     return F.when(F.coalesce(strip(url), F.lit("")) == "", "").otherwise(key)
@@ -57,7 +57,7 @@ def validation_key(url: Column) -> Column:
 def passage_key(url: Column) -> Column:
     """All in lower case, without scheme, leading www. and final slashes; parameters and fragment stay."""
     bare = F.regexp_replace(F.lower(strip(url)), r"^https?://", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"^www\.", ""), "/+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"^www\.", ""), "(?<!/)/++$", "")
 
 
 def domain_strict(url: Column) -> Column:

@@ -93,3 +93,15 @@ def test_statistics(spark):
     low, high = stats.wilson(F.col("k"), F.col("n"))
     got = df.select(low.alias("l"), high.alias("h")).collect()
     assert got[0]["l"] < 0.5 < got[0]["h"] and got[1]["l"] is None and got[2]["l"] == 0 and got[3]["h"] == 1
+
+
+def test_long_urls_take_linear_time(spark):
+    import time
+
+    n = 300_000
+    rows = ["a" * n, "." * n + "a", "//" * n, "https://a.test" + "/" * n + "x", " " * n + "x" + " " * n + "y", "//" + "a" * n + "."]
+    began = time.time()
+    assert values(spark, site_of, rows)[3] == "a.test"
+    for f in (url.repair_key, url.validation_key, url.passage_key, url.clean_url, url.collector_key):
+        values(spark, f, rows)
+    assert time.time() - began < 60
