@@ -56,24 +56,26 @@ _PROMPTS = re.compile(
     r"(?:lesen sie (?:auch|mehr)|mehr dazu|siehe auch|auch interessant|weiterlesen|zum thema)\s*:"
     r"|(?:anzeige|werbung|sponsored|advertorial)\W*\Z"
     r"|(?:diesen )?(?:beitrag|artikel|seite)?\s*(?:teilen|drucken|weiterempfehlen|merken|versenden)\W*\Z"
+    r"|(?:beitrag|artikel|seite) (?:teilen|drucken|weiterempfehlen|merken|versenden)"
     r"|link kopieren|auf die merkliste|per (?:e-?mail|whatsapp) (?:senden|teilen|versenden)"
     r"|verpassen sie nichts|kostenlose post|jeden \w+tag neue tipps"
     r"|stand\s*:\s*\d|veröffentlicht|aktualisiert|zuletzt geändert|(?:text|autorin?|foto|quelle)\s*:|von der redaktion"
     r"|geprüft durch|ein beitrag aus der reihe|copyright|[^\w]*©"
 )
-# Wording within prompts and adverts, in lower case.
-_PROMPTS_WITHIN = re.compile(r"\Aaktion bei [^:]*:|\A.{1,60} empfiehlt\s*:|\bim abo\Z|newsletter")
+# Adverts that name their sender, in lower case.
+_ADVERTS = re.compile(r"aktion bei [^:]*:|.{1,60} empfiehlt\s*:")
 # Notices below and around a body, in lower case: how they begin, and wording within them.
 _CLOSING = re.compile(
     r"hinweis\s*:|[^\w]*©|(?:alle annehmen|nur nötige|impressum|datenschutz|agb|sitemap|nach oben|barrierefreiheit|widerruf|"
     r"cookie-einstellungen)\Z"
 )
-_CLOSING_WITHIN = re.compile(
-    r"ohne gewähr|nachdruck nur|inklusive umsatzsteuer|verweise eine vergütung|alle rechte vorbehalten|\bcookies?\b"
-    r"|partnern daten auf|partner beteiligt|stimmen sie der|auswahl gilt"
+_CLOSING_WITHIN = (
+    "ohne gewähr", "nachdruck nur", "inklusive umsatzsteuer", "verweise eine vergütung", "alle rechte vorbehalten",
+    "partnern daten auf", "partner beteiligt", "stimmen sie der", "auswahl gilt",
 )
-#: Notices are short; longer lines are judged by how they begin.
-_NOTICE = 200
+_COOKIES = re.compile(r"\bcookies?\b")
+_IN_SUBSCRIPTION = re.compile(r"\bim abo\Z")
+_PUNCTUATION = ".,;:()„“\"'"
 _SEPARATORS = re.compile(r"\s[›»>|]\s")
 
 GOOD, BAD, OPEN = 1, -1, 0
@@ -195,7 +197,23 @@ def _teaser_heading(block: Block) -> bool:
 
 
 def _closes(low: str) -> bool:
-    return bool(_CLOSING.match(low) or len(low) < _NOTICE and _CLOSING_WITHIN.search(low))
+    if _CLOSING.match(low) or "cookie" in low and _COOKIES.search(low):
+        return True
+    return any(x in low for x in _CLOSING_WITHIN)
+
+
+def _prompts(low: str) -> bool:
+    if _PROMPTS.match(low) or "newsletter" in low or low.endswith("im abo") and _IN_SUBSCRIPTION.search(low):
+        return True
+    return (low.startswith("aktion bei ") or "empfiehlt" in low) and bool(_ADVERTS.match(low))
+
+
+def _running(words: list[str]) -> bool:
+    """Whether the words have the stop-word density of running text."""
+    least = 0.15 * len(words)
+    if sum(w in STOP_WORDS for w in words) >= least:  # punctuation can only hide some
+        return True
+    return sum(w.strip(_PUNCTUATION) in STOP_WORDS for w in words) >= least
 
 
 def _decide(block: Block, low: str, closes: bool, own_name: re.Pattern[str] | None) -> int:
@@ -204,13 +222,13 @@ def _decide(block: Block, low: str, closes: bool, own_name: re.Pattern[str] | No
     heading = block.tag in _HEADINGS
     if heading and _ASIDE_HEADINGS.match(low):
         return BAD
-    if closes or _PROMPTS.match(low) or _PROMPTS_WITHIN.search(low) or own_name and len(words) < 25 and own_name.search(low):
+    if closes or _prompts(low) or own_name and len(words) < 25 and own_name.search(low):
         return BAD
     if heading:
         return GOOD
     if len(words) < 25 and len(_SEPARATORS.findall(low)) > 1:
         return BAD
-    if len(words) >= 8 and block.linked < 0.7 and sum(w in STOP_WORDS for w in words) >= 0.15 * len(words):
+    if len(words) >= 8 and block.linked < 0.7 and _running(words):
         return GOOD
     if block.linked > 0.8 and len(words) < 5 and block.tag == "li":
         return BAD

@@ -120,6 +120,24 @@ def test_body_edges(spark):
     assert Counter(tuple(r) for r in got) == Counter({(1, "t"): 2, (1, SENTENCE.lower()): 2})
 
 
+def test_notices_of_any_length():
+    notice = "Wir und unsere Partner nutzen auf der Seite Cookies, damit sie für Sie besser wird, und mit der Zeit auch mehr. "
+    notice += "Sie können die Auswahl in den Einstellungen ändern, wenn Sie es so wollen, und zwar bei jedem Besuch der Seite. "
+    legal = "Die Angaben auf der Seite sind ohne Gewähr und " + "auch bei der Prüfung nach bestem Wissen " * 10
+    assert len(notice) > 200 and len(legal) > 300
+    flat = f"<h1>Titel</h1>{SENTENCE}<br>{{}}<br>{SENTENCE.replace('Wohnung', 'Garage')}"
+    assert main_text.main_lines(flat.format(notice * 2)) == main_text.main_lines(flat.format(legal)) == ["Titel", SENTENCE]
+    assert main_text.main_lines(f"<article><h1>T</h1><p>{notice}</p><p>{SENTENCE}</p></article>") == ["T", SENTENCE]
+
+
+def test_punctuation_and_share_prompts():
+    text = "Warum (und wann), so fragen Eigentümer Notare, Gutachter, Makler, Banken"  # two stop words of ten, hidden by signs
+    text = text.replace("so fragen", "(so) fragen").replace("Warum (und wann)", "Warum (und, aber)")
+    share = "Artikel weiterempfehlen: das ist mit der Post und bei uns im Netz möglich"
+    assert main_text.main_lines(f"<p>{text}</p>") == [text]
+    assert main_text.main_lines(f"<article><h1>T</h1><p>{SENTENCE}</p><p>{share}</p></article>") == ["T", SENTENCE]
+
+
 PASSAGES = "match_id bigint, aio_sentence string, source_sentence string, page_id bigint, html string"
 
 
