@@ -76,6 +76,13 @@ _CLOSING_WITHIN = (
 _COOKIES = re.compile(r"\bcookies?\b")
 _IN_SUBSCRIPTION = re.compile(r"\bim abo\Z")
 _PUNCTUATION = ".,;:()„“\"'"
+# Wording that with the site's own name makes a prompt or a notice, in lower case.
+_OWN_PROMPTS = re.compile(
+    r"willkommen|\banmelden\b|\bregistrieren\b|\babonnieren\b|\bfolgen sie\b|\bfolge uns\b|\bredaktion\b|\bgmbh\b|\bverlag\b"
+    r"|\b(?:angebot|service|dienst) (?:von|der|des)\b"
+)
+# Labels that stand between a site's name and its country.
+_SECOND_LEVEL = frozenset("ac co com edu gov gv ne net or org".split())
 _SEPARATORS = re.compile(r"\s[›»>|]\s")
 
 GOOD, BAD, OPEN = 1, -1, 0
@@ -186,7 +193,8 @@ def _names(site: str | None, html: str) -> re.Pattern[str] | None:
         if len(last) > 1:
             names.add(last[-1])
     if site:
-        core = site.split(".")[-2:][0]
+        labels = site.split(".")
+        core = labels[-3 if len(labels) > 2 and labels[-2] in _SECOND_LEVEL else -2 if len(labels) > 1 else 0]
         names |= {core.replace("-", " "), core}
     names = {x.lower() for x in names if len(x) > 3}
     return _name_pattern(tuple(sorted(names, key=len, reverse=True))) if names else None
@@ -216,13 +224,23 @@ def _running(words: list[str]) -> bool:
     return sum(w.strip(_PUNCTUATION) in STOP_WORDS for w in words) >= least
 
 
+def _of_site(block: Block, low: str, own_name: re.Pattern[str]) -> bool:
+    """Whether a short line speaks of the site: its name may also be the article's topic, so it needs a link or wording."""
+    if not own_name.search(low):
+        return False
+    if block.linked > 0.8 or _OWN_PROMPTS.search(low):
+        return True
+    parts = _SEPARATORS.split(low)
+    return any(x.startswith(("mein ", "über ")) and own_name.fullmatch(x[5:]) for x in parts)
+
+
 def _decide(block: Block, low: str, closes: bool, own_name: re.Pattern[str] | None) -> int:
     """Pass 1; ``low`` is the block's text in lower case."""
     words = low.split()
     heading = block.tag in _HEADINGS
     if heading and _ASIDE_HEADINGS.match(low):
         return BAD
-    if closes or _prompts(low) or own_name and len(words) < 25 and own_name.search(low):
+    if closes or _prompts(low):
         return BAD
     if heading:
         return GOOD
@@ -230,6 +248,8 @@ def _decide(block: Block, low: str, closes: bool, own_name: re.Pattern[str] | No
         return BAD
     if len(words) >= 8 and block.linked < 0.7 and _running(words):
         return GOOD
+    if own_name and len(words) < 25 and _of_site(block, low, own_name):
+        return BAD
     if block.linked > 0.8 and len(words) < 5 and block.tag == "li":
         return BAD
     return OPEN

@@ -138,6 +138,19 @@ def test_punctuation_and_share_prompts():
     assert main_text.main_lines(f"<article><h1>T</h1><p>{SENTENCE}</p><p>{share}</p></article>") == ["T", SENTENCE]
 
 
+@pytest.mark.parametrize("site", ["bodenrichtwert.test", "www.bodenrichtwert.co.uk", "bodenrichtwert.com.de"])
+def test_site_named_by_its_topic(site):
+    lines = ["Bodenrichtwert in Ort", "Der Bodenrichtwert steht in der Karte, und er gilt für ein Jahr.", "Was sagt der Bodenrichtwert?",
+             "Bodenrichtwert der Gemeinde", "Bodenrichtwert", "240 Euro"]
+    html = "<title>Ratgeber | Bodenrichtwert</title><article><h1>{}</h1><p>{}</p><h2>{}</h2><ul><li>{}</li></ul><table><tr><td>{}</td><td>{}</td></tr></table>{}</article>"
+    site_lines = "<p>Mein Bodenrichtwert</p><p>Jetzt bei Bodenrichtwert anmelden</p><p><a href=x>Rechner von Bodenrichtwert</a></p>"
+    assert main_text.main_lines(html.format(*lines, site_lines), site) == lines
+
+
+def test_name_of_a_site():
+    assert main_text._names("www.hausblatt.co.uk", "").pattern == main_text._names("hausblatt.test", "").pattern
+
+
 PASSAGES = "match_id bigint, aio_sentence string, source_sentence string, page_id bigint, html string"
 
 
