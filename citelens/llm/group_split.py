@@ -6,17 +6,19 @@ the root of each hooked label, and the roots replace the labels. A label is hook
 shrink from round to round; the rounds' roots form a forest that is resolved in the same way. A set's label is its
 alphabetically first site.
 
-Splits are then assigned to whole sets: the largest ones by a greedy choice of the split whose row count and label counts
-stay nearest to their targets, the others by a hash with the probabilities that the large ones left open.
+Splits are then assigned to whole sets. Sets with the same numbers of rows, positives and negatives are one profile; the sets
+of each profile, the largest first, go by a greedy choice to the splits whose row counts and label counts stay nearest to their
+targets. Within a profile sets are dealt out by their rank. One rule holds for all sets and at every size of input.
 
 Scale. Edges are distinct (query, site) pairs, so that hot keys are reduced before they move; a label's minimum is a
-map-side aggregate; every round is written to the shared folder. Only counts come to the driver, and the sets of more
-than 1/``exact`` of all rows, of which there are fewer than ``exact``.
+map-side aggregate; every round is written to the shared folder. Only the profiles with their counts come to the driver; where
+every row has a label, N rows make about N^(2/3) of them at most. The sets of more than 1/``exact`` of all rows, of
+which there are fewer than ``exact``, are broadcast to their rows, so that no hot set is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from citelens.functions.site import site_of
@@ -64,54 +66,83 @@ def site_roots(edges: DataFrame) -> DataFrame:
     return _forest_roots(parents.withColumnRenamed("root", "parent"))
 
 
-def tied_sets(labels: DataFrame) -> DataFrame:
-    """(row_id, query_id, site, set_domain): every row with the first site of its set.
+def tied_sets(labels: DataFrame, *kept: str) -> DataFrame:
+    """(row_id, query_id, site, set_domain, *kept): every row with the first site of its set.
 
     Rows are tied by the same non-null query_id or the same site of url, also through other rows. A row that is tied to no
-    site at all has a null set_domain. Repeated rows come out as often as they come in; further columns are ignored.
+    site at all has a null set_domain. Repeated rows come out as often as they come in; columns not ``kept`` are ignored.
     """
-    rows = labels.select("row_id", "query_id", site_of(F.col("url")).alias("site"))
+    rows = labels.select("row_id", "query_id", site_of(F.col("url")).alias("site"), *kept)
     edges = stage(rows.where("query_id is not null and site is not null").select("query_id", "site").distinct(), "split-edges")
     roots = site_roots(edges)
     with_site = rows.where("site is not null").join(roots, "site", "left")
-    with_site = with_site.select("row_id", "query_id", "site", F.coalesce("root", "site").alias("set_domain"))
+    with_site = with_site.select("row_id", "query_id", "site", F.coalesce("root", "site").alias("set_domain"), *kept)
     of_query = edges.groupBy("query_id").agg(F.min("site").alias("some")).join(
         roots.withColumnRenamed("site", "some"), "some", "left"
     )
     of_query = of_query.select("query_id", F.coalesce("root", "some").alias("set_domain"))
     bare = rows.where("site is null")
     without_site = bare.where("query_id is not null").join(of_query, "query_id", "left")
-    columns = ["row_id", "query_id", "site", "set_domain"]
+    columns = ["row_id", "query_id", "site", "set_domain", *kept]
     alone = bare.where("query_id is null").withColumn("set_domain", F.lit(None).cast("string"))
     return with_site.select(columns).unionByName(without_site.select(columns)).unionByName(alone.select(columns))
 
 
-def _greedy(groups: list[Row], total: Row, shares: dict[str, float]) -> tuple[dict[str, str], dict[str, float]]:
-    """The split of each large set, and each split's rows still open."""
-    wants = {s: (share * total["n"], share * total["positive"], share * total["negative"]) for s, share in shares.items()}
-    has = {s: [0.0, 0.0, 0.0] for s in shares}
-    weights = [1 / max(1, x) ** 2 for x in (total["n"], total["positive"], total["negative"])]
-    chosen = {}
-    for g in sorted(groups, key=lambda g: (-g["n"], g["set_key"])):
-        adds = (g["n"], g["positive"], g["negative"])
-
-        def change(s: str, adds: tuple = adds) -> float:
-            return sum(
-                w * ((h + x - t) ** 2 - (h - t) ** 2) / max(1e-9, shares[s])
-                for w, h, x, t in zip(weights, has[s], adds, wants[s])
-            )
-
-        best = min(shares, key=lambda s: (change(s), s))
-        chosen[g["set_key"]] = best
-        has[best] = [h + x for h, x in zip(has[best], adds)]
-    return chosen, {s: max(0.0, wants[s][0] - has[s][0]) for s in shares}
-
-
-def grouped_splits(labels: DataFrame, shares: DataFrame, exact: int = 5000, seed: int = 0) -> DataFrame:
+_PROFILE = ["n", "positive", "negative"]
+#: The sets of a profile are dealt out in parts of 1/64 of those left, in the end one by one.
+_PARTS = 64
+
+
+def _greedy(profiles: list[Row], total: dict[str, int], shares: dict[str, float]) -> dict[tuple[int, int, int], list[int]]:
+    """How many sets of each profile go to each split, in the order of ``shares``; profiles have the number of their ``sets``."""
+    wants = [[share * total[x] for x in _PROFILE] for share in shares.values()]
+    has = [[0.0, 0.0, 0.0] for _ in wants]
+    weights = [[1 / max(1, total[x]) ** 2 / share for x in _PROFILE] for share in shares.values()]
+    dealt = {}
+    for profile in sorted(profiles, key=lambda g: tuple(-g[x] for x in _PROFILE)):
+        one = tuple(profile[x] for x in _PROFILE)
+        counts = dealt[one] = [0] * len(wants)
+        left = profile["sets"]
+        while left:
+            part = -(-left // _PARTS)
+            adds = [part * x for x in one]
+            # the change of the weighted squares of has - wants
+            changes = [
+                sum(w * x * (x + 2 * (h - t)) for w, h, x, t in zip(weights[k], has[k], adds, wants[k])) for k in range(len(wants))
+            ]
+            best = changes.index(min(changes))
+            counts[best] += part
+            left -= part
+            has[best] = [h + x for h, x in zip(has[best], adds)]
+    return dealt
+
+
+def _dealt_sets(groups: DataFrame, dealt: dict[tuple[int, int, int], list[int]], splits: list[str], seed: int, per_bucket: int) -> DataFrame:
+    """(set_key, n, split_name): the sets of a profile by rank, in the order of a hash; ranks are counted in buckets."""
+    spark = groups.sparkSession
+    buckets = max(1, min(4096, -(-sum(map(sum, dealt.values())) // per_bucket)))
+    bucketed = groups.withColumn("order", F.xxhash64("set_key", F.lit(seed)))
+    bucketed = bucketed.withColumn("bucket", F.pmod("order", F.lit(buckets)).cast("int"))
+    ends = [(*k, [sum(counts[: i + 1]) for i in range(len(counts))]) for k, counts in dealt.items()]
+    ends = spark.createDataFrame(ends, "n bigint, positive bigint, negative bigint, ends array<bigint>")
+    counted = bucketed.groupBy(*_PROFILE, "bucket").agg(F.count("*").alias("sets"))
+    before = Window.partitionBy(*_PROFILE).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select(*_PROFILE, "bucket", F.coalesce(F.sum("sets").over(before), F.lit(0)).alias("offset")).join(ends, _PROFILE)
+    within = Window.partitionBy(*_PROFILE, "bucket").orderBy("order", "set_key")
+    ranked = bucketed.withColumn("at", F.row_number().over(within) - 1).join(offsets, [*_PROFILE, "bucket"])
+    rank = F.col("offset") + F.col("at")
+    passed = F.size(F.filter("ends", lambda end: end <= rank))
+    return ranked.select("set_key", "n", F.element_at(F.array(*map(F.lit, splits)), passed + 1).alias("split_name"))
+
+
+def grouped_splits(
+    labels: DataFrame, shares: DataFrame, exact: int = 5000, seed: int = 0, sets_per_bucket: int = 200_000
+) -> DataFrame:
     """(row_id, set_domain, split_name): every row; no query and no site has rows in two splits.
 
     ``shares`` has split_name and split_share; shares are scaled to sum 1, and at least one must be positive. A null label
-    counts for the rows only. An empty table gives no rows.
+    counts for the rows only. An empty table gives no rows. ``exact`` only says which sets are broadcast, not how they are
+    dealt out.
     """
     wanted = {x["split_name"]: x["split_share"] for x in shares.select("split_name", "split_share").collect()}
     wanted = {k: v for k, v in wanted.items() if k is not None and v and v > 0}
@@ -119,29 +150,19 @@ def grouped_splits(labels: DataFrame, shares: DataFrame, exact: int = 5000, seed
         raise ValueError("no split has a positive share")
     shares_ = {k: v / sum(wanted.values()) for k, v in sorted(wanted.items())}
     key = F.coalesce(
-        F.concat(F.lit("s:"), "set_domain"), F.concat(F.lit("q:"), "query_id"), F.concat(F.lit("r:"), F.col("row_id").cast("string"))
+        F.concat(F.lit("s:"), "set_domain"), F.concat(F.lit("q:"), "query_id"), F.concat(F.lit("r:"), F.col("row_id").cast("string")), F.lit("")
     )
-    rows = stage(tied_sets(labels).withColumn("set_key", key), "split-rows")
+    rows = stage(tied_sets(labels, "label").withColumn("set_key", key), "split-rows")
     tally = [F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative")]
-    total = labels.agg(*tally).first()
-    outcomes = labels.groupBy("row_id").agg(*tally)  # a repeated row id stands for all its rows
-    ids = rows.select("set_key", "row_id").distinct().join(outcomes, "row_id")
-    groups = ids.groupBy("set_key").agg(*(F.sum(x).alias(x) for x in ("n", "positive", "negative")))
-    large = groups.where(F.col("n") * exact > total["n"]).collect()  # fewer than ``exact`` sets
-    chosen, open_ = _greedy(large, total, shares_)
-    left = sum(open_.values())
-    odds = {s: (x / left if left else shares_[s]) for s, x in open_.items()}
-    u = F.pmod(F.xxhash64("set_key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    by_hash, upto = None, 0.0
-    for s, p in odds.items():
-        upto += p
-        by_hash = F.when(u < upto, s) if by_hash is None else by_hash.when(u < upto, s)
-    by_hash = by_hash.otherwise(max(odds, key=odds.get))
-    spark = labels.sparkSession
-    fixed = F.broadcast(spark.createDataFrame(list(chosen.items()), "set_key string, fixed string"))
-    return rows.join(fixed, "set_key", "left").select(
-        "row_id", "set_domain", F.coalesce("fixed", by_hash).alias("split_name")
-    )
+    groups = stage(rows.groupBy("set_key").agg(*tally), "split-sets")
+    profiles = groups.groupBy(*_PROFILE).agg(F.count("*").alias("sets")).collect()
+    total = {x: sum(g[x] * g["sets"] for g in profiles) for x in _PROFILE}
+    dealt = _greedy(profiles, total, shares_)
+    sets = stage(_dealt_sets(groups, dealt, list(shares_), seed, sets_per_bucket), "split-sets")
+    large = F.col("n") * exact > total["n"]  # fewer than ``exact`` sets
+    hot, others = F.broadcast(sets.where(large).drop("n")), sets.where(~large).drop("n")
+    made = rows.join(hot, "set_key").unionByName(rows.join(hot, "set_key", "left_anti").join(others, "set_key"))
+    return made.select("row_id", "set_domain", "split_name")
 
 
 def split_report(labels: DataFrame, shares: DataFrame) -> DataFrame:

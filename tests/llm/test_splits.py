@@ -67,6 +67,39 @@ def test_splits_keep_sets_and_shares(spark):
         assert abs(train - 0.8) < (0.01 if exact == 5000 else 0.05)
 
 
+def test_small_sets_make_up_for_a_hot_one(spark):
+    """A third of the rows in one set of other label mix: every split still gets its rows and the labels of the whole."""
+    r = random.Random(6)
+    rows = [row(i, "hot", f"https://hot{i % 7}.test/", int(i % 10 < 9)) for i in range(1000)]
+    for k in range(900):
+        rows += [row(len(rows) + j, f"q{k}", f"https://tail{k}.test/", int(r.random() < 0.2)) for j in range(r.choice([1, 1, 2, 3, 4]))]
+    rows += [row(len(rows), None, None, None), row(None, None, None, 1), row(None, "q1", None, 0)]
+    df = spark.createDataFrame(rows, LABELS)
+    shares = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split_name string, split_share double")
+    label = {x[0]: x[3] for x in rows}
+    rate = sum(x[3] or 0 for x in rows) / len(rows)
+    splits = []
+    for exact, per_bucket in ((5000, 200_000), (20, 200_000), (20, 50)):
+        made = group_split.grouped_splits(df, shares, exact, sets_per_bucket=per_bucket).collect()
+        assert len(made) == len(rows)
+        for name, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
+            ids = [x["row_id"] for x in made if x["split_name"] == name]
+            assert abs(len(ids) - share * len(rows)) < 4
+            assert abs(sum(label[i] or 0 for i in ids) / len(ids) - rate) < 0.01
+        splits.append({(x["row_id"], x["split_name"]) for x in made})
+    assert splits[0] == splits[1]
+
+
+def test_counts_of_many_equal_sets():
+    profiles = [dict(n=3, positive=3, negative=0, sets=1_000_003), dict(n=1, positive=0, negative=1, sets=9_000_001)]
+    total = {x: sum(g[x] * g["sets"] for g in profiles) for x in ("n", "positive", "negative")}
+    shares = {"a": 0.1, "b": 0.1, "c": 0.8}
+    dealt = group_split._greedy(profiles, total, shares)
+    for g in profiles:
+        counts = dealt[g["n"], g["positive"], g["negative"]]
+        assert sum(counts) == g["sets"] and all(abs(c - s * g["sets"]) < 0.001 * g["sets"] for c, s in zip(counts, shares.values()))
+
+
 def test_empty_and_repeated(spark):
     shares = spark.createDataFrame([("a", 1.0), ("b", 0.0), (None, 1.0)], "split_name string, split_share double")
     empty = spark.createDataFrame([], LABELS)
