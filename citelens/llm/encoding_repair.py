@@ -25,8 +25,10 @@ from citelens.staging import spread
 #: Encodings that UTF-8 text is wrongly read as.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251")
 #: (read as, meant) of texts in an encoding of one byte each.
-SINGLE_BYTE = (("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"))
-MAX_LAYERS = 4
+SINGLE_BYTE = (
+    ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"),
+    ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "mac_roman"), ("cp1252", "cp1250"), ("cp1252", "iso8859_2"),
+)
 
 # Letters beyond ASCII and frequent words of each language.
 LETTERS = {
@@ -53,6 +55,7 @@ LETTERS["ru"] = "".join(map(chr, range(0x410, 0x450))) + "ёЁ"
 LETTERS["el"] = "".join(map(chr, range(0x386, 0x3CF)))
 WORDS["ru"] = "дом цена и в не на с по договор город оценка рынок участок срок"
 WORDS["el"] = "και το του η γη έτος τιμή πόλη σπίτι στέγη αξία αγορά"
+_VOWELS = frozenset("аеёиоуыэюя")
 _BASIC_OTHER = frozenset(LETTERS["ru"] + LETTERS["el"])
 _WEST = frozenset("".join(LETTERS.values())) - _BASIC_OTHER
 _LETTERS = {k: frozenset(v) for k, v in LETTERS.items()}
@@ -63,6 +66,8 @@ _USUAL = frozenset("„“”‚‘’«»‹›–—…€°²³§·•×÷±
 _JOINING = frozenset("’‘'–—-./\u00ad\u200b\u200d")
 #: Signs that alone are no reason to look closer.
 _CALM = frozenset("„“”‘’–—€²…°äöüßÄÖÜ")
+#: Signs that stand between letters where a blank was left out.
+_QUOTES = frozenset("„“”…«»‹›")
 _EMPTY_QUOTES = frozenset(["«»", "„“", "“”", "‚‘", "‘’", "‹›"])
 
 _UTF8 = re.compile(
@@ -70,8 +75,14 @@ _UTF8 = re.compile(
     "|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
 )
 #: A currency sign read as a letter, or a sign within a word.
-_HIDDEN_SIGN = re.compile("\\d\\s?[ÄÇ](?!\\w)|[a-z][²°][a-z]")
-_LOST = re.compile("�|[a-zäöüß][ÃÂ](?![A-ZÀ-Þ])")
+_HIDDEN_SIGN = re.compile("\\d\\s?[ÄÇ](?!\\w)|[a-z][²°„”][a-z]|[a-z][À-ÖØ-ÞŠŽŸŒ][a-z]|â€")
+#: Cyrillic read as Western: letters beyond ASCII in a row, which no Western word has so many of.
+_CYRILLIC_RUN = re.compile("[À-ÖØ-öø-ÿ¸¨÷×]{4,}")
+_CYRILLIC_WORD = re.compile("[À-ÿ¸¨]+")
+#: What is left of a sequence without its last byte.
+_LOST = re.compile("�|[a-zäöüß][ÃÂ](?![A-ZÀ-Þ])|(?<!\\w)Ã(?=[a-z])|â€")
+_WITHIN = re.compile("[a-z][À-ÖØ-ÞŠŽŸŒ§²³°„”¹º¼½¾¿¡¢£¤¥¦¨©ª¬®¯±´µ¶¸†‡‰•™ˆ˜][a-zšœž§]|[\x80-\x9f]|[šœž][§][a-z]")
+_PART_OF_UTF8 = re.compile("[ÃÂâ][\x80-\xbf€-™œšžŸŒŠŽƒˆ˜]|[ÑÐñð][\x80-\xbf€-™]")
 _TOKEN = re.compile(r"\S*[^\x00-\x7f\s]\S*")
 
 
@@ -104,9 +115,17 @@ def _codec(name: str, table: dict[str, str]) -> tuple[str, dict[int, str], froze
 
 #: (name, translation, characters that stand for a first byte)
 _CODECS = [_codec(name, _bytes_of(name)) for name in READ_AS] + [_codec("lower cp1252", _lowered())]
-_SINGLES = [
-    {ord(k): bytes([ord(v)]).decode(meant, "replace") for k, v in _bytes_of(read).items()} for read, meant in SINGLE_BYTE
-]
+
+
+def _single(read: str, meant: str) -> dict[int, str]:
+    """Each character as it was meant; what latin-1 reads as a control is one in cp1252 too."""
+    table = _bytes_of(read) | ({chr(b): chr(b) for b in range(0x80, 0xA0)} if read == "cp1252" else {})
+    return {ord(k): bytes([ord(v)]).decode(meant, "replace") for k, v in table.items()}
+
+
+#: (table, whether the text was read as cp1252, so that garbled letters are ordinary ones)
+_SINGLES = [(_single(read, meant), read == "cp1252") for read, meant in SINGLE_BYTE]
+_CYRILLIC = _single("cp1252", "cp1251")
 
 
 @lru_cache(4096)
@@ -173,13 +192,16 @@ def _utf8_step(text: str, table: dict[int, str], own: frozenset[str], lower: boo
     return "".join([*out, text[at:]]), gain
 
 
-def _telling(word: str, meant: str, own: frozenset[str]) -> bool:
+def _telling(word: str, meant: str, own: frozenset[str], ordinary: bool) -> bool:
     """Whether some change can't be chance: a sign within a word, or a foreign letter that becomes one of the language."""
     for i, (a, b) in enumerate(zip(word, meant)):
         if a == b or a < "\x80":
             continue
         before, after = word[i - 1 : i], word[i + 1 : i + 2]
         if not a.isalpha() and before.isalpha() and after.isalpha() and (b.isalpha() or b in _JOINING):
+            if not ordinary or a not in _QUOTES or b in own and before.islower() and after.islower():
+                return True
+        if ordinary and a.isupper() and before.islower() and after.islower() and b.islower() and b in own:
             return True
         if own is _WEST or a in own or a in _USUAL or b not in own:
             continue
@@ -188,9 +210,14 @@ def _telling(word: str, meant: str, own: frozenset[str]) -> bool:
     return False
 
 
-def _single_step(text: str, table: dict[int, str], own: frozenset[str]) -> tuple[str, float]:
-    """Words whose every letter beyond ASCII has a meaning in the other encoding, where that lowers the cost."""
+def _single_step(text: str, table: dict[int, str], ordinary: bool, own: frozenset[str]) -> tuple[str, float]:
+    """Words whose every letter beyond ASCII has a meaning in the other encoding, where that lowers the cost.
+
+    Where garbled letters are ``ordinary`` ones, some word must hold what no word does: a control, sign or capital within it.
+    """
     out, at, gain = [], 0, 0.0
+    if ordinary and not _WITHIN.search(text):
+        return text, gain
     for m in _TOKEN.finditer(text):
         word = m[0]
         if own.issuperset(c for c in word if c > "\x7f") and not (len(word) < 4 and word[0] in "ÄÇ"):
@@ -198,16 +225,30 @@ def _single_step(text: str, table: dict[int, str], own: frozenset[str]) -> tuple
         meant = "".join(table.get(ord(c), "\ufffd") if c > "\x7f" else c for c in word)
         if "\ufffd" in meant or "„" in meant and own.isdisjoint("ßłř"):
             continue
+        if ordinary and (_PART_OF_UTF8.search(word) or any(b not in own and b not in _USUAL for b in meant if b > "\x7f")):
+            continue
         money = word[0] in "ÄÇ" and meant[0] == "€" and re.search(r"\d\s?\Z", text[max(0, m.start() - 3) : m.start()])
-        if not money and not _telling(word, meant, own):
+        if not money and not _telling(word, meant, own, ordinary):
             continue
         drop = garbling_cost(word, " ", " ", own) - garbling_cost(meant, " ", " ", own) + bool(money)
         if drop >= 0.5 and all(b in own or b in _USUAL or b in _WEST for a, b in zip(word, meant) if a > "\x7f"):
             out += [text[at : m.start()], meant]
             at, gain = m.end(), gain + drop
+            if own is _WEST:  # without a known language, German letters are likelier
+                gain += 0.01 * sum(b in _LETTERS["de"] for b in meant)
     return "".join([*out, text[at:]]), gain
 
 
+def _cyrillic_step(text: str) -> tuple[str, int]:
+    """The text with its words read as cp1251, if these are Cyrillic beyond chance, and the number of such words."""
+    runs = _CYRILLIC_RUN.findall(text)
+    meant = [x.translate(_CYRILLIC) for x in runs]
+    sound = [x for x in meant if _LETTERS["ru"].issuperset(x) and (x[1:].islower() or x.isupper()) and not _VOWELS.isdisjoint(x.lower())]
+    if len(sound) < len(runs) or len(sound) < 2 and max(map(len, sound), default=0) < 6:
+        return text, 0
+    return _CYRILLIC_WORD.sub(lambda m: m[0].translate(_CYRILLIC), text), len(sound)
+
+
 def repair(text: str | None) -> tuple[str | None, int, bool]:
     """(text, layers taken off, lost): the restored text; lost: some of it is garbled beyond repair."""
     if not text or text.isascii():
@@ -217,24 +258,27 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
     if not odd and not _HIDDEN_SIGN.search(text):
         return text, 0, False
     own = _LETTERS.get(language_of(text) or "", _WEST)
-    if odd <= own and "Ã" not in odd and "Â" not in odd and not _HIDDEN_SIGN.search(text):
+    cyrillic = bool(_CYRILLIC_RUN.search(text))
+    if odd <= own and "Ã" not in odd and "Â" not in odd and not cyrillic and not _HIDDEN_SIGN.search(text):
         return text, 0, False
     layers = 0
-    while layers < MAX_LAYERS:
+    while True:  # a step shortens the text or lowers its cost
         best: tuple[str, float] = (text, 0.0)
         for name, table, leads in _CODECS:
             if not leads.isdisjoint(signs):
                 step = _utf8_step(text, table, own, name.startswith("lower"))
                 if step[1] > best[1]:
                     best = step
+        if not best[1] and cyrillic:
+            best = _cyrillic_step(text)
+            cyrillic = False
+        if not best[1]:
+            best = max((_single_step(text, *single, own) for single in _SINGLES), key=lambda x: x[1])
         if not best[1]:
-            break
+            return text, layers, bool(_LOST.search(text))
         text, layers = best[0], layers + 1
+        own = _LETTERS.get(language_of(text) or "", _WEST)
         signs = {c for c in set(text) if c > "\x7f"}
-    best = max((_single_step(text, table, own) for table in _SINGLES), key=lambda x: x[1])
-    if best[1]:
-        text, layers = best[0], layers + 1
-    return text, layers, bool(_LOST.search(text))
 
 
 def _document(doc_id: int | None, text: str | None) -> list[tuple]:

@@ -166,6 +166,29 @@ def test_misread_single_bytes(codec):
     assert fixed == text and layers == 1
 
 
+@pytest.mark.parametrize(
+    "read, meant, text",
+    [(read, meant, "Die größere Fläche für das tägliche Gebäude") for read in ("cp1252", "latin-1") for meant in ("mac_roman", "cp850", "cp437")]
+    + [("cp1252", "cp1251", "Договор и цена на дом"), ("cp1252", "cp1250", "Dom i było w mieście, nie w gminie"), ("cp1252", "cp850", "können")],
+)
+def test_misread_legacy_pairs(read, meant, text):
+    garbled = "".join(bytes([b]).decode(read) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in text.encode(meant))
+    assert encoding_repair.repair(garbled) == (text, 1, False)
+
+
+def test_truncated_sequences():
+    assert encoding_repair.repair("Ãber die Lage")[2] and encoding_repair.repair("der Preis â€? ist")[2] and encoding_repair.repair("Preis â€?")[2]
+    five = text = "größere Fläche für das Haus"
+    for _ in range(5):
+        five = five.encode().decode("latin-1")
+    assert encoding_repair.repair(five) == (text, 5, False)
+
+
+@pytest.mark.parametrize("text", ["und…dann “so” weiter", "äöüß ÄÖÜ àâéè", "Text„Zitat“und mehr", "Île, São, État"])
+def test_other_good_texts_stay(text):
+    assert encoding_repair.repair(text) == (text, 0, False)
+
+
 def test_nested_and_lost():
     twice = "größere Fläche".encode().decode("cp1252").encode().decode("cp1252")
     assert encoding_repair.repair(twice) == ("größere Fläche", 2, False)
