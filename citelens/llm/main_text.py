@@ -1,17 +1,23 @@
 """Problem 5: the page's own body, without menus, notices, teasers and footers.
 
-Two passes of block rules over one page. Pass 1 decides blocks by stop-word density, length and link density, by the
-kind of container they stand in and by the wording that only notices and prompts have. Pass 2 lets short undecided
-blocks (table cells, list entries, small headings) inherit from their nearest decided neighbours. The body's extent is
-the smallest container around the title heading that holds a decided block of running text; on a page without
-containers it runs from the title heading to the first gap in the source, teaser heading or footer line.
-
-Scale. A page is handled by itself in one Arrow batch: one scan of three columns, no shuffle, no state between pages.
+Two passes of block rules. Pass 1 decides blocks by stop-word density, length and link density, by the kind of container they
+stand in, and by whether they are made from a template: the way a line opens (its first three words, or a label before a
+colon) is counted over all pages, and what opens lines on a fair share of the pages and sites, or of one site's pages, is
+no text of one article. Headings and table cells may repeat. Pass 2 lets short undecided blocks (list entries, cells)
+inherit from their nearest decided neighbours. The body's extent is the smallest container around the title heading that
+holds a decided block of running text; on a page without containers it runs from the title heading to the first gap in the
+source. No wording is listed: the function words are those of ten languages, the templates come from the data.
+
+Scale. Openings are counted with map-side aggregation. A page has at most as many openings as twice its lines, so at most
+(mean openings a page) / ``share`` of them open lines on that share of the pages: this set is small by proof, whatever the
+number of pages, and is sent to the workers. Of one site's openings at most (mean openings a page) / ``site_share`` are
+frequent. A page is then judged by itself in one Arrow batch; pages are not shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
@@ -21,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citelens.functions.site import site_of
-from citelens.llm.lines import ATTRIBUTES, COMMENT, HIDDEN, map_many
-from citelens.staging import spread
+from citelens.llm.function_words import ALL as FUNCTION_WORDS
+from citelens.llm.lines import ATTRIBUTES, COMMENT, HIDDEN, map_many, page_lines
+from citelens.staging import spread, stage
 
 _TAG = re.compile(r"<(?:(/?)([a-z][^\s/>]*)(" + ATTRIBUTES + r")|[!?/][^>]*+(?:>|\Z))", re.I)
 _INLINE = frozenset("a b strong em i span u".split())
@@ -30,57 +37,16 @@ _HOLDERS = frozenset("div section article main aside header footer nav td form d
 _LISTS = frozenset(("ul", "ol", "table"))
 _SELF_CLOSING = frozenset(("li", "td", "tr", "p"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_CELLS = frozenset(("td", "th"))
 _VOID = frozenset("br hr img meta link input source wbr col area base".split())
 
-# Frequent German function words, as stop-word density counts them.
-STOP_WORDS = frozenset(
-    "der die das den dem des ein eine einen einem einer eines und oder aber als auch auf aus bei bis durch für gegen in "
-    "im ist sind war wird werden wer wenn während weil wie wir sie er es ihr ihre man mit nach nicht noch nur ob obwohl "
-    "ohne seit sich sobald so über um unter vom von vor zu zum zur zwar dass hat haben kann kein keine mehr sehr was "
-    "macht gilt hilft sieht liegt spricht fällt entscheidet bereich".split()
-)
 # Names of containers (class, id or role) that hold no body text.
 _ASIDE_NAMES = re.compile(
     r"cookie|consent|\bmenu|\bnavi?\b|breadcrumb|\bpfad|sidebar|related|teaser|footer|comment|kommentar|share|social"
     r"|newsletter|banner|\bads?\b|advert|promo|\bcard\b|dialog",
     re.I,
 )
-# Headings over teasers and readers' comments, in lower case.
-_ASIDE_HEADINGS = re.compile(
-    r"meistgelesen|meist gelesen|mehr zum thema|das könnte (?:sie|dich) auch interessieren|weitere (?:beiträge|artikel|"
-    r"themen)|ähnliche (?:beiträge|artikel)|auch interessant|passend dazu|neueste beiträge|verwandte|empfehlungen|"
-    r"\d[\d.]* kommentare?|kommentare?\b|leserkommentare|newsletter|teilen"
-)
-# How prompts, adverts, author and date lines begin, in lower case.
-_PROMPTS = re.compile(
-    r"(?:lesen sie (?:auch|mehr)|mehr dazu|siehe auch|auch interessant|weiterlesen|zum thema)\s*:"
-    r"|(?:anzeige|werbung|sponsored|advertorial)\W*\Z"
-    r"|(?:diesen )?(?:beitrag|artikel|seite)?\s*(?:teilen|drucken|weiterempfehlen|merken|versenden)\W*\Z"
-    r"|(?:beitrag|artikel|seite) (?:teilen|drucken|weiterempfehlen|merken|versenden)"
-    r"|link kopieren|auf die merkliste|per (?:e-?mail|whatsapp) (?:senden|teilen|versenden)"
-    r"|verpassen sie nichts|kostenlose post|jeden \w+tag neue tipps"
-    r"|stand\s*:\s*\d|veröffentlicht|aktualisiert|zuletzt geändert|(?:text|autorin?|foto|quelle)\s*:|von der redaktion"
-    r"|geprüft durch|ein beitrag aus der reihe|copyright|[^\w]*©"
-)
-# Adverts that name their sender, in lower case.
-_ADVERTS = re.compile(r"aktion bei [^:]*:|.{1,60} empfiehlt\s*:")
-# Notices below and around a body, in lower case: how they begin, and wording within them.
-_CLOSING = re.compile(
-    r"hinweis\s*:|[^\w]*©|(?:alle annehmen|nur nötige|impressum|datenschutz|agb|sitemap|nach oben|barrierefreiheit|widerruf|"
-    r"cookie-einstellungen)\Z"
-)
-_CLOSING_WITHIN = (
-    "ohne gewähr", "nachdruck nur", "inklusive umsatzsteuer", "verweise eine vergütung", "alle rechte vorbehalten",
-    "partnern daten auf", "partner beteiligt", "stimmen sie der", "auswahl gilt",
-)
-_COOKIES = re.compile(r"\bcookies?\b")
-_IN_SUBSCRIPTION = re.compile(r"\bim abo\Z")
 _PUNCTUATION = ".,;:()„“\"'"
-# Wording that with the site's own name makes a prompt or a notice, in lower case.
-_OWN_PROMPTS = re.compile(
-    r"willkommen|\banmelden\b|\bregistrieren\b|\babonnieren\b|\bfolgen sie\b|\bfolge uns\b|\bredaktion\b|\bgmbh\b|\bverlag\b"
-    r"|\b(?:angebot|service|dienst) (?:von|der|des)\b"
-)
 # Labels that stand between a site's name and its country.
 _SECOND_LEVEL = frozenset("ac co com edu gov gv ne net or org".split())
 _SEPARATORS = re.compile(r"\s[›»>|]\s")
@@ -200,70 +166,49 @@ def _names(site: str | None, html: str) -> re.Pattern[str] | None:
     return _name_pattern(tuple(sorted(names, key=len, reverse=True))) if names else None
 
 
-def _teaser_heading(block: Block) -> bool:
-    return block.tag in _HEADINGS and block.tag != "h1" and bool(_ASIDE_HEADINGS.match(block.text.lower()))
-
-
-def _closes(low: str) -> bool:
-    if _CLOSING.match(low) or "cookie" in low and _COOKIES.search(low):
-        return True
-    return any(x in low for x in _CLOSING_WITHIN)
-
-
-def _prompts(low: str) -> bool:
-    if _PROMPTS.match(low) or "newsletter" in low or low.endswith("im abo") and _IN_SUBSCRIPTION.search(low):
-        return True
-    return (low.startswith("aktion bei ") or "empfiehlt" in low) and bool(_ADVERTS.match(low))
+def openings(low: str) -> list[str]:
+    """How a line opens: its first three words (all of a shorter line), and a word with a colon among them."""
+    words = low.split(None, 3)[:3]
+    out = [" ".join(words)]
+    label = next((x for x in words if x[-1] == ":"), None)
+    return [*out, f"* {label}"] if label and len(label) > 1 else out
 
 
 def _running(words: list[str]) -> bool:
     """Whether the words have the stop-word density of running text."""
     least = 0.15 * len(words)
-    if sum(w in STOP_WORDS for w in words) >= least:  # punctuation can only hide some
+    if sum(w in FUNCTION_WORDS for w in words) >= least:  # punctuation can only hide some
         return True
-    return sum(w.strip(_PUNCTUATION) in STOP_WORDS for w in words) >= least
-
+    return sum(w.strip(_PUNCTUATION) in FUNCTION_WORDS for w in words) >= least
 
-def _of_site(block: Block, low: str, own_name: re.Pattern[str]) -> bool:
-    """Whether a short line speaks of the site: its name may also be the article's topic, so it needs a link or wording."""
-    if not own_name.search(low):
-        return False
-    if block.linked > 0.8 or _OWN_PROMPTS.search(low):
-        return True
-    parts = _SEPARATORS.split(low)
-    return any(x.startswith(("mein ", "über ")) and own_name.fullmatch(x[5:]) for x in parts)
 
-
-def _decide(block: Block, low: str, closes: bool, own_name: re.Pattern[str] | None) -> int:
+def _decide(block: Block, low: str, templates: frozenset[str], own_name: re.Pattern[str] | None) -> int:
     """Pass 1; ``low`` is the block's text in lower case."""
     words = low.split()
-    heading = block.tag in _HEADINGS
-    if heading and _ASIDE_HEADINGS.match(low):
-        return BAD
-    if closes or _prompts(low):
-        return BAD
-    if heading:
+    if block.tag in _HEADINGS:
         return GOOD
+    if block.tag not in _CELLS and not templates.isdisjoint(openings(low)):
+        return BAD
     if len(words) < 25 and len(_SEPARATORS.findall(low)) > 1:
         return BAD
     if len(words) >= 8 and block.linked < 0.7 and _running(words):
         return GOOD
-    if own_name and len(words) < 25 and _of_site(block, low, own_name):
-        return BAD
-    if block.linked > 0.8 and len(words) < 5 and block.tag == "li":
+    if block.linked > 0.8 and (own_name and len(words) < 25 and own_name.search(low) or block.tag == "li" and len(words) < 5):
         return BAD
     return OPEN
 
 
-def main_lines(html: str | None, site: str | None = None) -> list[str]:
-    """The lines of the body in their writing, each once; none for a null or empty page or one without running text."""
+def main_lines(html: str | None, site: str | None = None, templates: frozenset[str] = frozenset()) -> list[str]:
+    """The lines of the body in their writing, each once; none for a null or empty page or one without running text.
+
+    ``templates``: the openings that make no body line.
+    """
     if not html:
         return []
     blocks, holders = blocks_of(html)
     own_name = _names(site, html)
     lows = [b.text.lower() for b in blocks]
-    closing = [_closes(low) for low in lows]
-    labels = [_decide(b, low, c, own_name) for b, low, c in zip(blocks, lows, closing)]
+    labels = [_decide(b, low, templates, own_name) for b, low in zip(blocks, lows)]
     n = len(holders)
     good, bad, first, last = [0] * n, [0] * n, [-1] * n, [-1] * n
     titled = [False] * n
@@ -285,9 +230,8 @@ def main_lines(html: str | None, site: str | None = None) -> list[str]:
             titled[up] = titled[up] or titled[k]
     aside = [False] * n
     for k, h in enumerate(holders):
-        opens_badly = first[k] >= 0 and (closing[first[k]] or _teaser_heading(blocks[first[k]]))
         own = h.tag in ("nav", "aside", "footer") or bool(_ASIDE_NAMES.search(h.attributes))
-        own = own or opens_badly or bad[k] > 1 and bad[k] > good[k]
+        own = own or bad[k] > 1 and bad[k] > good[k]
         # Around the title stands the body, or a container that was never closed.
         aside[k] = own and not titled[k] or h.parent >= 0 and aside[h.parent]
     inside = [b.holder < 0 or not aside[b.holder] for b in blocks]
@@ -305,7 +249,7 @@ def main_lines(html: str | None, site: str | None = None) -> list[str]:
             continue
         for i in range(title, len(blocks)):
             b = blocks[i]
-            if i > title and (b.gap or b.tag == "h1" or closing[i]) or _teaser_heading(b):
+            if i > title and (b.gap or b.tag == "h1"):
                 break
             keep[i] = True
     if not titles:
@@ -329,19 +273,45 @@ def main_lines(html: str | None, site: str | None = None) -> list[str]:
 
 
 _FOUND = pa.schema([("page_id", pa.int64()), ("line", pa.string())])
+_OPENINGS = pa.schema([("site", pa.string()), ("openings", pa.list_(pa.string()))])
+
+
+def _page_openings(site: str | None, html: str | None) -> list[tuple]:
+    found = {x for line in {x.lower() for x in page_lines(html)} for x in openings(line)}
+    return [(site, [*found, ""])] if found else []  # "" counts the pages
+
+
+def template_openings(pages: DataFrame, share: float, min_pages: int, min_sites: int) -> frozenset[str]:
+    """The openings of lines on ``share`` of all pages and of all sites, but no fewer than ``min_pages`` and ``min_sites``.
+
+    ``pages`` are (site, html); those without lines don't count.
+    """
+    listed = map_many(pages, _page_openings, _OPENINGS, "site string, openings array<string>")
+    by_site = listed.select("site", F.explode("openings").alias("opening")).groupBy("site", "opening").agg(F.count("*").alias("n"))
+    counted = by_site.groupBy("opening").agg(F.sum("n").alias("n"), F.count("*").alias("sites"))
+    counted = stage(counted.where((F.col("n") >= min_pages) & (F.col("sites") >= min_sites)), "body-openings")
+    whole = counted.where("opening = ''").first()
+    if whole is None:  # too few pages or sites for any
+        return frozenset()
+    common = (F.col("n") >= share * whole["n"]) & (F.col("sites") >= share * whole["sites"]) & (F.col("opening") != "")
+    return frozenset(x["opening"] for x in counted.where(common).collect())  # <= mean openings a page / share
+
 
+def _judge(templates: frozenset[str]) -> Callable[..., list[tuple]]:
+    def page(page_id: int | None, site: str | None, html: str | None) -> list[tuple]:
+        return [(page_id, x) for x in dict.fromkeys(x.lower() for x in main_lines(html, site, templates))]
 
-def _page(page_id: int | None, site: str | None, html: str | None) -> list[tuple]:
-    return [(page_id, x) for x in dict.fromkeys(x.lower() for x in main_lines(html, site))]
+    return page
 
 
-def body_lines(pages: DataFrame) -> DataFrame:
+def body_lines(pages: DataFrame, share: float = 0.01, min_pages: int = 5, min_sites: int = 3) -> DataFrame:
     """(page_id, line): the body's lines in lower case, each once per page.
 
     ``pages`` needs page_id, url and html; further columns are ignored. Null or empty html gives no rows; a null url only
-    hides the site's name from the rules; repeated rows are handled each by itself.
+    hides the site's name from the rules; repeated rows are handled each by itself. Below ``min_pages`` pages or
+    ``min_sites`` sites no opening counts as a template. Ties don't arise, since thresholds are inclusive.
     """
     narrow = spread(pages.select("page_id", "url", "html").where("length(html) > 0"))
-    return map_many(
-        narrow.select("page_id", site_of(F.col("url")).alias("site"), "html"), _page, _FOUND, "page_id bigint, line string"
-    )
+    narrow = narrow.select("page_id", site_of(F.col("url")).alias("site"), "html")
+    templates = template_openings(narrow.select("site", "html"), share, min_pages, min_sites)
+    return map_many(narrow, _judge(templates), _FOUND, "page_id bigint, line string")

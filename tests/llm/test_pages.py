@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from citelens.llm import main_text, shared_spans, site_lines
 from citelens.llm.lines import page_lines
@@ -108,7 +109,8 @@ def test_body_of_each_layout(name):
     )
     other = SENTENCE.replace("Wohnung", "Garage")
     html = "<head><title>Titel | Haus</title></head><body>" + LAYOUTS[name].format(body=body, other=other) + "</body>"
-    assert main_text.main_lines(html, "haus.test") == ["Titel in Ort", SENTENCE, "Zahlen", "Miete", "7 Euro"]
+    templates = frozenset(("von der redaktion", "* auch:", "drucken", "alle annehmen", "© 2024 haus", "start", "suche"))
+    assert main_text.main_lines(html, "haus.test", templates) == ["Titel in Ort", SENTENCE, "Zahlen", "Miete", "7 Euro"]
 
 
 def test_body_edges(spark):
@@ -120,22 +122,41 @@ def test_body_edges(spark):
     assert Counter(tuple(r) for r in got) == Counter({(1, "t"): 2, (1, SENTENCE.lower()): 2})
 
 
-def test_notices_of_any_length():
-    notice = "Wir und unsere Partner nutzen auf der Seite Cookies, damit sie für Sie besser wird, und mit der Zeit auch mehr. "
-    notice += "Sie können die Auswahl in den Einstellungen ändern, wenn Sie es so wollen, und zwar bei jedem Besuch der Seite. "
-    legal = "Die Angaben auf der Seite sind ohne Gewähr und " + "auch bei der Prüfung nach bestem Wissen " * 10
-    assert len(notice) > 200 and len(legal) > 300
-    flat = f"<h1>Titel</h1>{SENTENCE}<br>{{}}<br>{SENTENCE.replace('Wohnung', 'Garage')}"
-    assert main_text.main_lines(flat.format(notice * 2)) == main_text.main_lines(flat.format(legal)) == ["Titel", SENTENCE]
-    assert main_text.main_lines(f"<article><h1>T</h1><p>{notice}</p><p>{SENTENCE}</p></article>") == ["T", SENTENCE]
+def test_templates_of_any_length():
+    notice = "Wir und unsere Partner nutzen auf der Seite Cookies, damit sie für Sie besser wird, und mit der Zeit auch mehr. " * 4
+    flat = f"<h1>Titel</h1>{SENTENCE}<br>{notice}"
+    assert main_text.main_lines(flat) == ["Titel", SENTENCE, notice.strip()]
+    assert main_text.main_lines(flat, None, frozenset(["wir und unsere"])) == ["Titel", SENTENCE]
+    cells = "<h1>T</h1><p>{0}</p><h2>Fazit</h2><table><tr><td>Fazit</td></tr></table><div>Fazit</div>".format(SENTENCE)
+    assert main_text.main_lines(f"<article>{cells}</article>", None, frozenset(["fazit"])) == ["T", SENTENCE, "Fazit"]
 
 
-def test_punctuation_and_share_prompts():
-    text = "Warum (und wann), so fragen Eigentümer Notare, Gutachter, Makler, Banken"  # two stop words of ten, hidden by signs
-    text = text.replace("so fragen", "(so) fragen").replace("Warum (und wann)", "Warum (und, aber)")
-    share = "Artikel weiterempfehlen: das ist mit der Post und bei uns im Netz möglich"
+def test_openings():
+    assert main_text.openings("eins") == ["eins"] and main_text.openings("a b c d") == ["a b c"]
+    assert main_text.openings("haus a empfiehlt: das") == ["haus a empfiehlt:", "* empfiehlt:"]
+    assert main_text.openings("a b c d: e") == ["a b c"] and main_text.openings(": a") == [": a"]
+
+
+def test_template_openings_against_counts(spark):
+    rows = []
+    for n in range(40):
+        prompt = "<p>Lesen Sie auch: etwas</p>" if n % 5 else f"<p>Haus {n} empfiehlt: das</p>"
+        own = "<p>Nur hier</p>" if n % 8 == 0 else ""
+        rows.append(page(n, f"https://s{n % 8}.test/{n}", f"<article><h1>Titel {n}</h1><p>{SENTENCE} {n}</p>{own}{prompt}</article>"))
+    rows += [page(40, None, None), page(41, "https://s1.test", "<p></p>")]
+    df = spark.createDataFrame(rows, PAGES)
+    narrow = df.selectExpr("'s' || page_id % 8 as site", "html")
+    found = main_text.template_openings(narrow, 0.2, 5, 3)
+    assert found == {"lesen sie auch:", "* auch:", "* empfiehlt:", "der wert einer"}
+    assert main_text.template_openings(narrow, 0.2, 5, 9) == frozenset()
+    texts = df.withColumn("html", F.regexp_replace("html", "Der Wert", F.concat(F.lit("Wert"), "page_id")))
+    got = Counter(r["page_id"] for r in main_text.body_lines(texts, 0.2).collect())
+    assert got == Counter({n: 2 + (n % 8 == 0) for n in range(40)})
+
+
+def test_punctuation_hides_no_function_words():
+    text = "Warum (und, aber), (so) fragen Eigentümer Notare, Gutachter, Makler, Banken"
     assert main_text.main_lines(f"<p>{text}</p>") == [text]
-    assert main_text.main_lines(f"<article><h1>T</h1><p>{SENTENCE}</p><p>{share}</p></article>") == ["T", SENTENCE]
 
 
 @pytest.mark.parametrize("site", ["bodenrichtwert.test", "www.bodenrichtwert.co.uk", "bodenrichtwert.com.de"])
@@ -143,7 +164,7 @@ def test_site_named_by_its_topic(site):
     lines = ["Bodenrichtwert in Ort", "Der Bodenrichtwert steht in der Karte, und er gilt für ein Jahr.", "Was sagt der Bodenrichtwert?",
              "Bodenrichtwert der Gemeinde", "Bodenrichtwert", "240 Euro"]
     html = "<title>Ratgeber | Bodenrichtwert</title><article><h1>{}</h1><p>{}</p><h2>{}</h2><ul><li>{}</li></ul><table><tr><td>{}</td><td>{}</td></tr></table>{}</article>"
-    site_lines = "<p>Mein Bodenrichtwert</p><p>Jetzt bei Bodenrichtwert anmelden</p><p><a href=x>Rechner von Bodenrichtwert</a></p>"
+    site_lines = "<p><a href=y>Mein Bodenrichtwert</a></p><p><a href=x>Rechner von Bodenrichtwert</a></p>"
     assert main_text.main_lines(html.format(*lines, site_lines), site) == lines
 
 
