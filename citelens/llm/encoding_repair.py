@@ -19,6 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from citelens.llm.function_words import SETS as FUNCTION_WORDS
 from citelens.llm.lines import map_many
 from citelens.staging import spread
 
@@ -30,7 +31,7 @@ SINGLE_BYTE = (
     ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "mac_roman"), ("cp1252", "cp1250"), ("cp1252", "iso8859_2"),
 )
 
-# Letters beyond ASCII and frequent words of each language.
+# Letters beyond ASCII of each language.
 LETTERS = {
     "de": "äöüßÄÖÜ",
     "en": "",
@@ -41,25 +42,14 @@ LETTERS = {
     "cs": "áčďéěíňóřšťúůýžÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ",
     "tr": "çğıöşüâîûÇĞİÖŞÜ",
 }
-WORDS = {
-    "de": "der die das den dem und für mit nicht zum zur ist im wer bei um über von wenn",
-    "en": "the and of a is that with below more sign before says it in by for don",
-    "fr": "le la les de des et à où est après même année vente prix notaire loyer très",
-    "es": "el la los de y según año señal cocina alquiler vivienda también más último",
-    "pt": "o a os de e não são será imóvel preço região ações até também última",
-    "pl": "dom mieszkanie cena rynek i w jest nie gmina ściana żółty umowa",
-    "cs": "dům cena trh a v je smlouva pozemek hodnota město příjem koupě",
-    "tr": "ev kira tapu ve bir arsa fiyat kat satış yıl değer müşteri",
-}
 LETTERS["ru"] = "".join(map(chr, range(0x410, 0x450))) + "ёЁ"
 LETTERS["el"] = "".join(map(chr, range(0x386, 0x3CF)))
-WORDS["ru"] = "дом цена и в не на с по договор город оценка рынок участок срок"
-WORDS["el"] = "και το του η γη έτος τιμή πόλη σπίτι στέγη αξία αγορά"
+#: So many different small letters that the first language lacks show that a text holds another one too.
+_OWN_LETTERS = 4
 _VOWELS = frozenset("аеёиоуыэюя")
 _BASIC_OTHER = frozenset(LETTERS["ru"] + LETTERS["el"])
 _WEST = frozenset("".join(LETTERS.values())) - _BASIC_OTHER
 _LETTERS = {k: frozenset(v) for k, v in LETTERS.items()}
-_WORD_SETS = {k: frozenset(v.split()) for k, v in WORDS.items()}
 #: Signs that stand in any text.
 _USUAL = frozenset("„“”‚‘’«»‹›–—…€°²³§·•×÷±½¼¾\u00a0©®™£µ†¹ªº¿¡№")
 #: Signs that may stand between letters.
@@ -83,6 +73,10 @@ _CYRILLIC_WORD = re.compile("[À-ÿ¸¨]+")
 _LOST = re.compile("�|[a-zäöüß][ÃÂ](?![A-ZÀ-Þ])|(?<!\\w)Ã(?=[a-z])|â€")
 _WITHIN = re.compile("[a-z][À-ÖØ-ÞŠŽŸŒ§²³°„”¹º¼½¾¿¡¢£¤¥¦¨©ª¬®¯±´µ¶¸†‡‰•™ˆ˜][a-zšœž§]|[\x80-\x9f]|[šœž][§][a-z]")
 _PART_OF_UTF8 = re.compile("[ÃÂâ][\x80-\xbf€-™œšžŸŒŠŽƒˆ˜]|[ÑÐñð][\x80-\xbf€-™]")
+_DASHES = frozenset("–—")
+#: English contractions, which letters can't be part of; and those that lost the rest of a sequence.
+_CONTRACTED = re.compile(r"(?:\w+n’t|(?:%s)’(?:s|d|m|ll|re|ve))\W*" % "|".join(sorted(FUNCTION_WORDS["en"])), re.I)
+_LOST_CONTRACTED = re.compile(r"(?<!\S)â(?!\S)|\b(?:\w+nât|(?:%s)â(?:s|d|m|ll|re|ve))\b" % "|".join(sorted(FUNCTION_WORDS["en"])), re.I)
 _TOKEN = re.compile(r"\S*[^\x00-\x7f\s]\S*")
 
 
@@ -133,14 +127,26 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "?").split(" ")[0]
 
 
-def language_of(text: str) -> str | None:
-    """The language with the most of its frequent words in the text, None without any."""
+def letters_of(text: str) -> frozenset[str]:
+    """The letters beyond ASCII of the text's language: the one with the most of its function words and small letters.
+
+    Of languages that are even, all letters, and of those in mixed texts that show several letters of their own; with less than
+    two signs of any, those of all Western languages.
+    """
     words = set(text.lower().split())
-    best, n = None, 0
-    for k, known in _WORD_SETS.items():
-        if (m := len(known & words)) > n:
-            best, n = k, m
-    return best
+    seen = {c for c in "".join(x for x in text.split() if x.isalpha()) if c > "\x7f" and c.islower()}
+    counts = {k: 2 * len(known & words) + len(_LETTERS[k] & seen) for k, known in FUNCTION_WORDS.items()}
+    most = max(counts.values())
+    if most < 2:
+        return _WEST
+    best = _union(tuple(k for k, n in counts.items() if n == most))
+    others = tuple(k for k in counts if len((_LETTERS[k] & seen) - best) >= _OWN_LETTERS)
+    return best | _union(others) if others else best
+
+
+@lru_cache(1024)
+def _union(languages: tuple[str, ...]) -> frozenset[str]:
+    return frozenset().union(*(_LETTERS[k] for k in languages))
 
 
 def garbling_cost(part: str, before: str, after: str, own: frozenset[str]) -> float:
@@ -201,7 +207,11 @@ def _telling(word: str, meant: str, own: frozenset[str], ordinary: bool) -> bool
         if not a.isalpha() and before.isalpha() and after.isalpha() and (b.isalpha() or b in _JOINING):
             if not ordinary or a not in _QUOTES or b in own and before.islower() and after.islower():
                 return True
-        if ordinary and a.isupper() and before.islower() and after.islower() and b.islower() and b in own:
+        if a.isupper() and before.islower() and after.islower() and (b in _JOINING and a not in own or ordinary and b.islower() and b in own):
+            return True
+        if len(word) == 1 and b in _DASHES and a not in own:
+            return True
+        if b == "’" and a not in own and _CONTRACTED.fullmatch(word[:i] + b + word[i + 1 :]):
             return True
         if own is _WEST or a in own or a in _USUAL or b not in own:
             continue
@@ -257,7 +267,7 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
     odd = signs - _CALM
     if not odd and not _HIDDEN_SIGN.search(text):
         return text, 0, False
-    own = _LETTERS.get(language_of(text) or "", _WEST)
+    own = letters_of(text)
     cyrillic = bool(_CYRILLIC_RUN.search(text))
     if odd <= own and "Ã" not in odd and "Â" not in odd and not cyrillic and not _HIDDEN_SIGN.search(text):
         return text, 0, False
@@ -275,9 +285,9 @@ def repair(text: str | None) -> tuple[str | None, int, bool]:
         if not best[1]:
             best = max((_single_step(text, *single, own) for single in _SINGLES), key=lambda x: x[1])
         if not best[1]:
-            return text, layers, bool(_LOST.search(text))
+            return text, layers, bool(_LOST.search(text)) or "â" in signs - own and bool(_LOST_CONTRACTED.search(text))
         text, layers = best[0], layers + 1
-        own = _LETTERS.get(language_of(text) or "", _WEST)
+        own = letters_of(text)
         signs = {c for c in set(text) if c > "\x7f"}
 
 
