@@ -12,8 +12,8 @@ targets. Within a profile sets are dealt out by their rank. One rule holds for a
 
 Scale. Edges are distinct (query, site) pairs, so that hot keys are reduced before they move; a label's minimum is a
 map-side aggregate; every round is written to the shared folder. Only the profiles with their counts come to the driver; where
-every row has a label, N rows make about N^(2/3) of them at most. The sets of more than 1/``exact`` of all rows, of
-which there are fewer than ``exact``, are broadcast to their rows, so that no hot set is shuffled.
+every row has a label, N rows make about N^(2/3) of them at most. The sets of more than 1/``broadcast_sets`` of all rows, of
+which there are fewer than ``broadcast_sets``, are broadcast to their rows, so that no hot set is shuffled.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ def _greedy(profiles: list[Row], total: dict[str, int], shares: dict[str, float]
 def _dealt_sets(groups: DataFrame, dealt: dict[tuple[int, int, int], list[int]], splits: list[str], seed: int, per_bucket: int) -> DataFrame:
     """(set_key, n, split_name): the sets of a profile by rank, in the order of a hash; ranks are counted in buckets."""
     spark = groups.sparkSession
-    buckets = max(1, min(4096, -(-sum(map(sum, dealt.values())) // per_bucket)))
+    buckets = max(1, -(-sum(map(sum, dealt.values())) // per_bucket))
     bucketed = groups.withColumn("order", F.xxhash64("set_key", F.lit(seed)))
     bucketed = bucketed.withColumn("bucket", F.pmod("order", F.lit(buckets)).cast("int"))
     ends = [(*k, [sum(counts[: i + 1]) for i in range(len(counts))]) for k, counts in dealt.items()]
@@ -136,12 +136,12 @@ def _dealt_sets(groups: DataFrame, dealt: dict[tuple[int, int, int], list[int]],
 
 
 def grouped_splits(
-    labels: DataFrame, shares: DataFrame, exact: int = 5000, seed: int = 0, sets_per_bucket: int = 200_000
+    labels: DataFrame, shares: DataFrame, broadcast_sets: int = 5000, seed: int = 0, sets_per_bucket: int = 200_000
 ) -> DataFrame:
     """(row_id, set_domain, split_name): every row; no query and no site has rows in two splits.
 
     ``shares`` has split_name and split_share; shares are scaled to sum 1, and at least one must be positive. A null label
-    counts for the rows only. An empty table gives no rows. ``exact`` only says which sets are broadcast, not how they are
+    counts for the rows only. An empty table gives no rows. ``broadcast_sets`` only says which sets are broadcast, not how they are
     dealt out.
     """
     wanted = {x["split_name"]: x["split_share"] for x in shares.select("split_name", "split_share").collect()}
@@ -159,7 +159,7 @@ def grouped_splits(
     total = {x: sum(g[x] * g["sets"] for g in profiles) for x in _PROFILE}
     dealt = _greedy(profiles, total, shares_)
     sets = stage(_dealt_sets(groups, dealt, list(shares_), seed, sets_per_bucket), "split-sets")
-    large = F.col("n") * exact > total["n"]  # fewer than ``exact`` sets
+    large = F.col("n") * broadcast_sets > total["n"]  # fewer than ``broadcast_sets`` sets
     hot, others = F.broadcast(sets.where(large).drop("n")), sets.where(~large).drop("n")
     made = rows.join(hot, "set_key").unionByName(rows.join(hot, "set_key", "left_anti").join(others, "set_key"))
     return made.select("row_id", "set_domain", "split_name")

@@ -8,11 +8,13 @@ holds its contents. The groups say, for each size, which ranks of its items go t
 its place by its rank among the items of its size.
 
 Scale. Only the histogram and the plan (bounded by the capacity, whatever the data) pass through the driver. Ranks come from
-counts by (bucket, size) and a row number within those; a size that a third of all items share is spread over the buckets.
+counts by (bucket, size) and a row number within those; the number of buckets follows the rows, so that a size that a third
+of all items share is spread over as many as it needs.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -37,20 +39,30 @@ class Group:
 
 def best_fit(histogram: dict[int, int], capacities: list[int]) -> list[Group]:
     """Groups of containers that hold all items; no size may exceed the largest capacity."""
-    by_room: dict[int, list[Group]] = defaultdict(list)
+    by_room: dict[int, list[Group]] = {}
+    rooms: list[int] = []  # those of by_room, in rising order
     closed: list[Group] = []
 
     def keep(group: Group) -> None:
-        if group.count:
-            (by_room[group.room] if group.room else closed).append(group)
+        if not group.count:
+            return
+        if not group.room:
+            closed.append(group)
+        elif group.room in by_room:
+            by_room[group.room].append(group)
+        else:
+            by_room[group.room] = [group]
+            insort(rooms, group.room)
 
     for size in sorted(histogram, reverse=True):
         left = histogram[size]
         while left:
-            rooms = [r for r, groups in by_room.items() if groups and r >= size]
-            if rooms:
-                room = min(rooms)
-                group = by_room[room].pop()
+            at = bisect_left(rooms, size)
+            if at < len(rooms):  # the fitting room that is nearest
+                same = by_room[rooms[at]]
+                group = same.pop()
+                if not same:
+                    del by_room[rooms.pop(at)]
             else:
                 unused = {c: (c - min(c // size, left) * size) / c for c in capacities if c >= size}
                 best = min(unused, key=lambda c: (unused[c], -c)) if len(unused) > 1 else next(iter(unused))
@@ -107,7 +119,7 @@ def pack(items: DataFrame, capacities: list[int], rows_per_bucket: int = 200_000
     parts = stage(parts, "pack-parts")
     full = parts.where("tokens > 0")
     rows = full.count()
-    buckets = max(1, min(4096, -(-rows // rows_per_bucket)))
+    buckets = max(1, -(-rows // rows_per_bucket))
     bucketed = full.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)).cast("int"))
     counts = stage(bucketed.groupBy("tokens", "bucket").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {x["tokens"]: x["n"] for x in counts.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows

@@ -3,8 +3,10 @@
 A bounded-lookahead streaming transducer. From the vocabulary's merges follows a number of bytes, the sufficient lookahead,
 by which a token boundary is stable: bytes further right can't move it. A piece of any length is therefore encoded in
 windows, each emitting the tokens that end at least that far before the window's end; a stream's state is one window.
-The vocabulary's pattern splits texts into pieces first. Pieces up to PLAIN bytes, nearly all, are merged at once and kept in
-a table of bounded size. Decoding feeds the tokens' bytes to an incremental UTF-8 state machine.
+The vocabulary's pattern cuts a text into pieces one after the other. Every piece goes through the transducer; one that ends
+within its first window, as nearly all words do, is that window's flush, and is kept in a table of bounded size. A window of
+up to PLAIN bytes is merged by scanning for the lowest rank, a longer one with a heap: the same merges in the same order.
+Decoding feeds the tokens' bytes to an incremental UTF-8 state machine.
 
 Scale. One scan of two columns, no shuffle. A worker holds the vocabulary (50,000 entries), the table and one batch.
 """
@@ -60,7 +62,7 @@ def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def merge_window(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The same for a long piece, with a heap: n log n."""
     n = len(piece)
     parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
@@ -88,6 +90,10 @@ def merge_window(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return [x for x in parts if x is not None]
 
 
+def merge_window(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    return merge_short(piece, ranks) if len(piece) <= PLAIN else merge_long(piece, ranks)
+
+
 def sufficient_lookahead(ranks: dict[bytes, int]) -> int:
     """Bytes after a token boundary that can decide whether it stands.
 
@@ -125,7 +131,7 @@ class Encoder:
         self.ranks, self.lookahead = ranks, lookahead
         self.window = max(4 * lookahead, 1024)
         self.bytes_of = {i: token for token, i in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self.pieces = regex.compile(pattern).finditer
         self.kept: dict[str, tuple[int, ...]] = {}
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
@@ -148,13 +154,10 @@ class Encoder:
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one piece."""
         data = text.encode("utf-8")
-        if (whole := self.ranks.get(data)) is not None:
-            ids: tuple[int, ...] = (whole,)
-        elif len(data) <= PLAIN:
-            ids = tuple([self.ranks[x] for x in merge_short(data, self.ranks)])
-        else:
-            step = self.window
-            return tuple(self.stream(data[i : i + step] for i in range(0, len(data), step)))
+        if len(data) >= self.window:
+            return tuple(self.stream(data[i : i + self.window] for i in range(0, len(data), self.window)))
+        whole = self.ranks.get(data)
+        ids = tuple(self.stream((data,))) if whole is None else (whole,)
         if len(self.kept) >= KEPT:
             self.kept.clear()
         self.kept[text] = ids
@@ -165,7 +168,8 @@ class Encoder:
         if not text:
             return
         get, piece, add = self.kept.get, self.piece, out.extend
-        for x in self.split(text):
+        for match in self.pieces(text):
+            x = match[0]
             add(get(x) or piece(x))
 
     def encode(self, text: str | None) -> list[int]:

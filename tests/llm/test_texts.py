@@ -51,7 +51,7 @@ def test_short_and_long_merges_agree(own):
     r = random.Random(2)
     for _ in range(300):
         piece = bytes(r.choice(b"abcdehnrst") for _ in range(r.randrange(1, 60)))
-        assert tokenize.merge_short(piece, own.ranks) == tokenize.merge_window(piece, own.ranks)
+        assert tokenize.merge_short(piece, own.ranks) == tokenize.merge_long(piece, own.ranks)
 
 
 def test_decoding_broken_bytes(own):
@@ -103,6 +103,18 @@ def test_best_fit_holds_everything(seed):
         assert n <= len(rooms) * 1.02 + 1
 
 
+def test_several_capacities_waste_less_than_one():
+    histogram = {60: 40, 45: 7, 30: 3, 9: 5}
+
+    def capacity(allowed):
+        groups = packing.best_fit(dict(histogram), allowed)
+        return sum(g.count * min(c for c in allowed if c >= g.capacity - g.room) for g in groups)
+
+    both = capacity([64, 100])
+    assert both < capacity([100]) and both < capacity([64])
+    assert capacity([50, 64, 100]) <= both
+
+
 def test_pack(spark):
     r = random.Random(5)
     rows = [(i, r.choice([0, 1, 2, 3, 5, 7, 9, 10, 11, 25, None])) for i in range(500)] + [(7, 7), (7, 7)]
@@ -184,6 +196,20 @@ def test_truncated_sequences():
     assert encoding_repair.repair(five) == (text, 5, False)
 
 
+@pytest.mark.parametrize("garbled, meant", [("the owners say itÆs in the cellar", "’"), ("the owners say itís in the cellar", "’"), ("the clause û it is for the buyer", "–")])
+def test_signs_as_letters(garbled, meant):
+    odd = next(c for c in garbled if c > "\x7f")
+    assert encoding_repair.repair(garbled) == (garbled.replace(odd, meant), 1, False)
+    assert encoding_repair.repair("Donât sign it in the house")[2] and not encoding_repair.repair("l'âge et le pâté dans la maison")[2]
+
+
+def test_letters_of_a_text():
+    letters = encoding_repair.letters_of
+    assert letters("das ist für die Größe") == frozenset(encoding_repair.LETTERS["de"])
+    assert "ı" in letters("não é são a mesma; satış çatı değer şehir görüş ısı") and "ã" in letters("não é são a mesma; satış")
+    assert letters("Дом крыша договор") >= frozenset("дом") and letters("xyz 12") is encoding_repair._WEST
+
+
 @pytest.mark.parametrize("text", ["und…dann “so” weiter", "äöüß ÄÖÜ àâéè", "Text„Zitat“und mehr", "Île, São, État"])
 def test_other_good_texts_stay(text):
     assert encoding_repair.repair(text) == (text, 0, False)
