@@ -6,14 +6,19 @@ of the method is kept: hash the spans, join globally, mark what repeated spans c
 
 Of the spans of each stretch of ``least`` characters only the one with the smallest hash is kept (a minimizer), so that
 either side sends about two spans per ``least - GRAM`` characters, and equal stretches always send an equal span: no case
-is lost. Spans meet in one shuffled join on the 64-bit hash, of which adaptive execution splits a hot key; pairs that
-meet are verified, and extended to their full length, on the texts themselves. A line of a page is hashed once per page.
+is lost. Texts are compared by class: a line that stands on many pages, or a sentence in many rows, is hashed and compared
+once, and its class's members (page and line number, row and side) take over what is found. Classes have 128-bit keys.
+
+Scale. Spans meet in one shuffled join on the 64-bit hash, of which adaptive execution splits a hot key. Only lines that
+meet a sentence move as texts, one a class; pairs that meet are verified, and extended to their full length, on these two
+texts alone. Pages are split into lines once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,54 +75,46 @@ def minimizers(texts: list[str], least: int = LEAST, gram: int = GRAM) -> tuple[
     return low[chosen].view(np.int64), owner[chosen]
 
 
-_SPANS = pa.schema([("h", pa.int64()), ("id", pa.int64())])
-
-
-def _emit(ids: list[int], texts: list[str], least: int) -> pa.RecordBatch:
-    h, owner = minimizers(texts, least)
-    pairs = np.unique(np.stack([h, np.array(ids, np.int64)[owner] if len(h) else h], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_SPANS)
-
-
 def collapse(text: str | None) -> str:
     return _SPACE.sub(" ", text) if text else ""
 
 
-def page_spans(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(h, id): the spans of the lines of each page."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                ids, texts = [], []
-                for page_id, html in zip(*(c.to_pylist() for c in part.columns)):
-                    long = {x for x in page_lines(html) if len(x) >= least}
-                    ids += [page_id] * len(long)
-                    texts += long
-                yield _emit(ids, texts, least)
-
-    narrow = spread(pages.select("page_id", "html").where(F.length("html") >= least))
-    return narrow.where("page_id is not null").mapInArrow(run, "h bigint, id bigint")
-
-
-def passage_spans(passages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(h, id): the spans of both sentences of each row."""
+def _texts(rows: DataFrame, split: Callable[..., list[tuple[int, str]]], least: int) -> DataFrame:
+    """(id, part, key, text, spans): the texts of at least ``least`` characters of each row, which has its id first."""
+    schema = pa.schema(
+        [("id", pa.int64()), ("part", pa.int32()), ("key", pa.binary()), ("text", pa.string()), ("spans", pa.list_(pa.int64()))]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                ids, texts = [], []
-                for match_id, *sentences in zip(*(c.to_pylist() for c in part.columns)):
-                    for x in map(collapse, sentences):
-                        if len(x) >= least:
-                            ids.append(match_id)
-                            texts.append(x)
-                yield _emit(ids, texts, least)
-
+                ids, parts, texts = [], [], []
+                for own, *values in zip(*(c.to_pylist() for c in batch.slice(start, SLICE).columns)):
+                    for part, text in split(*values):
+                        if len(text) >= least:
+                            ids.append(own)
+                            parts.append(part)
+                            texts.append(text)
+                h, owner = minimizers(texts, least)
+                ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+                keys = [hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for x in texts]
+                arrays = [pa.array(x, t) for x, t in zip((ids, parts, keys, texts), schema.types)]
+                spans = pa.ListArray.from_arrays(pa.array(ends), pa.array(h))
+                yield pa.RecordBatch.from_arrays([*arrays, spans], schema=schema)
+
+    return rows.mapInArrow(run, "id bigint, part int, key binary, text string, spans array<bigint>")
+
+
+def page_texts(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """(id, part, key, text, spans): the lines of each page; part is the line's number."""
+    narrow = spread(pages.select("page_id", "html").where(F.length("html") >= least)).where("page_id is not null")
+    return _texts(narrow, lambda html: list(enumerate(page_lines(html))), least)
+
+
+def passage_texts(passages: DataFrame, least: int = LEAST) -> DataFrame:
+    """(id, part, key, text, spans): both sentences of each row; part is 0 for aio_sentence, 1 for source_sentence."""
     narrow = passages.select("match_id", "aio_sentence", "source_sentence").where("match_id is not null")
-    return narrow.mapInArrow(run, "h bigint, id bigint")
+    return _texts(narrow, lambda *both: list(enumerate(map(collapse, both))), least)
 
 
 def shared_runs(text: str, line: str, least: int = LEAST) -> list[tuple[int, int, int]]:
@@ -143,57 +140,73 @@ def shared_runs(text: str, line: str, least: int = LEAST) -> list[tuple[int, int
 
 
 _RUNS = pa.schema(
-    [(x, pa.int64()) for x in ("match_id", "page_id")]
-    + [(x, pa.int32()) for x in ("side", "text_start", "line_no", "line_start", "length")]
+    [("passage_key", pa.binary()), ("line_key", pa.binary())] + [(x, pa.int32()) for x in ("text_start", "line_start", "length")]
 )
-_RUNS_DDL = "match_id bigint, page_id bigint, side int, text_start int, line_no int, line_start int, length int"
+_RUNS_DDL = "passage_key binary, line_key binary, text_start int, line_start int, length int"
 
 
-def _verify(least: int):
-    def rows(match_id: int, page_id: int, aio: str | None, source: str | None, html: str) -> list[tuple]:
-        lines = [(n, x) for n, x in enumerate(page_lines(html)) if len(x) >= least]
-        return [
-            (match_id, page_id, side, a, n, b, size)
-            for side, text in enumerate((collapse(aio), collapse(source)))
-            if len(text) >= least
-            for n, line in lines
-            for a, b, size in shared_runs(text, line, least)
-        ]
+def _verify(least: int) -> Callable[..., list[tuple]]:
+    def rows(passage_key: bytes, line_key: bytes, text: str, line: str) -> list[tuple]:
+        return [(passage_key, line_key, *run) for run in shared_runs(text, line, least)]
 
     return rows
 
 
+def _met(texts: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text) of the classes that are in ``pairs``, each once."""
+    met = texts.join(pairs.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+    return met.groupBy(F.col("key").alias(key)).agg(F.first("text").alias(text))
+
+
+def class_runs(sentences: DataFrame, lines: DataFrame, least: int = LEAST) -> DataFrame:
+    """(passage_key, line_key, text_start, line_start, length): the maximal shared runs of the classes of texts."""
+    one, two = (
+        x.select(F.col("key").alias(name), F.explode("spans").alias("h")).distinct()
+        for x, name in ((sentences, "passage_key"), (lines, "line_key"))
+    )
+    pairs = stage(one.join(two, "h").select("passage_key", "line_key").distinct(), "span-pairs")
+    texts = pairs.join(_met(sentences, pairs, "passage_key", "text"), "passage_key").join(
+        _met(lines, pairs, "line_key", "line"), "line_key"
+    )
+    return map_many(texts.select("passage_key", "line_key", "text", "line"), _verify(least), _RUNS, _RUNS_DDL)
+
+
+def _staged(passages: DataFrame, pages: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sentences, lines = stage(passage_texts(passages, least), "span-passages"), stage(page_texts(pages, least), "span-lines")
+    return sentences, lines, stage(class_runs(sentences, lines, least), "span-runs")
+
+
+def _members(texts: DataFrame, key: str, own: str, part: str) -> DataFrame:
+    return texts.select(F.col("key").alias(key), F.col("id").alias(own), F.col("part").alias(part))
+
+
 def shared_spans(passages: DataFrame, pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(match_id, page_id, side, text_start, line_no, line_start, length): every maximal shared run.
 
     side 0 is aio_sentence, 1 is source_sentence; positions count characters from 0, in the sentence after its white space
-    is collapsed. Null or short texts have no runs; a row without its id is left out; of repeated ids every pair of rows
-    is compared; further columns are ignored.
+    is collapsed. Null or short texts have no runs; a row without its id is left out; repeated rows and ids each give their
+    runs; further columns are ignored.
     """
-    pairs = stage(
-        passage_spans(passages, least)
-        .withColumnRenamed("id", "match_id")
-        .join(page_spans(pages, least).withColumnRenamed("id", "page_id"), "h")
-        .select("match_id", "page_id")
-        .distinct(),
-        "span-pairs",
-    )
-    texts = pairs.join(passages.select("match_id", "aio_sentence", "source_sentence"), "match_id").join(
-        pages.select("page_id", "html"), "page_id"
-    )
-    return map_many(
-        texts.select("match_id", "page_id", "aio_sentence", "source_sentence", "html"), _verify(least), _RUNS, _RUNS_DDL
+    sentences, lines, runs = _staged(passages, pages, least)
+    return (
+        runs.join(_members(sentences, "passage_key", "match_id", "side"), "passage_key")
+        .join(_members(lines, "line_key", "page_id", "line_no"), "line_key")
+        .select("match_id", "page_id", "side", "text_start", "line_no", "line_start", "length")
     )
 
 
 def shared_pairs(passages: DataFrame, pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(match_id, page_id) of the rows and pages that share a run."""
-    return shared_spans(passages, pages, least).select("match_id", "page_id").distinct()
+    sentences, lines, runs = _staged(passages, pages, least)
+    pairs = runs.select("passage_key", "line_key").distinct()
+    one, two = _members(sentences, "passage_key", "match_id", "side"), _members(lines, "line_key", "page_id", "line_no")
+    met = pairs.join(one.drop("side").distinct(), "passage_key").join(two.drop("line_no").distinct(), "line_key")
+    return met.select("match_id", "page_id").distinct()
 
 
-def _covered(runs: DataFrame, record: list[str], text: list[str], start: str) -> DataFrame:
-    """Characters under the union of the runs, by record."""
-    spans = runs.groupBy(*record, *text, start).agg(F.max("length").alias("length"))
+def _covered(runs: DataFrame, key: str, start: str) -> DataFrame:
+    """(key, chars): characters under the union of the runs, by class."""
+    spans = runs.groupBy(F.col(key).alias("key"), start).agg(F.max("length").alias("length"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(start).alias("a"), (F.col(start) + F.col("length")).alias("b"))))
     size = F.aggregate(
         ordered,
@@ -204,27 +217,52 @@ def _covered(runs: DataFrame, record: list[str], text: list[str], start: str) ->
         ),
         lambda acc: acc["sum"],
     )
-    own = spans.groupBy(*record, *text).agg(size.alias("chars"))
-    return own.groupBy(*record).agg(F.sum("chars").cast("bigint").alias("shared_chars"))
+    return spans.groupBy("key").agg(size.alias("chars"))
 
 
 def shared_sizes(passages: DataFrame, pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(kind, id, shared_chars): of each passage row and each page the characters that lie in shared runs.
 
     A text's starts are at most its own length in number, and runs with the same start count once, so that what is
-    gathered for one text is bounded by the text.
+    gathered for one class is bounded by its text. Rows with the same id count as one record, equal texts in them once.
     """
-    runs = stage(shared_spans(passages, pages, least), "span-runs")
+    sentences, lines, runs = _staged(passages, pages, least)
     sides = (
-        ("passage", passages, "match_id", ["side"], "text_start"),
-        ("page", pages, "page_id", ["line_no"], "line_start"),
+        ("passage", passages, "match_id", sentences, "passage_key", "text_start"),
+        ("page", pages, "page_id", lines, "line_key", "line_start"),
     )
     out = None
-    for kind, table, key, text, start in sides:
+    for kind, table, own, texts, key, start in sides:
+        own_texts = texts.select("id", "part", "key").distinct()
+        sums = own_texts.join(_covered(runs, key, start), "key").groupBy("id").agg(F.sum("chars").alias("chars"))
         part = (
-            table.select(key)
-            .join(_covered(runs, [key], text, start), key, "left")
-            .select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"))
+            table.select(F.col(own).alias("id"))
+            .join(sums, "id", "left")
+            .select(F.lit(kind).alias("kind"), "id", F.coalesce("chars", F.lit(0)).cast("bigint").alias("shared_chars"))
         )
         out = part if out is None else out.unionByName(part)
     return out
+
+
+#: Ends of sentences, as the named method cuts texts.
+_SENTENCE_END = re.compile(r"(?<=[.!?…:;])[\s\"“”»)]+")
+
+
+def sentence_runs(text: str, most: int) -> list[str]:
+    """The runs of 1 to ``most`` consecutive sentences of a text."""
+    parts = [x for x in _SENTENCE_END.split(text) if x]
+    return [" ".join(parts[i : i + k]) for k in range(1, most + 1) for i in range(len(parts) - k + 1)]
+
+
+def sentence_pairs(passages: DataFrame, pages: DataFrame, least: int = LEAST, most: int = 5) -> DataFrame:
+    """(match_id, page_id) by the method as named, to measure what it finds: equal runs of whole sentences."""
+
+    def runs(texts: DataFrame, own: str) -> DataFrame:
+        schema = pa.schema([("id", pa.int64()), ("run", pa.string())])
+        each = map_many(
+            texts.select("id", "text"), lambda i, text: [(i, x) for x in sentence_runs(text, most) if len(x) >= least], schema, "id bigint, run string"
+        )
+        return each.select(F.col("id").alias(own), F.md5("run").alias("run")).distinct()
+
+    one, two = runs(passage_texts(passages, least), "match_id"), runs(page_texts(pages, least), "page_id")
+    return one.join(two, "run").select("match_id", "page_id").distinct()

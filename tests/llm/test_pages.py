@@ -205,9 +205,23 @@ def test_shared_spans_against_all_substrings(spark):
     assert {tuple(x) for x in got.collect()} == brute(passages, pages, 100)
     sizes = {(x["kind"], x["id"]): x["shared_chars"] for x in shared_spans.shared_sizes(p, q).collect()}
     assert sizes[("passage", 60)] == 0 and sizes[("passage", 62)] == 100 and sizes[("page", 99)] == 0
+    spans = shared_spans.shared_spans(p, q).collect()
+    assert {(x["match_id"], x["page_id"]) for x in spans} == brute(passages, pages, 100)
+    texts, lines = {m: (a, b) for m, a, b, *_ in passages}, {i: page_lines(html) for i, _, html, *_ in pages}
+    for x in spans:
+        text, line = shared_spans.collapse(texts[x["match_id"]][x["side"]]), lines[x["page_id"]][x["line_no"]]
+        assert text[x["text_start"] : x["text_start"] + x["length"]] == line[x["line_start"] : x["line_start"] + x["length"]]
     assert shared_spans.shared_pairs(p.limit(0), q).count() == 0 and shared_spans.shared_pairs(p, q.limit(0)).count() == 0
 
 
+def test_sentence_runs(spark):
+    assert shared_spans.sentence_runs("Eins ist da. Zwei auch! Drei", 2) == ["Eins ist da.", "Zwei auch!", "Drei", "Eins ist da. Zwei auch!", "Zwei auch! Drei"]
+    p = spark.createDataFrame([(1, "A" * 60 + ". " + "B" * 60 + ". C", None, 0, ""), (2, "x" * 120, "A" * 60 + ".", 0, "")], PASSAGES)
+    q = spark.createDataFrame([page(7, "u", "<p>D. " + "A" * 60 + ". " + "B" * 60 + ".</p>"), page(8, "u", "<p>y" + "x" * 120 + "</p>")], PAGES)
+    assert [tuple(x) for x in shared_spans.sentence_pairs(p, q).collect()] == [(1, 7)]
+    assert {tuple(x) for x in shared_spans.shared_pairs(p, q).collect()} == {(1, 7), (2, 8)}
+
+
 def test_minimizers_always_meet():
     import random
 
