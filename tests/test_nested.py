@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+
+from citelens.operators import json_text
 from citelens.operators.nested import flat_table, object_nodes
 
 ROWS = "id bigint, body string, node string, parent string"
@@ -39,6 +42,31 @@ def test_nodes_against_a_walk(spark):
     assert got == sorted(expected + [(0, *n) for n in walk(json.loads(BODIES[0]))])
 
 
+@pytest.mark.parametrize("body", BODIES)
+def test_reading_without_recursion(body):
+    root = json_text.parse(body)
+    assert sorted(x[:2] for x in json_text.object_elements(root)) == sorted(walk(json.loads(body)))
+
+
+@pytest.mark.parametrize("body", [b for b in BROKEN if b is not None] + ["01", "1.", "-", "+1", "[1,]", '{"a"}', '{"a":}', '{"a":1,}', '"\n"', '"\\x"', "tru", "nul", "[1 2]", "]", ",", '{1:2}', "[1}", "NaN"])
+def test_invalid_json(body):
+    assert json_text.parse(body) is None
+
+
+def test_beyond_the_parser(spark):
+    deep, depth = '{"b":1}', 600
+    for _ in range(depth):
+        deep = '{"a":[' + deep + "]}"
+    bodies = [deep, '{"a":[{"n":' + "7" * 1200 + ',"m":5}]}', '{"a":[{"s":"' + "x" * (25 << 20) + '","c":[{}]}]}', '{"a":[{"n":' + "7" * 1200 + "}]} x", '{"a":[{}],"a":[{"n":' + "7" * 1200 + "},{}]}"]
+    df = spark.createDataFrame([(i, b, None, "clash") for i, b in enumerate(bodies)], ROWS)
+    counts = {r["id"]: r["count"] for r in object_nodes(df, "id", "body").groupBy("id").count().collect()}
+    assert counts == {0: depth, 1: 1, 2: 2, 4: 2}
+    nodes = object_nodes(df.where("id in (1, 2)"), "id", "body", True)
+    got = {r["id"]: r for r in flat_table(nodes, "id", "a", {"n": "string", "m": "int", "s": "string"}).selectExpr("id", "n", "m", "length(s) as s").collect()}
+    assert got[1]["n"] == "7" * 1200 and got[1]["m"] == 5 and got[2]["s"] == 25 << 20
+    assert flat_table(nodes, "id", "c", {"n": "int"}).collect()[0]["parent"] == "a[0]"
+
+
 def test_repeated_names_and_long_bodies(spark):
     many = json.dumps({"a": [{"i": i, "b": [{}]} for i in range(5000)]})
     rows = [(1, '{"a":[{}],"a":[{},{}]}', None, None), (2, many, None, None)]
