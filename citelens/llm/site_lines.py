@@ -4,11 +4,14 @@ Weighted graphs of consecutive lines: a node is a line of a site, weighted by th
 lines that follow each other on a page, weighted by the pages where they do. Nodes and edges of high support are kept,
 connected components are the boilerplate blocks, and the occurrences of their lines are deleted from each page.
 
+Every line of high support is a node, and a node without edges a block of its own: which lines go is decided by the nodes,
+while the edges say which lines belong together (``block_table``).
+
 Scale. Lines are counted as (site, 64-bit hash), so that map-side aggregation shrinks what repeats and unique lines move
 as 16 bytes. A node stands on at least ``share`` of its site's pages, so a site has at most (mean lines per page)/share
 nodes, whatever its size: nodes, edges and components of one site are small by proof and are kept as arrays in one row.
 Pages meet their site's row in a join on the site, where adaptive execution splits a hot site's pages.
-A hash is only compared within a site and against its few nodes; a false match has a chance of lines x nodes / 2**64.
+The few lines whose hash is a node are then counted again by their text, so that no two lines are taken for one.
 """
 
 from __future__ import annotations
@@ -27,91 +30,77 @@ _LINES = pa.schema([("page_id", pa.int64()), ("site", pa.string()), ("lines", pa
 
 
 def _distinct_lines(page_id: int | None, site: str | None, html: str | None) -> list[tuple]:
-    lines = list(dict.fromkeys(x.lower() for x in page_lines(html)))
-    return [(page_id, site, lines)] if lines else []
+    return [(page_id, site, list(dict.fromkeys(x.lower() for x in page_lines(html))))]
 
 
 def lines_of_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, site, lines): lines in lower case, each once, in their order; pages without lines are left out."""
-    narrow = spread(pages.select("page_id", "url", "html").where("length(html) > 0"))
-    narrow = narrow.select("page_id", site_of(F.col("url")).alias("site"), "html")
+    """(page_id, site, lines) of every page: lines in lower case, each once, in their order."""
+    narrow = spread(pages.select("page_id", "url", "html")).select("page_id", site_of(F.col("url")).alias("site"), "html")
     return map_many(narrow, _distinct_lines, _LINES, "page_id bigint, site string, lines array<string>")
 
 
 def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Smallest hash of each node's component, from a site's nodes and edges."""
+    """The first line, by the alphabet, of each node's component, from a site's nodes and edges."""
     for batch in batches:
         sites, nodes, edges = (c.to_pylist() for c in batch.columns)
         blocks = []
         for own, pairs in zip(nodes, edges):
             root = {x: x for x in own}
 
-            def find(x: int, root: dict[int, int] = root) -> int:
+            def find(x: str, root: dict[str, str] = root) -> str:
                 while root[x] != x:
                     root[x] = x = root[root[x]]
                 return x
 
             for pair in pairs or []:
-                a, b = find(pair["a"]), find(pair["b"])
-                root[max(a, b)] = min(a, b)
+                if pair["a"] in root and pair["b"] in root:
+                    a, b = find(pair["a"]), find(pair["b"])
+                    root[max(a, b)] = min(a, b)
             blocks.append([(x, find(x)) for x in own])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sites, pa.string()), pa.array(blocks, pa.map_(pa.int64(), pa.int64()))], ["site", "blocks"]
+            [pa.array(sites, pa.string()), pa.array(blocks, pa.map_(pa.string(), pa.string()))], ["site", "blocks"]
         )
 
 
 def site_blocks(lines: DataFrame, min_pages: int = 5, min_share: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """The pages' boilerplate lines and the sites' blocks, from ``lines_of_pages``.
 
-    Returns (page_id, site, hits array<struct<pos, h, line>>) and (site, blocks map<line hash, block>). A page without
-    a site is in neither.
+    Returns (page_id, site, hits array<struct<pos, line>>) and (site, blocks map<line, block>); only hits that are among
+    the site's blocks are boilerplate. A page without a site or without lines is in neither.
     """
-    lines = lines.where("site is not null")
-    pages = lines.groupBy("site").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    support = (
-        lines.select("site", F.explode("lines").alias("line"))
-        .groupBy("site", F.xxhash64("line").alias("h"))
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_pages)
-    )
-    nodes = stage(
-        support.join(pages, "site")
-        .where(F.col("n") >= min_share * F.col("pages"))
-        .groupBy("site")
-        .agg(F.collect_list("h").alias("nodes"), F.first("pages").alias("pages")),
-        "site-nodes",
-    )
-    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), x.alias("line")))
+    lines = lines.where("site is not null and size(lines) > 0")
+    pages = stage(lines.groupBy("site").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages), "site-pages")
+
+    def frequent(each: DataFrame, name: str) -> DataFrame:
+        """(site, name): the values x of (site, x) that stand on enough pages."""
+        counted = each.groupBy("site", "x").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+        often = counted.join(pages, "site").where(F.col("n") >= min_share * F.col("pages"))
+        return often.groupBy("site").agg(F.collect_list("x").alias(name))
+
+    hashes = stage(frequent(lines.select("site", F.explode(F.transform("lines", lambda x: F.xxhash64(x))).alias("x")), "hashes"), "site-hashes")
+    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
     hits = stage(
-        lines.join(nodes, "site")
-        .select("page_id", "site", F.filter(numbered, lambda x: F.array_contains("nodes", x["h"])).alias("hits"))
+        lines.join(hashes, "site")
+        .select("page_id", "site", F.filter(numbered, lambda x: F.array_contains("hashes", F.xxhash64(x["line"]))).alias("hits"))
         .where(F.size("hits") > 0),
         "site-hits",
     )
+    nodes = frequent(hits.select("site", F.explode("hits.line").alias("x")), "lines")
     follows = F.filter(
         F.zip_with(
             F.slice("hits", 1, F.greatest(F.size("hits") - 1, F.lit(0))),
             F.slice("hits", 2, F.size("hits")),
-            lambda x, y: F.when(y["pos"] == x["pos"] + 1, F.struct(x["h"].alias("a"), y["h"].alias("b"))),
+            lambda x, y: F.when(y["pos"] == x["pos"] + 1, F.struct(x["line"].alias("a"), y["line"].alias("b"))),
         ),
         lambda x: x.isNotNull(),
     )
-    edges = (
-        hits.select("site", F.explode(follows).alias("e"))
-        .groupBy("site", "e")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_pages)
-        .join(nodes.select("site", "pages"), "site")
-        .where(F.col("n") >= min_share * F.col("pages"))
-        .groupBy("site")
-        .agg(F.collect_list("e").alias("edges"))
-    )
-    blocks = nodes.select("site", "nodes").join(edges, "site", "left")
-    return hits, blocks.mapInArrow(_components, "site string, blocks map<bigint,bigint>")
+    edges = frequent(hits.select("site", F.explode(follows).alias("x")), "edges")
+    blocks = nodes.join(edges, "site", "left").select("site", "lines", "edges")
+    return hits, blocks.mapInArrow(_components, "site string, blocks map<string,string>")
 
 
 def repeated_lines(pages: DataFrame, min_pages: int = 5, min_share: float = 0.25) -> DataFrame:
-    """(page_id, site, line, block): each occurrence of a boilerplate line, once per page.
+    """(page_id, site, line, block): each occurrence of a boilerplate line, once per page; a block is called by its first line.
 
     ``pages`` needs page_id, url and html; further columns are ignored. Null or empty html and pages without a site give
     no rows; a repeated row counts as a page of its own; ties don't arise, since thresholds are inclusive.
@@ -119,8 +108,8 @@ def repeated_lines(pages: DataFrame, min_pages: int = 5, min_share: float = 0.25
     hits, blocks = site_blocks(stage(lines_of_pages(pages), "page-lines"), min_pages, min_share)
     return (
         hits.join(blocks, "site")
-        .select("page_id", "site", "blocks", F.explode("hits").alias("hit"))
-        .select("page_id", "site", F.col("hit.line").alias("line"), F.col("blocks")[F.col("hit.h")].alias("block"))
+        .select("page_id", "site", "blocks", F.explode("hits.line").alias("line"))
+        .select("page_id", "site", "line", F.col("blocks")[F.col("line")].alias("block"))
         .where("block is not null")
     )
 
@@ -128,23 +117,14 @@ def repeated_lines(pages: DataFrame, min_pages: int = 5, min_share: float = 0.25
 def without_repeated_lines(pages: DataFrame, min_pages: int = 5, min_share: float = 0.25) -> DataFrame:
     """(page_id, removed, text): every page, its remaining lines in lower case joined by line ends.
 
-    A page without lines has an empty text; a page without a site keeps all its lines.
+    A page without lines has an empty text; a page without a site keeps all its lines; repeated rows come out each.
     """
     lines = stage(lines_of_pages(pages), "page-lines")
-    hits, blocks = site_blocks(lines, min_pages, min_share)
-    gone = hits.join(blocks.select("site", F.map_keys("blocks").alias("known")), "site").select(
-        "page_id", F.array_intersect(F.col("hits.h"), "known").alias("gone")
-    )
-    kept = F.filter("lines", lambda x: F.coalesce(~F.array_contains("gone", F.xxhash64(x)), F.lit(True)))
-    left = lines.join(gone, "page_id", "left").select(
-        "page_id",
-        F.coalesce(F.size("gone"), F.lit(0)).alias("removed"),
-        F.array_join(kept, "\n").alias("text"),
-    )
-    return (
-        pages.select("page_id")
-        .join(left, "page_id", "left")
-        .select("page_id", F.coalesce("removed", F.lit(0)).alias("removed"), F.coalesce("text", F.lit("")).alias("text"))
+    _, blocks = site_blocks(lines, min_pages, min_share)
+    known = lines.join(blocks.select("site", F.map_keys("blocks").alias("known")), "site", "left")
+    kept = F.when(F.col("known").isNull(), F.col("lines")).otherwise(F.array_except("lines", "known"))
+    return known.select(
+        "page_id", (F.size("lines") - F.size(kept)).alias("removed"), F.array_join(kept, "\n").alias("text")
     )
 
 
