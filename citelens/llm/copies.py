@@ -1,13 +1,15 @@
 """Problem 3: records that are the same but for their writing.
 
-Canonical records are range-partitioned and sorted by (hash, key, row id), each partition's sort spilling to disk as it
-needs. A scan then compares the full keys of adjacent rows: a run of equal keys is a class, its first row the one that
-stands for it.
+Canonical records are range-partitioned by (128-bit hash, row id) and sorted by (hash, key, row id), each partition's sort
+spilling to disk as it needs. A scan then compares the full keys of adjacent rows: a run of equal keys is a class, its first
+row the one that stands for it.
 
 Scale. The row id is part of the range key, so that a class that holds a third of all rows is cut into as many ranges as
-its size needs. A run may thus go on in later partitions; the partitions' first and last keys (two rows each, bounded by
-the number of partitions) tell which first row it has, and no class is ever gathered anywhere. The canonical records are
-written once: the sampling for the ranges and the sort both read that narrow table instead of working keys out again.
+its size needs. A run may thus go on in later partitions; the hashes of the partitions' first and last keys (two rows each,
+bounded by the number of partitions) tell which first row it has, and no class is ever gathered anywhere. Range sampling
+and border rows bring hashes to the driver, never keys: their size follows the number of partitions, not the rows or their
+texts. The canonical records are written once: the sampling for the ranges and the sort both read that narrow table instead
+of working keys out again.
 """
 
 from __future__ import annotations
@@ -128,13 +130,15 @@ _RUNS = pa.schema(
         ("edge", pa.string()),
     ]
 )
+_HASHES = ("h", "g")
 _RUNS_DDL = "part int, table_name string, row_id bigint, first_id bigint, head boolean, edge string"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal keys in a sorted partition; edge: the key, on the partition's first and last row."""
+    """Runs of equal keys in a sorted partition; edge: the key's hash, on the partition's first and last row."""
     part = TaskContext.get().partitionId()
     key = first = waiting = None
+    last = ""
     head = True
 
     def out(columns: list, edges: list) -> pa.RecordBatch:
@@ -150,6 +154,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if waiting:
             yield out(*waiting)
         tables, ids, keys = batch.column("table_name"), batch.column("row_id").to_numpy(), batch.column("key")
+        hashes = [batch.column(x) for x in _HASHES]
         new = np.ones(len(ids), bool)
         new[1:] = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
         new[0] = keys[0].as_py() != key
@@ -159,12 +164,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.full(len(ids), head) & (run <= (0 if begun else 1))
         edges: list[str | None] = [None] * len(ids)
         if not begun:
-            edges[0] = keys[0].as_py()
+            edges[0] = " ".join(str(x[0]) for x in hashes)
         begun, head = True, bool(heads[-1])
         key, first = keys[len(keys) - 1].as_py(), firsts[-1]
+        last = " ".join(str(x[len(x) - 1]) for x in hashes)
         waiting = ([tables, ids, firsts, heads], edges)
     if waiting:
-        waiting[1][-1] = key
+        waiting[1][-1] = last
         yield out(*waiting)
 
 
@@ -174,27 +180,26 @@ def classes(records: DataFrame) -> DataFrame:
     Keys of different tables must differ. No record may lack its key or row id; a repeated row is its own copy.
     """
     spark = records.sparkSession
-    hashed = records.withColumn("h", F.xxhash64("key"))
-    order = ["h", "key", "row_id"]
+    hashed = records.withColumn("h", F.xxhash64("key")).withColumn("g", F.xxhash64(F.lit(1), "key"))
     runs = stage(
-        hashed.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("table_name", "row_id", "key")
+        hashed.repartitionByRange(*_HASHES, "row_id")
+        .sortWithinPartitions(*_HASHES, "key", "row_id")
+        .select("table_name", "row_id", "key", *_HASHES)
         .mapInArrow(_scan, _RUNS_DDL),
         "copy-runs",
     )
     ends: dict[int, list] = {}
     for x in runs.where("edge is not null").collect():  # at most two rows of each partition
         ends.setdefault(x["part"], []).append(x)
-    true_first, last_key, last_first = [], None, None
+    true_first, last_edge, last_first = [], None, None
     for part in sorted(ends):
         head = next(x for x in ends[part] if x["head"])
         tail = next((x for x in ends[part] if not x["head"]), None)
         first = head["first_id"]
-        if head["edge"] == last_key:
+        if head["edge"] == last_edge:
             first = last_first
             true_first.append((part, first))
-        last_key, last_first = (tail["edge"], tail["first_id"]) if tail else (head["edge"], first)
+        last_edge, last_first = (tail["edge"], tail["first_id"]) if tail else (head["edge"], first)
     if not true_first:
         return runs.select("table_name", "row_id", "first_id")
     mended = F.broadcast(spark.createDataFrame(true_first, "part int, mended bigint").withColumn("head", F.lit(True)))
