@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,73 +81,74 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(~F.startswith("value", F.lit("#"))).select(F.trim("value").alias("query")).where("query <> ''")
 
 
-def _utf8(content):
+def _utf8(content: Column) -> Column:
     def run(blobs):
         return blobs.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
 
     return F.pandas_udf(run, T.StringType())(content)
 
 
-def parse_vtt(text: str | None) -> list[tuple[float, str]] | None:
-    """(start, text) of the captions; tags are removed, and a text that came before is left out (rolling captions)."""
-    import re
+_CUE = r"(?:(\d+):)?(\d\d):(\d\d)[.,](\d{3})[ \t]+-->[^\n]*\n?"
 
-    if text is None:
-        return None
-    cue = re.compile(r"(\d{2}):(\d{2}):(\d{2}[.,]\d{3})\s*-->\s*\d{2}:\d{2}:\d{2}[.,]\d{3}")
-    seen: set[str] = set()
-    out: list[tuple[float, str]] = []
-    start: float | None = None
-    lines: list[str] = []
 
-    def end() -> None:
-        caption = " ".join(re.sub(r"<[^>]+>", "", " ".join(lines)).split())
-        if start is not None and caption and caption not in seen:
-            seen.add(caption)
-            out.append((start, caption))
-        lines.clear()
+def vtt_captions(text: Column) -> Column:
+    """array<struct<start, text>> of a WebVTT (or SRT) text; NULL for NULL.
 
-    for line in map(str.strip, text.splitlines()):
-        if found := cue.match(line):
-            end()
-            start = round(int(found[1]) * 3600 + int(found[2]) * 60 + float(found[3].replace(",", ".")), 1)
-        elif line and not line.isdigit() and not line.startswith(("WEBVTT", "Kind:", "Language:", "NOTE")):
-            lines.append(line)
-    end()
-    return out
+    Blocks are separated by blank lines; those with a timing line are cues, the others (header, notes, styles) aren't. Tags are
+    removed and white space is collapsed; empty captions and texts that came before (rolling captions) are left out.
+    """
+    blocks = F.split(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\n+")
+    cues = F.filter(blocks, lambda x: x.rlike(_CUE))
 
+    def part(x: Column, group: int) -> Column:
+        return F.coalesce(F.regexp_extract(x, _CUE, group).try_cast("double"), F.lit(0.0))
 
-def read_vtt(spark: SparkSession, folder: str) -> DataFrame:
-    """(video_id, snippets) of .vtt files; video_id is the name up to the first point."""
-    kind = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("text", T.StringType())]))
+    def caption(x: Column) -> Column:
+        shown = F.element_at(F.split(x, _CUE, 2), 2)
+        return F.struct(
+            F.round(part(x, 1) * 3600 + part(x, 2) * 60 + part(x, 3) + part(x, 4) / 1000, 1).alias("start"),
+            F.trim(F.regexp_replace(F.regexp_replace(shown, r"<[^>]*>", ""), r"\s+", " ")).alias("text"),
+        )
 
-    def run(texts):
-        return texts.map(lambda t: [{"start": a, "text": b} for a, b in parse_vtt(t) or []])
+    told = F.filter(F.transform(cues, caption), lambda c: c["text"] != "")
+    return F.filter(told, lambda c, i: F.array_position(F.transform(told, lambda d: d["text"]), c["text"]) == i + 1)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.vtt").load(folder)
-    return files.select(
-        F.regexp_extract("path", r"([^/.]+)[^/]*\.vtt$", 1).alias("video_id"),
-        F.pandas_udf(run, kind)(_utf8(F.col("content"))).alias("snippets"),
-    )
+
+def read_vtt(spark: SparkSession, folder: str) -> DataFrame:
+    """(video_id, snippets) of .vtt files; video_id is the name up to the first point."""
+    files = spark.read.option("pathGlobFilter", "*.vtt").text(folder, wholetext=True)
+    name = F.regexp_extract("_metadata.file_path", r"([^/.]+)[^/]*\.vtt$", 1)
+    return files.select(name.alias("video_id"), vtt_captions(F.col("value")).alias("snippets"))
 
 
 def register_cached_responses(spark: SparkSession) -> None:
-    """Format "cached_responses" for spark.read: (query_id, body) from a folder of stored responses, one task a file.
+    """Format "cached_responses" for spark.read: (query_id, body) from a folder of stored responses, some files a task.
 
-    The network source itself is outside the engine; what was stored of it is read here.
+    The network source itself is outside the engine; what was stored of it is read here. The folder may be on any file system
+    that pyarrow knows.
     """
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+    files_a_task = 500
+
     class Reader(DataSourceReader):
         def __init__(self, folder: str):
             self.folder = folder
 
         def partitions(self):
-            return [InputPartition(str(p)) for p in sorted(Path(self.folder).glob("*.json"))]
+            from pyarrow import fs
+
+            system, path = fs.FileSystem.from_uri(self.folder if "://" in self.folder else f"file://{self.folder}")
+            found = sorted(x.path for x in system.get_file_info(fs.FileSelector(path)) if x.is_file and x.extension == "json")
+            return [InputPartition(found[i : i + files_a_task]) for i in range(0, len(found), files_a_task)]
 
         def read(self, partition):
-            p = Path(partition.value)
-            yield p.stem, p.read_text(encoding="utf-8", errors="replace")
+            from pyarrow import fs
+
+            system, _ = fs.FileSystem.from_uri(self.folder if "://" in self.folder else f"file://{self.folder}")
+            for path in partition.value:
+                with system.open_input_stream(path) as file:
+                    yield path.rsplit("/", 1)[-1].removesuffix(".json"), file.read().decode("utf-8", "replace")
 
     class Responses(DataSource):
         @classmethod
@@ -165,59 +164,55 @@ def register_cached_responses(spark: SparkSession) -> None:
     spark.dataSource.register(Responses)
 
 
+#: Numeric columns of the invented candidates: (from, to, how far the hidden quality decides, decimals).
+_INVENTED = {
+    "organic_rank": (40, 1, 0.6, 0),
+    "domain_rating": (5, 95, 0.4, 1),
+    "page_authority": (5, 95, 0.3, 1),
+    "word_count": (200, 4000, 0.2, 0),
+    "has_schema": (0, 1, 0.3, 0),
+    "num_lists_tables": (0, 12, 0.3, 0),
+    "has_faq": (0, 1, 0.2, 0),
+    "query_url_similarity": (0, 1, 0.5, 3),
+    "passage_match_score": (0, 1, 0.4, 3),
+    "content_freshness_days": (1500, 1, 0.2, 0),
+    "num_entities_matched": (0, 25, 0.4, 0),
+    "readability_score": (10, 90, 0.1, 1),
+    "is_https": (0, 1, 0.7, 0),
+    "domain_citation_rate": (0, 0.6, 0.4, 3),
+    "is_forum": (1, 0, 0.3, 0),
+    "is_video": (1, 0, 0.3, 0),
+}
+
+
 def synthetic_candidates(spark: SparkSession, n_queries: int = 400, seed: int = 42) -> DataFrame:
     """Invented candidates in the contractual columns, from a hash of (seed, query, position), so that every run is equal.
 
-    Eight to 29 candidates a query; a hidden quality couples rank, match and structure; the best of a noisy linear score
-    are cited, at least one and at most eight a query.
+    Eight to 29 candidates a query. Each numeric column lies between two bounds and mixes a hidden quality with chance; the one
+    to four candidates of a query that mix quality and chance best are cited.
     """
 
-    def u(name: str):
-        h = F.pmod(F.xxhash64("q", "i", F.lit(name), F.lit(seed)), F.lit(1 << 30)).cast("double")
-        return (h + 0.5) / float(1 << 30)
-
-    def normal(name: str):
-        return F.sqrt(-2 * F.log(u(name + "1"))) * F.cos(2 * 3.141592653589793 * u(name + "2"))
-
-    def clip(x, low: float, high: float):
-        return F.greatest(F.lit(low), F.least(F.lit(high), x))
-
-    n = 8 + F.pmod(F.xxhash64("q", F.lit("n"), F.lit(seed)), F.lit(22))
-    rows = spark.range(n_queries).select(F.col("id").alias("q")).withColumn("i", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
-    quality = clip((u("a") + u("b")) / 2, 0, 1)
-    rows = rows.withColumn("quality", quality)
-    rows = rows.withColumn("match", F.round(clip(0.35 + 0.5 * F.col("quality") + 0.12 * normal("m"), 0, 1), 3))
-    rows = rows.select(
-        "q",
-        "i",
-        "quality",
+    def chance(*of: Column | str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 32)) / float(1 << 32)
+
+    def own(name: str) -> Column:
+        return chance("q", "i", F.lit(name))
+
+    size = (8 + F.floor(22 * chance("q", F.lit("size")))).cast("int")
+    cited = (1 + F.floor(4 * chance("q", F.lit("cited")))).cast("int")
+    rows = spark.range(n_queries).select(F.col("id").alias("q"), size.alias("size"), cited.alias("k"))
+    rows = rows.select("q", "k", F.explode(F.sequence(F.lit(1), "size")).alias("i")).withColumn("quality", own("quality"))
+    kinds = dict(x.split() for x in CANDIDATES.split(", "))
+    numbers = [
+        F.round(low + (high - low) * (share * F.col("quality") + (1 - share) * own(name)), digits).cast(kinds[name]).alias(name)
+        for name, (low, high, share, digits) in _INVENTED.items()
+    ]
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.col("quality") + own("noise")), "i"))
+    return rows.select(
         F.format_string("q%04d", "q").alias("query_id"),
-        F.format_string("synthetic query %d", "q").alias("query"),
-        F.format_string("https://site%d.example/page-%d-%d", F.pmod(F.xxhash64("q", "i", F.lit("d")), F.lit(200)), "q", "i").alias("url"),
-        clip(F.round((1 - F.col("quality")) * 20 + 4 * normal("r")), 1, 100).cast("int").alias("organic_rank"),
-        F.round(clip(45 + 40 * F.col("quality") + 12 * normal("dr"), 1, 100), 1).alias("domain_rating"),
-        F.round(clip(45 + 40 * F.col("quality") + 14 * normal("pa"), 1, 100), 1).alias("page_authority"),
-        clip(F.round(1200 + 900 * F.col("quality") + 600 * normal("w")), 150, 6000).cast("int").alias("word_count"),
-        (u("s") < 0.35 + 0.4 * F.col("quality")).cast("int").alias("has_schema"),
-        clip(F.floor((1 + 4 * F.col("quality")) * 2 * u("l")), 0, 20).cast("int").alias("num_lists_tables"),
-        (u("f") < 0.2 + 0.35 * F.col("quality")).cast("int").alias("has_faq"),
-        F.col("match").alias("query_url_similarity"),
-        F.round(clip(F.col("match") + 0.15 * normal("p"), 0, 1), 3).alias("passage_match_score"),
-        clip(F.round(-220 * F.log(u("c")) * (1.3 - 0.6 * F.col("quality"))), 1, 2000).cast("int").alias("content_freshness_days"),
-        clip(F.floor((3 + 9 * F.col("match")) * 2 * u("e")), 0, 40).cast("int").alias("num_entities_matched"),
-        F.round(clip(55 + 15 * F.col("quality") + 12 * normal("re"), 5, 100), 1).alias("readability_score"),
-        (u("h") < 0.96).cast("int").alias("is_https"),
-        F.round(clip(0.2 + 0.25 * F.col("quality") + 0.08 * normal("cr"), 0, 1), 3).alias("domain_citation_rate"),
-        (u("fo") < 0.12).cast("int").alias("is_forum"),
-        (u("v") < 0.1).cast("int").alias("is_video"),
-        F.when(u("t") < 0.6, "informational").when(u("t") < 0.88, "commercial").otherwise("transactional").alias("content_type"),
-        normal("noise").alias("noise"),
-    )
-    from pyspark.sql import Window
-
-    structure = 0.4 * F.col("has_schema") + 0.4 * F.col("has_faq") + 0.2 * F.least("num_lists_tables", F.lit(5)) / 5
-    score = 1.7 * F.col("query_url_similarity") + 1.5 * F.col("passage_match_score") + structure + 3 / F.col("organic_rank") + 1.1 * F.col("noise")
-    w = Window.partitionBy("q")
-    k = F.least(F.lit(8), 1 + F.pmod(F.xxhash64("q", F.lit("k"), F.lit(seed)), F.lit(5)))
-    place = F.row_number().over(w.orderBy(F.desc("score"), "i"))
-    return rows.withColumn("score", score).withColumn("cited", (place <= k).cast("int")).select(*_CONTRACT)
+        F.format_string("invented query %d", "q").alias("query"),
+        F.format_string("https://host%d.test/%d/%d", F.floor(200 * own("host")).cast("int"), "q", "i").alias("url"),
+        *numbers,
+        F.element_at(F.split(F.lit("informational commercial transactional"), " "), (1 + F.floor(3 * own("type"))).cast("int")).alias("content_type"),
+        (place <= F.col("k")).cast("int").alias("cited"),
+    ).select(*_CONTRACT)

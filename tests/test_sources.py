@@ -70,7 +70,9 @@ def test_pages_queries_vtt(spark, tmp_path):
     (tmp_path / "abc.de.vtt").write_text(vtt)
     row = readers.read_vtt(spark, str(tmp_path)).first()
     assert row["video_id"] == "abc" and [tuple(s) for s in row["snippets"]] == [(1.0, "Hallo Welt"), (60.0, "Ende")]
-    assert readers.parse_vtt(None) is None and readers.parse_vtt("") == []
+    texts = [(1, None), (2, ""), (3, "WEBVTT\r\n\r\nNOTE x --> y\r\n\r\n00:05.250 --> 00:07.000 align:start\r\na\r\n<i>b</i>\r\n\r\n01:00:00.000 --> 01:00:01.000\r\n")]
+    made = {r["i"]: r["c"] for r in spark.createDataFrame(texts, "i int, t string").select("i", readers.vtt_captions(F.col("t")).alias("c")).collect()}
+    assert made[1] is None and made[2] == [] and [tuple(x) for x in made[3]] == [(5.3, "a b")]
 
 
 def test_candidates_contract(spark, tmp_path):
@@ -79,6 +81,8 @@ def test_candidates_contract(spark, tmp_path):
     assert made.columns == names
     each = made.groupBy("query_id").agg(F.sum("cited").alias("k"), F.count("*").alias("n")).collect()
     assert len(each) == 30 and all(1 <= r["k"] <= 8 and 8 <= r["n"] <= 29 for r in each)
+    rate = readers.synthetic_candidates(spark, 300, 0).agg(F.avg("cited"), F.corr("cited", "query_url_similarity"), F.corr("cited", "organic_rank")).first()
+    assert 0.05 < rate[0] < 0.35 and rate[1] > 0.1 > -0.1 > rate[2]
     sinks.write_csv(made.withColumn("extra", F.lit("x")), str(tmp_path / "c.csv"))
     back = readers.read_candidates(spark, str(tmp_path / "c.csv"))
     assert back.count() == made.count() and dict(back.dtypes)["organic_rank"] == "int" and "extra" in back.columns
