@@ -166,6 +166,12 @@ def parsed_page(html):
     return pd.DataFrame([parse_page(x) or blank for x in html], columns=PARSED.names)
 
 
+def tag_count(html: Column, *names: str) -> Column:
+    """How often elements of these names begin, outside of comments, scripts and styles."""
+    shown = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
+    return F.regexp_count(shown, F.lit(rf"(?i)<(?:{'|'.join(names)})(?=[\s/>])"))
+
+
 def freshness_days(dates: Column, as_of: str) -> Column:
     """Days from the first date that parses and doesn't lie after ``as_of``; NULL without one."""
     ref = F.lit(as_of).cast("timestamp")

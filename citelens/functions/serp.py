@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citelens.functions.url import clean_domain, clean_url
+from citelens.operators import json_text
 from citelens.schemas import REFERENCE, SENTINEL_RANK, SERP_FEATURES
 
 # Numbers are read as strings, since responses write them either way, and cast where they are used.
@@ -21,10 +26,30 @@ RESPONSE = (
 
 
 def results(df: DataFrame, body: str) -> DataFrame:
-    """``df`` with ``result``, the response's first result; rows without one (malformed, failed, empty) are left out."""
+    """``df`` with ``result``, the response's first result; rows without one (malformed, failed, empty) are left out.
+
+    A body is parsed once: the generator keeps what is worked out from ``result`` from being pushed before it. Bodies beyond the
+    JVM parser's limits (see ``operators.nested``) are left out too; ``rejected`` names them.
+    """
     parsed = F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, RESPONSE, {"mode": "PERMISSIVE"}))
-    first = F.get(F.get(parsed["tasks"], 0)["result"], 0)
-    return df.withColumn("result", first).where("result is not null").drop(body)
+    first = F.transform(F.array(parsed), lambda p: F.get(F.get(p["tasks"], 0)["result"], 0))
+    kept = [c for c in df.columns if c != body]
+    return df.select(*kept, F.explode(F.filter(first, lambda x: x.isNotNull())).alias("result"))
+
+
+def rejected(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, reason) of the rows that ``results`` leaves out: no body, not JSON, beyond the parser's limits, or no result."""
+    text = F.col(body)
+    result = F.get(F.get(F.from_json(text, RESPONSE, {"mode": "PERMISSIVE"})["tasks"], 0)["result"], 0)
+    parses = F.try_parse_json(text).isNotNull()
+    reason = F.when(text.isNull(), "no body").when(~parses, "unread").when(result.isNull(), "no result")
+    out = df.select(key, F.explode(F.filter(F.array(F.struct(reason.alias("reason"), text.alias("text"))), lambda x: x["reason"].isNotNull())).alias("x"))
+    return out.select(key, F.when(F.col("x.reason") == "unread", _unread("x.text")).otherwise(F.col("x.reason")).alias("reason"))
+
+
+@F.pandas_udf(T.StringType())
+def _unread(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: "not JSON" if t is None or json_text.parse(t) is None else "beyond the parser's limits")
 
 
 def items(result: Column, kind: str | None = None) -> Column:
@@ -86,43 +111,50 @@ def query_facts(df: DataFrame) -> DataFrame:
     )
 
 
-def candidates(df: DataFrame, key: str, url_key) -> DataFrame:
+def candidates(df: DataFrame, key: str, url_key: Callable[[Column], Column]) -> DataFrame:
     """(key, url, organic_rank, title, snippet, cited): organic results, then references that aren't among them.
 
     A page is cited if its url, by ``url_key``, is among the references. A reference outside the organic block has the
-    sentinel rank. Within a response each url key stands once: the best rank, then the first position.
+    sentinel rank. Within a response each url key stands once: the best rank, then the first position. Everything is worked out
+    within the response's row, without a join.
     """
     r = F.col("result")
-    organic = df.select(key, F.posexplode(items(r, "organic")).alias("pos", "x")).select(
-        key, "pos", F.col("x.url").alias("url"), F.col("x.rank_group").try_cast("int").alias("organic_rank"),
-        F.col("x.title").alias("title"), F.col("x.description").alias("snippet"),
+    organic = F.transform(
+        items(r, "organic"),
+        lambda x, i: F.struct(
+            F.coalesce(x["rank_group"].try_cast("int"), F.lit(100)).alias("order"), i.alias("pos"), url_key(x["url"]).alias("k"), x["url"].alias("url"),
+            x["rank_group"].try_cast("int").alias("organic_rank"), x["title"].alias("title"), x["description"].alias("snippet"),
+        ),
     )
-    cited = df.select(key, F.posexplode(references(r)).alias("pos", "x")).select(
-        key, "pos", clean_url(F.col("x.url")).alias("url"), F.col("x.title").alias("title"), F.col("x.text").alias("snippet")
+    cited = F.transform(references(r), lambda x, i: F.struct(clean_url(x["url"]).alias("url"), i.alias("pos"), x["title"].alias("title"), x["text"].alias("snippet")))
+    cited = F.transform(
+        F.filter(cited, lambda x: x["url"] != ""),
+        lambda x: F.struct(
+            F.lit(SENTINEL_RANK).alias("order"), x["pos"].alias("pos"), url_key(x["url"]).alias("k"), x["url"].alias("url"),
+            F.lit(SENTINEL_RANK).alias("organic_rank"), x["title"].alias("title"), x["snippet"].alias("snippet"),
+        ),
     )
-    cited = cited.where("url <> ''").withColumn("k", url_key(F.col("url")))
-    organic = organic.where("url is not null").withColumn("k", url_key(F.col("url")))
-    marks = cited.select(key, "k").distinct().withColumn("cited", F.lit(1))
-    own = organic.join(marks, [key, "k"], "left").withColumn("cited", F.coalesce("cited", F.lit(0)))
-    outside = cited.join(organic.select(key, "k"), [key, "k"], "left_anti")
-    outside = outside.withColumn("organic_rank", F.lit(SENTINEL_RANK)).withColumn("cited", F.lit(1))
-    columns = [key, "k", "pos", "url", "organic_rank", "title", "snippet", "cited"]
-    both = own.select(columns).unionByName(outside.select(columns))
-    best = both.groupBy(key, "k").agg(
-        F.min_by(F.struct("url", "organic_rank", "title", "snippet", "cited"), F.struct(F.coalesce("organic_rank", F.lit(100)), "pos")).alias("c")
+    both = df.select(key, F.filter(organic, lambda x: x["url"].isNotNull()).alias("own"), cited.alias("cited"))
+    keyed = both.select(key, "own", "cited", F.transform("cited", lambda x: x["k"]).alias("marks"), F.transform("own", lambda x: x["k"]).alias("known"))
+    placed = keyed.select(
+        key, "marks", F.sort_array(F.concat("own", F.filter("cited", lambda x: ~F.array_contains("known", x["k"])))).alias("all")
     )
-    return best.select(key, "c.*")
+    ordered = placed.select(key, "marks", "all", F.transform("all", lambda x: x["k"]).alias("ks"))
+    best = F.filter("all", lambda x, i: F.array_position("ks", x["k"]) == i + 1)
+    rows = ordered.select(key, "marks", F.explode(best).alias("c"))
+    return rows.select(key, "c.url", "c.organic_rank", "c.title", "c.snippet", F.array_contains("marks", F.col("c.k")).cast("int").alias("cited"))
 
 
-def citations(df: DataFrame, key: str) -> DataFrame:
-    """(key, cited_url, cited_domain, cited_title, cited_snippet) of each reference; the snippet's first 500 characters."""
+def citations(df: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """(key, cited_url, cited_domain, cited_title, cited_snippet) of each reference; the snippet whole, or its first ``most`` characters."""
     x = F.col("x")
+    snippet = F.coalesce(x["text"], F.lit(""))
     return df.select(key, F.explode(references(F.col("result"))).alias("x")).select(
         key,
         clean_url(x["url"]).alias("cited_url"),
         clean_domain(x["domain"]).alias("cited_domain"),
         F.coalesce(x["title"], F.lit("")).alias("cited_title"),
-        F.left(F.coalesce(x["text"], F.lit("")), F.lit(500)).alias("cited_snippet"),
+        (snippet if most is None else F.left(snippet, F.lit(most))).alias("cited_snippet"),
     )
 
 

@@ -32,16 +32,22 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+# Patterns of markdown and what stands for them, in the order of their use.
+MARKDOWN = (
+    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\*\*([^*]*)\*\*", "$1"),
+    (r"\*([^*]*)\*", "$1"),
+    (r"\[+\d*\]+", " "),
+    (r"\(https?://[^)]*\)", " "),
+    (r"https?://[^ \t\n\x0B\f\r]+", " "),
+)
+# Patterns of traits.
+CURRENCY, FORMULA = r"(euro|€|\beur\b)", r"=|×|\*|\+"
+
+
 def clean_markdown(text: Column) -> Column:
     """Links become their labels; bold, italic, reference marks and urls go; white space is collapsed."""
-    for pattern, replacement in (
-        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"\*\*([^*]*)\*\*", "$1"),
-        (r"\*([^*]*)\*", "$1"),
-        (r"\[+\d*\]+", " "),
-        (r"\(https?://[^)]*\)", " "),
-        (r"https?://[^ \t\n\x0B\f\r]+", " "),
-    ):
+    for pattern, replacement in MARKDOWN:
         text = F.regexp_replace(text, pattern, replacement)
     return collapse_space(text)
 
@@ -61,11 +67,12 @@ def sentences(text: Column, least: int = 6) -> Column:
     return F.filter(parts, lambda x: word_count(x) >= least)
 
 
-def passages(text: Column, least: int = 5, most: int = 40) -> Column:
-    """Split at sentence ends or line ends; the first ``most`` of at least ``least`` words; else the text's start."""
+def passages(text: Column, least: int = 5, most: int | None = None) -> Column:
+    """Split at sentence ends or line ends; those of at least ``least`` words, all or the first ``most``; else the text itself."""
     parts = F.transform(F.split(text, r"(?<=[.!?])" + SPACE + r"|\n+"), lambda x: F.trim(x))
-    parts = F.slice(F.filter(parts, lambda x: word_count(x) >= least), 1, most)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.left(text, F.lit(500))))
+    parts = F.filter(parts, lambda x: word_count(x) >= least)
+    parts = parts if most is None else F.slice(parts, 1, most)
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
 
 
 def tokens(text: Column) -> Column:
@@ -101,9 +108,9 @@ def traits(sentence: Column) -> dict[str, Column]:
     return {
         "n_words": word_count(sentence),
         "has_number": F.rlike(sentence, F.lit("[0-9]")).cast("int"),
-        "has_currency": F.rlike(low, F.lit(r"(euro|€|\beur\b)")).cast("int"),
+        "has_currency": F.rlike(low, F.lit(CURRENCY)).cast("int"),
         "has_percent": (F.contains(sentence, F.lit("%")) | F.contains(low, F.lit("prozent"))).cast("int"),
-        "has_formula": F.rlike(sentence, F.lit(r"=|×|\*|\+")).cast("int"),
+        "has_formula": F.rlike(sentence, F.lit(FORMULA)).cast("int"),
         "has_definition_cue": _contains_any(low, DEFINITION_CUES),
         "has_list_cue": _contains_any(low, LIST_CUES),
         "starts_capital": ((F.upper(first) == first) & (F.lower(first) != first)).cast("int"),
@@ -117,9 +124,12 @@ def entity_overlap(query: Column, page: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(low, t)))
 
 
-def reading_ease(text: Column) -> Column:
-    """Flesch reading ease of the first 20,000 characters in [0, 100]; NULL up to 30 words. A syllable is a vowel group."""
-    start = F.left(text, F.lit(20000))
+def reading_ease(text: Column, most: int | None = None) -> Column:
+    """Flesch reading ease in [0, 100], of the text or its first ``most`` characters; NULL up to 30 words.
+
+    A syllable is a vowel group.
+    """
+    start = text if most is None else F.left(text, F.lit(most))
     n_words = word_count(start)
     n_sentences = F.greatest(F.lit(1), F.regexp_count(start, F.lit(r"[.!?]+")))
     syllables = F.greatest(n_words, F.regexp_count(F.lower(start), F.lit("[aeiouyäöü]+")))

@@ -89,6 +89,16 @@ def clean_url(url: Column) -> Column:
     return F.coalesce(strip(F.when(F.rlike(text, F.lit(r"^\[[^\]]*\]\([^)]*\)")), target).otherwise(text)), F.lit(""))
 
 
+# Forms of a video's id in a url, and of a start time.
+ID_WATCH, ID_SHORT = r"[?&]v=([A-Za-z0-9_-]+)", r"youtu\.be/([A-Za-z0-9_-]+)"
+ID_COUNTED = (
+    r"[?&]v=([A-Za-z0-9_-]{6,})",
+    r"/(?:shorts|embed|v)/([A-Za-z0-9_-]{6,})",
+    r"youtu\.be/([A-Za-z0-9_-]{6,})",
+)
+ID_PATH, OFFSET = r"^/(?:embed|shorts|v)/([A-Za-z0-9_-]{6,})", r"[?&]t=(\d+)"
+
+
 def _first(url: Column, *patterns: str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in patterns])
 
@@ -98,32 +108,27 @@ def video_id_parsed(url: Column) -> Column:
     host = F.replace(F.lower(_part(url, 2)), F.lit("www."), F.lit(""))
     query = F.concat(F.lit("&"), _part(url, 4))
     watch = F.when(_part(url, 3) == "/watch", F.nullif(F.regexp_extract(query, r"[&;]v=([^&;]+)", 1), F.lit("")))
-    path = F.nullif(F.regexp_extract(_part(url, 3), r"^/(?:embed|shorts|v)/([A-Za-z0-9_-]{6,})", 1), F.lit(""))
+    path = F.nullif(F.regexp_extract(_part(url, 3), ID_PATH, 1), F.lit(""))
     short = F.nullif(F.regexp_extract(_part(url, 3), r"^/*([^/]*)", 1), F.lit(""))
     on_site = F.when(_part(url, 3) == "/watch", watch).otherwise(path)
     return F.when(F.contains(host, F.lit("youtube.com")), on_site).when(F.contains(host, F.lit("youtu.be")), short)
 
 
 def video_id_pattern(url: Column) -> Column:
-    return _first(url, r"[?&]v=([A-Za-z0-9_-]+)", r"youtu\.be/([A-Za-z0-9_-]+)")
+    return _first(url, ID_WATCH, ID_SHORT)
 
 
 def video_id_watch(url: Column) -> Column:
-    return _first(url, r"[?&]v=([A-Za-z0-9_-]+)")
+    return _first(url, ID_WATCH)
 
 
 def video_id_counted(url: Column) -> Column:
     """Ids of six or more characters, only where the url names the platform."""
-    patterns = (
-        r"[?&]v=([A-Za-z0-9_-]{6,})",
-        r"/(?:shorts|embed|v)/([A-Za-z0-9_-]{6,})",
-        r"youtu\.be/([A-Za-z0-9_-]{6,})",
-    )
-    return F.when(F.contains(F.lower(url), F.lit("youtu")), _first(url, *patterns))
+    return F.when(F.contains(F.lower(url), F.lit("youtu")), _first(url, *ID_COUNTED))
 
 
 def offset_seconds(url: Column) -> Column:
-    return F.regexp_extract(url, r"[?&]t=(\d+)", 1).try_cast("bigint")
+    return F.regexp_extract(url, OFFSET, 1).try_cast("bigint")
 
 
 def _any_contains(text: Column, words: tuple[str, ...]) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from citelens.functions import html, serp, url
 from citelens.plans.registry import query
 from citelens.plans.tables import table
-from citelens.schemas import SERP_FEATURES
+from citelens.plans.url_queries import repair_sql
+from citelens.schemas import SENTINEL_RANK, SERP_FEATURES
 
 _R = (
     "WITH r AS (SELECT serp_id, query_id, json_extract(b, '$.tasks[0].result[0]') AS r FROM (SELECT serp_id, query_id, CASE WHEN json_valid(body) THEN body::JSON END AS b FROM serp_sample) "
@@ -32,11 +33,40 @@ def serp_flags(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("serp_id", *[c.alias(n) for n, c in serp.feature_flags(F.col("result")).items()])
 
 
-@query("serp_query_facts")
+_REF_LISTS = (
+    ", ov AS (SELECT serp_id, row_number() OVER () AS n, x FROM ii WHERE type = 'ai_overview'), "
+    "oy AS (SELECT serp_id, n, unnest(CAST(json_extract(x, '$.items[*]') AS JSON[])) AS y FROM ov), "
+    "rr AS (SELECT serp_id, unnest(CAST(json_extract(x, '$.references[*]') AS JSON[])) AS z FROM ov UNION ALL "
+    "SELECT serp_id, unnest(CAST(json_extract(y, '$.references[*]') AS JSON[])) FROM oy), "
+    "ref AS (SELECT serp_id, z FROM rr WHERE json_type(z) = 'OBJECT')"
+)
+
+
+@query(
+    "serp_query_facts",
+    _R + _REF_LISTS + ", f AS (SELECT serp_id, list(type) AS t, count(*) FILTER (type = 'organic') AS o, count(*) FILTER (type = 'ai_overview') AS a, "
+    "count(*) FILTER (type = 'ai_overview' AND lower(x->>'$.asynchronous_ai_overview') = 'true') AS s FROM ii GROUP BY serp_id), "
+    "c AS (SELECT serp_id, count(*) AS n FROM ref GROUP BY serp_id) SELECT r.serp_id, r.query_id, CAST(coalesce(o, 0) AS INTEGER) AS num_organic_results, "
+    "CAST(coalesce(a, 0) > 0 AS INTEGER) AS ai_overview_present, CAST(coalesce(n, 0) AS INTEGER) AS ai_overview_num_references, "
+    "CAST(coalesce(s, 0) > 0 AS INTEGER) AS ai_overview_is_async, "
+    + ", ".join(f"CAST(coalesce(list_contains(t, '{n}'), false) AS INTEGER) AS has_{n}" for n in SERP_FEATURES)
+    + " FROM r LEFT JOIN f ON r.serp_id = f.serp_id LEFT JOIN c ON r.serp_id = c.serp_id",
+)
 def serp_query_facts(spark: SparkSession, folder: str) -> DataFrame:
     return serp.query_facts(_results(spark, folder))
 
 
+@query(
+    "serp_rejected",
+    "WITH b AS (SELECT serp_id, body, coalesce(json_valid(body), false) AS v FROM serp_sample), p AS (SELECT serp_id, body, v, CASE WHEN v THEN body::JSON END AS j FROM b) "
+    "SELECT serp_id, CASE WHEN body IS NULL THEN 'no body' WHEN NOT v THEN 'not JSON' ELSE 'no result' END AS reason FROM p "
+    "WHERE NOT v OR coalesce(json_type(json_extract(j, '$.tasks[0].result[0]')), '') <> 'OBJECT'",
+)
+def serp_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """The responses that the other queries leave out, and why."""
+    return serp.rejected(table(spark, folder, "serp_sample"), "serp_id", "body")
+
+
 @query(
     "paa_questions",
     _R + ", q AS (SELECT serp_id, unnest(CAST(json_extract(x, '$.items[*]') AS JSON[])) AS y FROM ii WHERE type = 'people_also_ask') "
@@ -68,22 +98,54 @@ def aio_reference_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _results(spark, folder).select("serp_id", n.alias("n")).where("n > 0")
 
 
-@query("aio_citations")
+def _link(text: str, part: int) -> str:
+    """The label (1) or target (2) of a markdown link around a text, else the text."""
+    own = f"regexp_replace({text}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+    link = r"'^\[([^\]]*)\]\(([^)]*)\)'"
+    inner = f"CASE WHEN regexp_matches({own}, {link}) THEN regexp_extract({own}, {link}, {part}) ELSE {own} END"
+    return f"coalesce(regexp_replace({inner}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '')"
+
+
+@query(
+    "aio_citations",
+    _R + _REF_LISTS + f" SELECT serp_id, {_link("(z->>'$.url')", 2)} AS cited_url, regexp_replace(lower({_link("(z->>'$.domain')", 1)}), '^www\\.', '') AS cited_domain, "
+    "coalesce(z->>'$.title', '') AS cited_title, coalesce(z->>'$.text', '') AS cited_snippet FROM ref",
+)
 def aio_citations(spark: SparkSession, folder: str) -> DataFrame:
     return serp.citations(_results(spark, folder), "serp_id")
 
 
-@query("aio_text")
+@query(
+    "aio_text",
+    _R + _REF_LISTS + ", l AS (SELECT serp_id, list_filter(CAST(json_extract(r, '$.items[*]') AS JSON[]), lambda x: x->>'$.type' = 'ai_overview') AS o FROM r), "
+    "t AS (SELECT serp_id, trim(array_to_string(list_filter(flatten(list_transform(o, lambda x: list_concat([nullif(x->>'$.markdown', '')], "
+    "flatten(list_transform(CAST(json_extract(x, '$.items[*]') AS JSON[]), lambda y: [nullif(y->>'$.text', ''), nullif(y->>'$.title', '')]))))), lambda v: v IS NOT NULL), chr(10))) AS t FROM l), "
+    "c AS (SELECT serp_id, count(*) AS n FROM ref GROUP BY serp_id) "
+    "SELECT t.serp_id, CAST(length(t) AS INTEGER) AS aio_char_len, t AS aio_text, CAST(coalesce(n, 0) AS INTEGER) AS aio_num_references "
+    "FROM t LEFT JOIN c ON t.serp_id = c.serp_id WHERE t <> ''",
+)
 def aio_text(spark: SparkSession, folder: str) -> DataFrame:
-    """The overviews' texts, to 5,000 characters as the table has them, with their whole length."""
+    """The overviews' whole texts, with their lengths."""
     text = serp.overview_text(F.col("result"))
-    rows = _results(spark, folder).select("serp_id", text.alias("t"), F.size(serp.references(F.col("result"))).alias("aio_num_references"))
-    return rows.where("t <> ''").select(
-        "serp_id", F.length("t").alias("aio_char_len"), F.left("t", F.lit(5000)).alias("aio_text"), "aio_num_references"
-    )
+    rows = _results(spark, folder).select("serp_id", text.alias("aio_text"), F.size(serp.references(F.col("result"))).alias("aio_num_references"))
+    return rows.where("aio_text <> ''").select("serp_id", F.length("aio_text").alias("aio_char_len"), "aio_text", "aio_num_references")
 
 
-@query("serp_candidates")
+@query(
+    "serp_candidates",
+    _R + ", own AS (SELECT serp_id, n, l[n] AS x FROM (SELECT serp_id, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT serp_id, CAST(json_extract(r, '$.items[*]') AS JSON[]) AS l FROM r))), "
+    "org AS (SELECT serp_id, n, x->>'$.url' AS url, TRY_CAST(x->>'$.rank_group' AS INTEGER) AS organic_rank, x->>'$.title' AS title, x->>'$.description' AS snippet "
+    "FROM own WHERE x->>'$.type' = 'organic' AND x->>'$.url' IS NOT NULL), "
+    "lists AS (SELECT serp_id, n, list_concat(CAST(json_extract(x, '$.references[*]') AS JSON[]), flatten(list_transform(CAST(json_extract(x, '$.items[*]') AS JSON[]), "
+    "lambda y: CAST(json_extract(y, '$.references[*]') AS JSON[])))) AS l FROM own WHERE x->>'$.type' = 'ai_overview'), "
+    "cit AS (SELECT serp_id, 1000000 * n + m AS n, l[m] AS z FROM (SELECT serp_id, n, l, unnest(range(1, len(l) + 1)) AS m FROM lists)), "
+    f"refs AS (SELECT serp_id, n, {_link("(z->>'$.url')", 2)} AS url, z->>'$.title' AS title, z->>'$.text' AS snippet FROM cit WHERE json_type(z) = 'OBJECT'), "
+    f"ok AS (SELECT *, {repair_sql('url')} AS k FROM org), ck AS (SELECT *, {repair_sql('url')} AS k FROM refs WHERE url <> ''), "
+    "every AS (SELECT serp_id, n, url, organic_rank, title, snippet, k, coalesce(organic_rank, 100) AS ord FROM ok UNION ALL "
+    f"SELECT serp_id, n, url, {SENTINEL_RANK}, title, snippet, k, {SENTINEL_RANK} FROM ck WHERE NOT EXISTS (FROM ok WHERE ok.serp_id = ck.serp_id AND ok.k = ck.k)) "
+    "SELECT serp_id, url, organic_rank, title, snippet, CAST(EXISTS (FROM ck WHERE ck.serp_id = every.serp_id AND ck.k = every.k) AS INTEGER) AS cited FROM every "
+    "QUALIFY row_number() OVER (PARTITION BY serp_id, k ORDER BY ord, n) = 1",
+)
 def serp_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return serp.candidates(_results(spark, folder), "serp_id", url.repair_key)
 
@@ -102,14 +164,17 @@ _PAGES = "SELECT page_id, html FROM page_content WHERE ok AND length(html) > 0"
 
 @query(
     "html_counts",
-    "SELECT page_id, CAST(least(50, len(regexp_extract_all(html, '<(?:ul|ol|table)[ >]'))) AS INTEGER) AS num_lists_tables, "
-    f"CAST(contains(html, '<details') AS INTEGER) AS has_details FROM ({_PAGES})",
+    "SELECT page_id, CAST(least(50, len(regexp_extract_all(h, '<(?:ul|ol|table)[ >]'))) AS INTEGER) AS num_lists_tables, "
+    f"CAST(contains(h, '<details') AS INTEGER) AS has_details FROM (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM ({_PAGES}))",
 )
 def html_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Lists and tables by the parser."""
+    """Lists and tables, and whether the page has a details element, counted on the JVM."""
     pages = table(spark, folder, "page_content").where("ok and length(html) > 0")
-    p = pages.select("page_id", html.parsed_page("html").alias("p"))
-    return p.select("page_id", F.least("p.lists_tables", F.lit(50)).alias("num_lists_tables"), F.col("p.has_details").cast("int").alias("has_details"))
+    return pages.select(
+        "page_id",
+        F.least(html.tag_count(F.col("html"), "ul", "ol", "table"), F.lit(50)).alias("num_lists_tables"),
+        (html.tag_count(F.col("html"), "details") > 0).cast("int").alias("has_details"),
+    )
 
 
 @query("onpage_features")

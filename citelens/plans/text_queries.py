@@ -135,7 +135,7 @@ def content_word_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "reading_ease",
-    f"WITH x AS (SELECT doc_id, left(text, 20000) AS s, {sql_words('text')} AS all_words FROM documents WHERE text IS NOT NULL), "
+    f"WITH x AS (SELECT doc_id, text AS s, {sql_words('text')} AS all_words FROM documents WHERE text IS NOT NULL), "
     f"y AS (SELECT doc_id, all_words, {sql_words('s')} AS w, greatest(1, len(regexp_extract_all(s, '[.!?]+'))) AS n, "
     "len(regexp_extract_all(lower(s), '[aeiouyäöü]+')) AS v FROM x) SELECT doc_id, round(greatest(0, least(100, 206.835 - 1.015 * w / n::double - 84.6 * greatest(w, v) / w::double)), 6) "
     "AS ease FROM y WHERE all_words > 30",
@@ -148,7 +148,7 @@ def reading_ease(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "passage_split",
     f"WITH x AS (SELECT doc_id, text, string_split_regex(regexp_replace(text, '([.!?]){_S}', '\\1' || chr(1), 'g'), chr(1) || '|\\n+') AS p FROM documents WHERE text IS NOT NULL), "
-    f"y AS (SELECT doc_id, list_filter(list_transform(p, lambda q: trim(q, ' ')), lambda q: {sql_words('q')} >= 5)[1:40] AS p FROM x) SELECT doc_id, CAST(greatest(1, len(p)) AS INTEGER) AS n FROM y",
+    f"y AS (SELECT doc_id, list_filter(list_transform(p, lambda q: trim(q, ' ')), lambda q: {sql_words('q')} >= 5) AS p FROM x) SELECT doc_id, CAST(greatest(1, len(p)) AS INTEGER) AS n FROM y",
 )
 def passage_split(spark: SparkSession, folder: str) -> DataFrame:
     rows = _documents(spark, folder).where("text is not null")

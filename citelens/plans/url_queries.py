@@ -42,12 +42,18 @@ _one(
     f"CASE WHEN {_BLANK} THEN '' ELSE lower({_part(1)}) || '://' || lower({_part(2)}) || {_PATH} END",
     url.collector_key,
 )
-_one(
-    "url_key_repair",
-    f"CASE WHEN {_BLANK} THEN '' ELSE regexp_replace(lower({_part(2)}), '^www\\.', '') || {_PATH} || "
-    f"CASE WHEN {_part(4)} <> '' THEN '?' || {_part(4)} ELSE '' END END",
-    url.repair_key,
-)
+
+
+def repair_sql(column: str) -> str:
+    """SQL of ``repair_key`` of a column."""
+    key = (
+        f"CASE WHEN {_BLANK} THEN '' ELSE regexp_replace(lower({_part(2)}), '^www\\.', '') || {_PATH} || "
+        f"CASE WHEN {_part(4)} <> '' THEN '?' || {_part(4)} ELSE '' END END"
+    )
+    return key.replace(_URL, _strip(column))
+
+
+_one("url_key_repair", repair_sql("url"), url.repair_key)
 _BARE = f"regexp_replace(regexp_replace({_URL}, '^(?i:https?)://', ''), '#.*$', '')"
 _REST = f"CASE WHEN contains({_BARE}, '/') THEN regexp_replace({_BARE}, '^[^/]*', '') ELSE '/' END"
 _one(
