@@ -1,22 +1,19 @@
 """Ranking metrics of scores against 0/1 labels.
 
 Pooled metrics first aggregate by distinct score, so that the running sums go over few rows; where a score has many distinct
-values they are taken in ranges, whose totals (one row for each range) are put in front of each range's own running sums.
+values they are taken in ranges (``ranges.running``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citelens.operators.ranges import quantiles, running
 from citelens.operators.relational import position_in_group, top_k
 
-#: Ranges of the score, for running sums without a single task over all scores.
-RANGES = 64
-
-
 def _by_score(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
     return (
         df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
@@ -31,35 +28,8 @@ def running_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()
 
 
 def _running(grouped: DataFrame, by: Sequence[str]) -> DataFrame:
-    edges = grouped.groupBy(*by).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    share = (F.col("hi") - F.col("s")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    cell = F.least(F.lit(RANGES - 1), F.floor(F.coalesce(share, F.lit(0.0)) * RANGES)).cast("int")
-    if by:
-        celled = grouped.join(edges, list(by)).withColumn("cell", cell)
-    else:
-        celled = grouped.crossJoin(F.broadcast(edges)).withColumn("cell", cell)
-    totals = celled.groupBy(*by, "cell").agg(F.sum("tp").alias("cell_tp"), F.sum("n").alias("cell_n"))
-    before = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    offsets = totals.select(
-        *by,
-        "cell",
-        F.coalesce(F.sum("cell_tp").over(before), F.lit(0)).alias("tp_before"),
-        F.coalesce(F.sum("cell_n").over(before), F.lit(0)).alias("n_before"),
-        F.sum("cell_tp").over(whole).alias("positives"),
-        F.sum("cell_n").over(whole).alias("total"),
-    )
-    inside = Window.partitionBy(*by, "cell").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    return celled.join(offsets, [*by, "cell"]).select(
-        *by,
-        "s",
-        "tp",
-        "n",
-        (F.col("tp_before") + F.sum("tp").over(inside)).alias("cum_tp"),
-        (F.col("n_before") + F.sum("n").over(inside)).alias("cum_n"),
-        "positives",
-        "total",
-    )
+    placed = running(grouped, "s", ["tp", "n"], by, descending=True)
+    return placed.withColumnsRenamed({"all_tp": "positives", "all_n": "total"})
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -126,9 +96,8 @@ def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFr
 
 def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """(bin, n, mean_score, mean_label, gap): equal-frequency bins, in which ties share a bin; only bins with rows."""
-    probs = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    edges = df.agg(F.percentile(score, probs).alias("edges"))
-    scored = df.crossJoin(F.broadcast(edges))
+    edges = quantiles(df, score, [i / bins for i in range(1, bins)]).select(F.col("q").alias("edges"))
+    scored = df.where(F.col(score).isNotNull()).crossJoin(F.broadcast(edges))
     bin_ = F.size(F.filter("edges", lambda e: e < F.col(score)))
     return (
         scored.groupBy(bin_.alias("bin"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citelens.operators.ranges import quantiles_of
 from citelens.staging import stage
 
 Keys = Sequence[str]
@@ -64,7 +65,8 @@ def impute_median(df: DataFrame, columns: Keys, zero: Keys = (), scope: Column |
     Nulls of ``zero`` become 0. The medians are one row, joined by broadcast.
     """
     base = df if scope is None else df.where(scope)
-    medians = base.agg(*(F.median(c).alias(f"_median_{c}") for c in columns))
+    known = quantiles_of(base, columns, [0.5])
+    medians = known.agg(*(F.max(F.when(F.col("name") == c, F.get("q", 0))).alias(f"_median_{c}") for c in columns))
     filled = {c: F.coalesce(F.col(c).cast("double"), f"_median_{c}", F.lit(0.0)) for c in columns}
     filled |= {c: F.coalesce(c, F.lit(0)) for c in zero}
     return df.crossJoin(F.broadcast(medians)).withColumns(filled).drop(*(f"_median_{c}" for c in columns))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citelens.operators.ranges import positions
 from citelens.operators.relational import position_in_group
 from citelens.staging import stage
 
@@ -18,19 +19,8 @@ def hash_unit(*keys: Column | str | int) -> Column:
 
 
 def dense_ranks(df: DataFrame, column: str) -> DataFrame:
-    """(column, rank): the distinct values by their rank in sorted order, from 0.
-
-    The values are sorted in ranges; a range's ranks begin after the number of values in earlier ranges.
-    """
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ranged = stage(values.repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "ranks")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each range
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
-    return ranged.withColumn("_at", within).join(F.broadcast(offsets), "_part").select(
-        column, (F.col("_before") + F.col("_at")).alias("rank")
-    )
+    """(column, rank): the distinct values by their rank in sorted order, from 0."""
+    return positions(df.select(column).where(F.col(column).isNotNull()).distinct(), [column])
 
 
 def rank_folds(df: DataFrame, group: str, k: int) -> DataFrame:
@@ -38,26 +28,58 @@ def rank_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     return dense_ranks(df, group).select(group, F.pmod("rank", F.lit(k)).cast("int").alias("fold"))
 
 
-def balanced_folds(df: DataFrame, group: str, k: int, exact: int = 100_000) -> DataFrame:
-    """(group, fold): groups by falling size, each to the lightest fold.
+def _turns(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """(first, last, folds): how the greedy choice of the lightest fold goes over groups by falling size.
 
-    Up to ``exact`` groups are dealt out one by one on the driver. Beyond that the groups of more than 1/exact of the rows are
-    (fewer than ``exact``), and a hash deals out the small ones.
+    ``sizes`` are (size, number of groups), largest first. Groups of one size go to the folds in turns; a stretch of equal turns is
+    one row, so that there are at most a few rows a size however many groups it has. Group i of the order (from 0) within
+    first <= i < last goes to folds[(i - first) % len(folds)].
     """
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n"))
-    total = sizes.agg(F.count("*").alias("groups"), F.sum("n").alias("rows")).first()
-    large = sizes if total["groups"] <= exact else sizes.where(F.col("n") * exact > total["rows"])
     loads = [0] * k
-    dealt = []
-    for row in sorted(large.collect(), key=lambda r: (-r["n"], str(r[group]))):
-        fold = loads.index(min(loads))
-        loads[fold] += row["n"]
-        dealt.append((row[group], fold))
-    spark = df.sparkSession
-    kind = sizes.schema[group].dataType.simpleString()
-    known = spark.createDataFrame(dealt, f"`{group}` {kind}, _fold int")
-    by_hash = F.floor(hash_unit(group, 0) * k).cast("int")
-    return sizes.join(F.broadcast(known), group, "left").select(group, F.coalesce("_fold", by_hash).alias("fold"))
+    out, at = [], 0
+    for size, left in sizes:
+        while left:
+            trial, turn = loads.copy(), []
+            while len(turn) < left and (f := trial.index(min(trial))) not in turn:
+                turn.append(f)
+                trial[f] += size
+            times = left // len(turn)
+            for f in set(range(k)) - set(turn):  # the turns end before a fold outside is the lightest
+                room = loads[f] - loads[turn[0]]
+                times = min(times, room // size if room % size or f > turn[0] else room // size - 1)
+            times = max(1, times)
+            n = times * len(turn)
+            out.append((at, at + n, turn))
+            for f in turn:
+                loads[f] += times * size
+            at, left = at + n, left - n
+    return out
+
+
+def balanced_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, fold): groups by falling size, then in their order, each to the lightest fold; the first of equals.
+
+    The driver sees how many groups each size has: N rows have fewer than sqrt(2 N) sizes. Groups find their turn by their
+    position in the order, which is sorted in ranges. Null groups have no fold.
+    """
+    sizes = stage(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_size")), "fold-sizes")
+    known = sizes.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect()
+    starts, at = {}, 0
+    for row in known:
+        starts[row["_size"]] = at
+        at += row["n"]
+    turns = _turns([(r["_size"], r["n"]) for r in known], k)
+    ends = sorted(starts.items(), key=lambda x: x[1])
+    rows, i = [], 0
+    for first, last, folds in turns:
+        while i + 1 < len(ends) and ends[i + 1][1] <= first:
+            i += 1
+        rows.append((ends[i][0], first, last, folds))
+    turns_ = df.sparkSession.createDataFrame(rows, "_size bigint, _first bigint, _last bigint, _folds array<int>")
+    placed = positions(sizes, [F.desc("_size"), F.col(group)]).join(turns_, "_size")
+    mine = placed.where((F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_last")))
+    turn = F.pmod(F.col("rank") - F.col("_first"), F.size("_folds")).cast("int")
+    return mine.select(group, F.get("_folds", turn).alias("fold"))
 
 
 def group_holdout(df: DataFrame, group: str, share: float, seed: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citelens.functions import stats, url
-from citelens.operators import relational
+from citelens.operators import ranges, relational
 from citelens.plans.registry import query
 from citelens.plans.tables import C, candidates, table
 from citelens.schemas import CONTENT_FEATURES, RANK_FEATURES, SENTINEL_RANK, SERP_FEATURES, stable_columns
@@ -491,21 +491,19 @@ def query_group_summary(spark: SparkSession, folder: str) -> DataFrame:
     "round(stddev_pop(word_count), 6) AS sd_pop FROM c",
 )
 def feature_quantiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Interpolated quantiles, and one by position in the sorted values, found by counting values and not by sorting rows."""
+    """Interpolated quantiles, and one by position in the sorted values; sorted in ranges of counted values."""
     df = candidates(spark, folder)
     counts = df.where("word_count is not null").groupBy("word_count").agg(F.count("*").alias("n"))
-    up_to = counts.withColumn("upto", F.sum("n").over(Window.orderBy("word_count")))  # one row for each distinct value
-    total = counts.agg(F.floor(0.9 * F.sum("n")).alias("place"))
-    by_index = up_to.crossJoin(F.broadcast(total)).where("upto > place").agg(F.min("word_count").alias("by_index"))
+    placed = ranges.running(counts, "word_count", ["n"])
+    by_index = placed.where(F.col("cum_n") > F.floor(0.9 * F.col("all_n"))).agg(F.min("word_count").alias("by_index"))
+    q = ranges.quantiles(df, "word_count", [0.1, 0.5, 0.9])
+    interpolated = q.select(*(_r(F.get("q", i)).alias(name) for i, name in enumerate(("q10", "q50", "q90"))))
     one = df.agg(
-        _r(F.percentile("word_count", F.lit(0.1))).alias("q10"),
-        _r(F.median("word_count")).alias("q50"),
-        _r(F.percentile("word_count", F.lit(0.9))).alias("q90"),
         F.countDistinct("url").alias("urls"),
         _r(F.stddev_samp("word_count")).alias("sd"),
         _r(F.stddev_pop("word_count")).alias("sd_pop"),
     )
-    return one.crossJoin(by_index)
+    return one.crossJoin(F.broadcast(by_index)).crossJoin(F.broadcast(interpolated))
 
 
 @query(
@@ -556,10 +554,10 @@ def class_descriptives(spark: SparkSession, folder: str) -> DataFrame:
     names = ["word_count", "num_lists_tables", "readability_score", "query_url_similarity"]
     df = candidates(spark, folder).select("cited", *(F.col(x).cast("double") for x in names))
     long = df.unpivot(["cited"], names, "feature", "v")
-    wide = long.groupBy("feature").pivot("cited", [0, 1]).agg(
-        _r(F.avg("v")).alias("mean"), _r(F.median("v")).alias("median"), _r(F.stddev_samp("v")).alias("std")
-    )
-    return wide.select("feature", *(F.col(f"{k}_{n}").alias(f"{n}_{k}") for k in (0, 1) for n in ("mean", "median", "std")))
+    wide = long.groupBy("feature").pivot("cited", [0, 1]).agg(_r(F.avg("v")).alias("mean"), _r(F.stddev_samp("v")).alias("std"))
+    middle = ranges.quantiles(long, "v", [0.5], ["feature", "cited"])
+    medians = middle.groupBy("feature").agg(*(F.max(F.when(F.col("cited") == k, _r(F.get("q", 0)))).alias(f"{k}_median") for k in (0, 1)))
+    return wide.join(medians, "feature", "left").select("feature", *(F.col(f"{k}_{n}").alias(f"{n}_{k}") for k in (0, 1) for n in ("mean", "median", "std")))
 
 
 _PEARSON = ["word_count", "num_lists_tables", "query_url_similarity", "passage_match_score", "cited"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelens.operators import inference, relational, validation
+from citelens.operators import inference, ranges, relational, validation
 from citelens.plans.candidate_queries import _META, _SEGMENT, SQL_DOMAIN, domain, query_meta, ranked, segment
 from citelens.plans.registry import query
 from citelens.plans.serp_queries import paa_questions
@@ -93,7 +93,7 @@ def mart_questions(spark: SparkSession, folder: str) -> DataFrame:
 def gap_quantile(spark: SparkSession, folder: str) -> DataFrame:
     """Uncited rows in the top quarter of a score."""
     df = candidates(spark, folder).where("passage_match_score is not null")
-    upper = df.agg(F.percentile("passage_match_score", F.lit(0.75)).alias("q"))
+    upper = ranges.quantiles(df, "passage_match_score", [0.75]).select(F.get("q", 0).alias("q"))
     gap = (F.col("passage_match_score") >= F.col("q")) & (F.col("cited") == 0)
     return df.crossJoin(F.broadcast(upper)).select("row_id", gap.cast("int").alias("gap"))
 
@@ -158,13 +158,16 @@ def synthetic(spark: SparkSession, folder: str) -> DataFrame:
     return synthetic_candidates(spark)
 
 
-@query("balanced_folds")
+@query(
+    "balanced_folds",
+    "WITH RECURSIVE s AS (SELECT query_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, query_id) AS i FROM candidates WHERE query_id IS NOT NULL GROUP BY query_id), "
+    "r AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS query_id, 0::BIGINT AS n, NULL::INTEGER AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS loads UNION ALL "
+    "SELECT s.i, s.query_id, s.n, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda x, j: x + CASE WHEN j = list_position(loads, list_min(loads)) THEN s.n ELSE 0 END) "
+    "FROM r JOIN s ON s.i = r.i + 1) SELECT query_id, CAST(fold AS INTEGER) AS fold FROM r WHERE i > 0",
+)
 def balanced_folds(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of each fold when queries are dealt out by size."""
-    df = candidates(spark, folder)
-    return df.join(validation.balanced_folds(df, "query_id", 5), "query_id").groupBy("fold").agg(
-        F.count("*").alias("n"), F.countDistinct("query_id").alias("queries")
-    )
+    """The fold of each query when queries are dealt out by size."""
+    return validation.balanced_folds(candidates(spark, folder), "query_id", 5)
 
 
 @query("quota_keep_first")

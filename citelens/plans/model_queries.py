@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelens.operators import metrics, models, relational, validation
+from citelens.operators import metrics, models, ranges, relational, validation
 from citelens.plans import serp_queries
 from citelens.plans.candidate_queries import domain, engineer, ranked
 from citelens.plans.registry import query
@@ -31,7 +31,7 @@ def training_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def _folded(spark: SparkSession, folder: str, group: str = "group", k: int = 5) -> DataFrame:
     rows = training_rows(spark, folder)
-    return rows.join(F.broadcast(validation.balanced_folds(rows, group, k)), group)
+    return rows.join(validation.balanced_folds(rows, group, k), group)
 
 
 def _gbt(numeric: list[str]):
@@ -107,7 +107,7 @@ def gap_extract(spark: SparkSession, folder: str) -> DataFrame:
     fitted = models.gbt([*RANK_FEATURES, *CONTENT_FEATURES], ["content_type"]).fit(rows)
     scored = models.positive_score(fitted, rows, "row_id", "group", "label")
     best = metrics.best_f1(scored, "score", "label").select("threshold")
-    upper = scored.agg(F.percentile("score", F.lit(0.75)).alias("q75"))
+    upper = ranges.quantiles(scored, "score", [0.75]).select(F.get("q", 0).alias("q75"))
     out = scored.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(upper))
     return out.select(
         "row_id",

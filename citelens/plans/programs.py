@@ -22,7 +22,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def all_scores(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id, query_id, y, model, score): random, rank, out-of-fold domain means, and trees by query and by domain."""
     base = candidates(spark, folder).where(ranked()).select("row_id", "query_id", F.col("cited").alias("y"), "organic_rank", domain().alias("domain"))
-    folded = base.join(F.broadcast(validation.balanced_folds(base, "query_id", 5)), "query_id")
+    folded = base.join(validation.balanced_folds(base, "query_id", 5), "query_id")
     encoded = relational.out_of_group_mean(folded, "domain", "fold", "y")
     by_domain = folded.join(encoded, ["domain", "fold"], "left").crossJoin(F.broadcast(base.agg(F.avg("y").alias("prior"))))
     keys = ["row_id", "query_id", "y"]
@@ -63,7 +63,7 @@ def generalisation_matrix(spark: SparkSession, folder: str) -> DataFrame:
     )
     parts = []
     for grouping, column in (("query", "group"), ("domain", "domain"), ("url", "page")):
-        folded = rows.join(F.broadcast(validation.balanced_folds(rows, column, 3)), column)
+        folded = rows.join(validation.balanced_folds(rows, column, 3), column)
         for name, features in (("content", CONTENT_FEATURES), ("content_rank", [*RANK_FEATURES, *CONTENT_FEATURES])):
             scored = models.out_of_fold(folded, "fold", 3, lambda f=features: models.gbt(f, ["content_type"], trees=5), "label")
             ap = metrics.average_precision(scored, "score", "label")
@@ -86,7 +86,7 @@ def shuffled_column(df: DataFrame, key: str, value: str, seed: int) -> DataFrame
 def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
     """(feature, drop): loss of AP on a held-out fifth of the queries when a feature's values are shuffled."""
     rows = training_rows(spark, folder)
-    rows = rows.join(F.broadcast(validation.balanced_folds(rows, "group", 5)), "group")
+    rows = rows.join(validation.balanced_folds(rows, "group", 5), "group")
     train, test = rows.where("fold <> 4"), rows.where("fold = 4")
     fitted = models.gbt(CONTENT_FEATURES, ["content_type"]).fit(train)
     ap = metrics.average_precision(models.positive_score(fitted, test, "label"), "score", "label").select(F.col("ap").alias("whole"))
@@ -101,7 +101,7 @@ def permutation_importance(spark: SparkSession, folder: str) -> DataFrame:
 def shap_stability(spark: SparkSession, folder: str) -> DataFrame:
     """(feature, mean, std, cv, in_top_4): importance over five models, each fitted without one fold."""
     rows = training_rows(spark, folder)
-    rows = rows.join(F.broadcast(validation.balanced_folds(rows, "group", 5)), "group")
+    rows = rows.join(validation.balanced_folds(rows, "group", 5), "group")
     parts = []
     for k in range(5):
         train = rows.where(F.col("fold") != k)

@@ -1,12 +1,14 @@
 """Metrics and resampling against small plain implementations."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from citelens.operators import inference, metrics, relational, validation
+from citelens.operators import inference, metrics, ranges, relational, validation
 
 
 def plain_ap(y, s):
@@ -86,7 +88,7 @@ def test_clustered_logit(spark):
 def test_folds(spark):
     rows = [(f"g{i % 37}", i) for i in range(1000)]
     df = spark.createDataFrame(rows, "g string, id int")
-    for folds in (validation.rank_folds(df, "g", 5), validation.balanced_folds(df, "g", 5), validation.balanced_folds(df, "g", 5, exact=10)):
+    for folds in (validation.rank_folds(df, "g", 5), validation.balanced_folds(df, "g", 5)):
         f = {r["g"]: r["fold"] for r in folds.collect()}
         assert len(f) == 37 and set(f.values()) <= set(range(5))
     ranks = {r["g"]: r["rank"] for r in validation.dense_ranks(df, "g").collect()}
@@ -98,6 +100,55 @@ def test_folds(spark):
         assert test.join(train.select("g"), "g", "left_semi").isEmpty() and test.join(train.select("h"), "h", "left_semi").isEmpty()
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_turns_are_the_greedy_choice(seed):
+    import random
+
+    r = random.Random(seed)
+    k = r.randrange(1, 7)
+    sizes = sorted({r.choice([1, 2, 3, 5, 7, 40, 500]): r.choice([1, 2, 3, 30, 200]) for _ in range(5)}.items(), reverse=True)
+    loads, expected = [0] * k, []
+    for size, n in sizes:
+        for _ in range(n):
+            f = loads.index(min(loads))
+            loads[f] += size
+            expected.append(f)
+    turns = validation._turns(sizes, k)
+    got = [folds[(i - first) % len(folds)] for first, last, folds in turns for i in range(first, last)]
+    assert got == expected and len(turns) <= 3 * k * len(sizes)
+
+
+def test_many_groups_of_one_size_take_few_turns():
+    assert len(validation._turns([(10**9, 1), (1, 10**10)], 5)) <= 10
+
+
+def test_balanced_folds_against_the_greedy_choice(spark):
+    rows = [(f"g{i:03}",) for i in range(60) for _ in range(1 + i % 4 + (i == 7) * 50)] + [(None,)]
+    got = {r["g"]: r["fold"] for r in validation.balanced_folds(spark.createDataFrame(rows, "g string"), "g", 4).collect()}
+    sizes, loads, expected = Counter(g for (g,) in rows if g), [0] * 4, {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        expected[g] = loads.index(min(loads))
+        loads[expected[g]] += sizes[g]
+    assert got == expected
+    assert validation.balanced_folds(spark.createDataFrame([], "g string"), "g", 4).count() == 0
+
+
+def test_quantiles_and_running_sums(spark):
+    r = np.random.default_rng(5)
+    values = np.concatenate([r.normal(size=500) ** 9, [0.0] * 200]).tolist()
+    rows = [(i % 3, v) for i, v in enumerate(values)] + [(7, None), (8, 2.5)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {x["g"]: x["q"] for x in ranges.quantiles(df, "v", [0.0, 0.1, 0.5, 0.75, 1.0], ["g"]).collect()}
+    for g in (0, 1, 2, 8):
+        own = [v for h, v in rows if h == g]
+        assert got[g] == pytest.approx(np.quantile(own, [0.0, 0.1, 0.5, 0.75, 1.0]).tolist())
+    assert 7 not in got
+    counts = df.where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    rows_ = sorted(ranges.running(counts, "v", ["n"]).collect(), key=lambda x: x["v"])
+    assert [x["cum_n"] for x in rows_] == np.cumsum([x["n"] for x in rows_]).tolist() and {x["all_n"] for x in rows_} == {701}
+    assert ranges.running(counts.limit(0), "v", ["n"]).count() == 0
+
+
 def test_shuffle_keeps_counts(spark):
     df = spark.createDataFrame([(f"g{i % 5}", i, int(i % 3 == 0)) for i in range(100)], "g string, id int, y int")
     a = {r["g"]: r["s"] for r in df.groupBy("g").agg(F.sum("y").alias("s")).collect()}
