@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citelens.functions.text import QUESTION_STOP_WORDS
+from citelens.operators import validation
+from citelens.staging import stage
 
 
 def feature_frame(
@@ -46,14 +49,67 @@ def feature_frame(
     )
 
 
-def gbt(numeric: Sequence[str], categorical: Sequence[str] = (), trees: int = 10, depth: int = 4, step: float = 0.1, seed: int = 42) -> Pipeline:
+#: Boosting rounds of single fits, and of each fit of an analysis that repeats them; both are parameters everywhere.
+TREES, REPEATED_TREES = 40, 10
+#: Rounds without a better held-out loss after which a fit with early stopping ends.
+PATIENCE = 10
+
+
+def gbt(
+    numeric: Sequence[str], categorical: Sequence[str] = (), trees: int = REPEATED_TREES, depth: int = 4, step: float = 0.1, seed: int = 42,
+    weight: str | None = None,
+) -> Pipeline:
     """Boosted trees; categories as indices by frequency, unknown ones as one more."""
     index = [StringIndexer(inputCol=c, outputCol=f"_{c}", handleInvalid="keep") for c in categorical]
     assemble = VectorAssembler(inputCols=[*numeric, *(f"_{c}" for c in categorical)], outputCol="features", handleInvalid="keep")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, subsamplingRate=0.8, minInstancesPerNode=10)
+    if weight:
+        model.setWeightCol(weight)
     return Pipeline(stages=[*index, assemble, model])
 
 
+def best_iteration(losses: Sequence[float], patience: int) -> int:
+    """The number of rounds with the smallest loss, looking no further than ``patience`` rounds past the best so far."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_stopped(
+    train: DataFrame, make: Callable[[int], Pipeline], trees: int = TREES, patience: int = PATIENCE, share: float = 0.2, seed: int = 42
+) -> tuple[PipelineModel, int]:
+    """(model, rounds): the held-out ``share`` of the training groups chooses the rounds; they are never fitted on.
+
+    A fit of fewer rounds has the same first trees, so the shorter model is the longer one cut off.
+    """
+    split = validation.group_holdout(train, "group", share, seed)
+    inner, held = split.where("held = 0"), split.where("held = 1")
+    whole = make(trees).fit(inner)
+    if held.isEmpty():
+        return whole, trees
+    losses = whole.stages[-1].evaluateEachIteration(PipelineModel(whole.stages[:-1]).transform(held))
+    rounds = best_iteration(losses, patience)
+    return (whole if rounds == trees else make(rounds).fit(inner)), rounds
+
+
+def out_of_fold_stopped(
+    df: DataFrame, fold: str, k: int, make: Callable[[int], Pipeline], *keep: str, trees: int = TREES, patience: int = PATIENCE, threads: int = 8
+) -> tuple[DataFrame, list[int]]:
+    """((keep, fold, score), rounds of each fold): as ``out_of_fold``, each fit with early stopping within its training folds."""
+
+    def one(f: int) -> tuple[DataFrame, int]:
+        model, rounds = fit_stopped(df.where(F.col(fold) != f), make, trees, patience)
+        return positive_score(model, df.where(F.col(fold) == f), *keep, fold), rounds
+
+    with ThreadPoolExecutor(threads) as pool:
+        parts = list(pool.map(one, range(k)))
+    return reduce(DataFrame.unionByName, (p for p, _ in parts)), [n for _, n in parts]
+
+
 def logreg(numeric: Sequence[str], categorical: Sequence[str], rows: int) -> Pipeline:
     """Standardised numbers, one-hot categories, balanced class weights in the column ``weight``, L2 of 1/rows."""
     index = [StringIndexer(inputCol=c, outputCol=f"_{c}", handleInvalid="keep") for c in categorical]
@@ -61,7 +117,7 @@ def logreg(numeric: Sequence[str], categorical: Sequence[str], rows: int) -> Pip
     numbers = VectorAssembler(inputCols=list(numeric), outputCol="_numbers", handleInvalid="keep")
     scale = StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)
     assemble = VectorAssembler(inputCols=["_scaled", *(f"_h_{c}" for c in categorical)], outputCol="features")
-    model = LogisticRegression(weightCol="weight", regParam=1 / max(1, rows), standardization=False, maxIter=50)
+    model = LogisticRegression(weightCol="weight", regParam=1 / max(1, rows), standardization=False, maxIter=1000)
     return Pipeline(stages=[*index, *hot, numbers, scale, assemble, model])
 
 
@@ -85,10 +141,7 @@ def out_of_fold(df: DataFrame, fold: str, k: int, make: Callable[[], Estimator],
 
     with ThreadPoolExecutor(threads) as pool:
         parts = list(pool.map(one, range(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def double_blocked_scores(df: DataFrame, k: int, make: Callable[[], Estimator], *keep: str, least: int = 20) -> DataFrame:
@@ -193,11 +246,11 @@ def explained(model: Model, assembled: DataFrame, *keep: str) -> DataFrame:
 
 
 def top_driver(explained_rows: DataFrame, names: Sequence[str], *keep: str) -> DataFrame:
-    """(keep, driver, effect): the feature with the largest attribution and its sign; ties go to the first feature."""
+    """(keep, driver, effect): the feature with the largest attribution, and that; ties go to the first feature."""
     pairs = F.transform("phi", lambda v, i: F.struct(F.abs(v).alias("size"), (-i).alias("neg"), v.alias("v")))
     best = F.array_max(pairs)
     label = F.element_at(F.array(*map(F.lit, names)), (1 - best["neg"]).cast("int"))
-    return explained_rows.select(*keep, label.alias("driver"), F.signum(best["v"]).cast("int").alias("effect"))
+    return explained_rows.select(*keep, label.alias("driver"), F.round(best["v"], 4).alias("effect"))
 
 
 def mean_importance(explained_rows: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -210,10 +263,11 @@ def mean_importance(explained_rows: DataFrame, names: Sequence[str]) -> DataFram
 # --- themes -----------------------------------------------------------------------------------------------------------
 
 
-def question_themes(questions: DataFrame, column: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """((question, cluster), (cluster, terms, n)): k-means over TF-IDF of words and pairs of words.
+def question_themes(questions: DataFrame, column: str, seed: int = 42, starts: int = 10) -> tuple[DataFrame, DataFrame]:
+    """((question, cluster), (cluster, terms, n)): k-means over TF-IDF of words and pairs of words, the best of several starts.
 
-    k = min(10, max(2, questions // 40)); a term must stand in two questions; a cluster's label is its four heaviest terms.
+    k = min(10, max(2, questions // 40)); a term must stand in two questions, and all such terms count; a cluster's label is
+    its four heaviest terms.
     """
     distinct = questions.select(F.col(column).alias("question")).where("question is not null").distinct()
     n = distinct.count()
@@ -222,12 +276,16 @@ def question_themes(questions: DataFrame, column: str, seed: int = 42) -> tuple[
     stop = StopWordsRemover(inputCol="_all", outputCol="_words", stopWords=QUESTION_STOP_WORDS)
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
     prepared = Pipeline(stages=[words, stop, pairs]).fit(distinct).transform(distinct).withColumn("_terms", F.concat("_words", "_pairs"))
-    counts = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=2.0)
+    counts = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=2.0, vocabSize=2**31 - 1)
     weights, unit = IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features")
-    fitted = Pipeline(stages=[counts, weights, unit, KMeans(k=k, seed=seed, maxIter=20)]).fit(prepared)
-    out = fitted.transform(prepared).select("question", F.col("prediction").alias("cluster"))
-    vocabulary = fitted.stages[0].vocabulary
-    named = [(i, ", ".join(vocabulary[j] for j in np.argsort(-c, kind="stable")[:4])) for i, c in enumerate(fitted.stages[3].clusterCenters())]
+    vectors = Pipeline(stages=[counts, weights, unit]).fit(prepared)
+    ready = stage(vectors.transform(prepared).select("question", "features"), "theme-vectors")
+    with ThreadPoolExecutor(starts) as pool:
+        models = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=300).fit(ready), range(starts)))
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    out = best.transform(ready).select("question", F.col("prediction").alias("cluster"))
+    vocabulary = vectors.stages[0].vocabulary
+    named = [(i, ", ".join(vocabulary[j] for j in np.argsort(-c, kind="stable")[:4])) for i, c in enumerate(best.clusterCenters())]
     labels = questions.sparkSession.createDataFrame(named, "cluster int, terms string")
     sizes = out.groupBy("cluster").agg(F.count("*").alias("n"))
     return out, labels.join(sizes, "cluster")

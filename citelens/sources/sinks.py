@@ -36,14 +36,3 @@ def append_rows(df: DataFrame, path: str, key: str) -> None:
 def metrics_json(**tables: DataFrame) -> str:
     """Aggregated tables (few rows each) as one JSON document."""
     return json.dumps({k: [r.asDict(recursive=True) for r in t.collect()] for k, t in tables.items()}, indent=2, sort_keys=True, default=str)
-
-
-def scored_extract(candidates: DataFrame, scores: DataFrame, drivers: DataFrame, threshold: float) -> DataFrame:
-    """The flat extract: candidates with probability, prediction, gap flag and the strongest driver."""
-    predicted = (F.col("probability") >= threshold).cast("int")
-    return (
-        candidates.join(scores.select("row_id", F.col("score").alias("probability")), "row_id")
-        .join(drivers.select("row_id", "driver", "effect"), "row_id", "left")
-        .withColumn("predicted", predicted)
-        .withColumn("gap", ((predicted == 1) & (F.col("cited") == 0)).cast("int"))
-    )

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +38,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gather(jobs: Sequence[Callable[[], DataFrame]], label: str, threads: int = 8) -> DataFrame:
+    """The union of what independent jobs make, all of one schema; jobs are submitted together and written each to its own folder."""
+
+    def one(job: Callable[[], DataFrame]) -> DataFrame:
+        return stage(job(), label)
+
+    with ThreadPoolExecutor(threads) as pool:
+        parts = list(pool.map(one, jobs))
+    paths = [x for part in parts for x in part.inputFiles()]
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*paths) if paths else parts[0]
+
+
 def release_staged() -> None:
     """Delete all staged tables of this process; call it when no result that reads them is needed any more."""
     while _written:

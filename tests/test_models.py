@@ -30,6 +30,33 @@ def test_scores_beat_prevalence(rows):
         assert metrics.average_precision(scored, "score", "label").first()["ap"] > base
 
 
+def test_best_iteration():
+    assert models.best_iteration([3, 2, 2, 1, 5, 0], 2) == 6 and models.best_iteration([3, 2, 2, 2, 0], 2) == 2
+    assert models.best_iteration([1.0], 5) == 1
+
+
+def test_early_stopping_keeps_to_the_training_folds(rows):
+    make = lambda n: models.gbt(NUMERIC, ["content_type"], trees=n, depth=3)
+    model, rounds = models.fit_stopped(rows.where("fold <> 0"), make, 8, 2)
+    assert 1 <= rounds <= 8 and len(model.stages[-1].trees) == rounds
+    scores, each = models.out_of_fold_stopped(rows, "fold", 3, make, "id", "label", trees=4, patience=2)
+    assert scores.count() == rows.count() and len(each) == 3
+    whole, longer = make(4).fit(rows).stages[-1], make(6).fit(rows).stages[-1]
+    first = [[t.toDebugString.split("\n", 1)[1] for t in m.trees[:4]] for m in (whole, longer)]
+    assert first[0] == first[1]
+
+
+def test_bootstrap_difference(spark):
+    from citelens.plans.programs import bootstrap_difference, shuffled_column
+
+    rows = [(m, f"g{i % 20}", i % 3 == 0, (i % 3 == 0) * (m == "b") + (i * 7 % 11) / 20) for i in range(400) for m in "ab"]
+    got = bootstrap_difference(spark.createDataFrame([(m, g, int(y), float(s)) for m, g, y, s in rows], "setting string, group string, label int, score double"), "a", "b", 50, 3).first()
+    assert got["mean"] > 0.3 and got["low"] > 0 and got["share_above"] == 1.0 and got["low"] <= got["mean"] <= got["high"]
+    df = spark.createDataFrame([(i, i * 10) for i in range(50)], "k int, v int")
+    mixed = {r["k"]: r["v"] for r in shuffled_column(df, "k", "v", 1).collect()}
+    assert sorted(mixed.values()) == [i * 10 for i in range(50)] and mixed != {i: i * 10 for i in range(50)}
+
+
 def test_attributions_add_up(rows):
     fitted = models.gbt(NUMERIC, trees=4, depth=3).fit(rows)
     assembled = fitted.stages[0].transform(rows)
