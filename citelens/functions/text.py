@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+import re
+from collections import Counter
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as both SQL engines and Python agree on it.
 SPACE = r"[ \t\n\x0B\f\r]+"
@@ -137,6 +144,55 @@ def reading_ease(text: Column, most: int | None = None) -> Column:
     return F.when(word_count(text) > 30, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 
 
+def text_or_else(df: DataFrame, text: str, otherwise: str, enough: int = 30, least: int = 10) -> DataFrame:
+    """``df`` with body, page and n_words: ``text`` where it has ``enough`` words, else ``otherwise``; rows under ``least`` words go."""
+    page = F.coalesce(word_count(F.col(text)) >= enough, F.lit(False))
+    picked = df.withColumn("page", page).withColumn("body", F.when(F.col("page"), F.col(text)).otherwise(F.col(otherwise)))
+    return picked.withColumn("n_words", word_count(F.col("body"))).where(F.col("n_words") >= least)
+
+
+# English stop words of the similarity of a query and a page.
+ENGLISH_STOP_WORDS = (
+    "a about above after again all also am an and any are as at be because been before being below between both but by can "
+    "could did do does down during each few for from further had has have he her here him his how i if in into is it its me "
+    "more most my no nor not of off on once only or other our out over own same she should so some such than that the their "
+    "them then there these they this those through to too under until up very was we were what when where which while who "
+    "whom why will with would you your"
+).split()
+_TERM = re.compile(r"\b\w\w+\b")
+_SENTENCE_OR_LINE = re.compile(r"(?<=[.!?])\s+|\n+")
+_SCORES = T.StructType([T.StructField("whole", T.DoubleType()), T.StructField("best", T.DoubleType())])
+
+
+def _tfidf_scores(query: str, page: str, stop_words: frozenset[str], least: int) -> tuple[float, float]:
+    parts = [p for x in _SENTENCE_OR_LINE.split(page) if len((p := x.strip()).split()) >= least] or [page]
+    counted = [Counter(t for t in _TERM.findall(x.lower()) if t not in stop_words) for x in (query, page, *parts)]
+    known = Counter(t for c in counted for t in c)
+    idf = {t: math.log((1 + len(counted)) / (1 + n)) + 1 for t, n in known.items()}
+    norms = [math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items())) for c in counted]
+    own = counted[0]
+
+    def cosine(i: int) -> float:
+        dot = sum(n * counted[i][t] * idf[t] ** 2 for t, n in own.items() if t in counted[i])
+        return dot / (norms[0] * norms[i]) if dot else 0.0
+
+    return cosine(1), max(map(cosine, range(2, len(counted))))
+
+
+def query_similarity(query: Column, page: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, least: int = 5) -> Column:
+    """struct<whole, best>: TF-IDF cosine of the query with the page and with its best passage, within this page's own corpus.
+
+    The corpus is the query, the page and its passages of ``least`` words or more; null or blank texts score 0.
+    """
+    stops = frozenset(stop_words)
+
+    def run(queries: pd.Series, pages: pd.Series) -> pd.DataFrame:
+        rows = [_tfidf_scores(q, p, stops, least) if q and p and p.strip() else (0.0, 0.0) for q, p in zip(queries, pages)]
+        return pd.DataFrame(rows, columns=["whole", "best"])
+
+    return F.pandas_udf(run, _SCORES)(query, page)
+
+
 def timecode_seconds(code: Column) -> Column:
     """HH:MM:SS.mmm, with a point or comma."""
     parts = F.split(F.replace(code, F.lit(","), F.lit(".")), ":")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citelens.operators import inference, ranges, relational, validation
 from citelens.plans.candidate_queries import _META, _SEGMENT, SQL_DOMAIN, domain, query_meta, ranked, segment
 from citelens.plans.registry import query
-from citelens.plans.serp_queries import paa_questions
+from citelens.plans.serp_queries import _R, paa_questions
 from citelens.plans.tables import candidates, table
 from citelens.sources.readers import synthetic_candidates
 
@@ -78,7 +78,12 @@ def mart_features(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("mart_questions")
+@query(
+    "mart_questions",
+    _R + ", q AS (SELECT serp_id, unnest(CAST(json_extract(x, '$.items[*]') AS JSON[])) AS y FROM ii WHERE type = 'people_also_ask'), "
+    "p AS (SELECT serp_id, y->>'$.title' AS question FROM q WHERE trim(coalesce(y->>'$.title', '')) <> '') "
+    "SELECT serp_id, question, count(*) OVER (PARTITION BY lower(trim(question, ' '))) AS times FROM p",
+)
 def mart_questions(spark: SparkSession, folder: str) -> DataFrame:
     q = paa_questions(spark, folder)
     counts = q.groupBy(F.lower(F.trim("question")).alias("key")).agg(F.count("*").alias("times"))
@@ -100,7 +105,7 @@ def gap_quantile(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("reuse_permutation_null")
 def reuse_permutation_null(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of an answer sentence and its source that share an 8-gram, against sources of other rows, 50 times.
+    """Pairs of an answer sentence and its source that share an 8-gram, against sources of other rows, 1,000 times.
 
     A replicate pairs each row with the source of another one, by a hash that never picks the row itself: positions in a
     fixed order are shifted by 1 to n - 1.
@@ -113,7 +118,7 @@ def reuse_permutation_null(spark: SparkSession, folder: str) -> DataFrame:
     grams = both.select("rank", T.ngrams(F.col("a"), 8).alias("a"), T.ngrams(F.col("b"), 8).alias("b"))
     total = grams.agg(F.count("*").alias("n"))
     seen = grams.agg(F.count_if(F.arrays_overlap("a", "b")).alias("observed"))
-    reps = grams.select("rank", "a").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(50)))).crossJoin(F.broadcast(total))
+    reps = grams.select("rank", "a").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(1000)))).crossJoin(F.broadcast(total))
     shift = 1 + F.pmod(F.xxhash64("rep", F.lit(3)), F.greatest(F.col("n") - 1, F.lit(1)))
     paired = reps.withColumn("other", F.pmod(F.col("rank") + shift, F.col("n"))).join(
         grams.select(F.col("rank").alias("other"), "b"), "other"
@@ -170,7 +175,12 @@ def balanced_folds(spark: SparkSession, folder: str) -> DataFrame:
     return validation.balanced_folds(candidates(spark, folder), "query_id", 5)
 
 
-@query("quota_keep_first")
+@query(
+    "quota_keep_first",
+    "WITH o AS (SELECT row_id, query_id, cited, organic_rank FROM candidates QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY organic_rank NULLS FIRST, row_id) = 1) "
+    "SELECT row_id, query_id, cited FROM o WHERE cited = 1 UNION ALL SELECT row_id, query_id, cited FROM (SELECT * FROM o WHERE cited IS DISTINCT FROM 1 "
+    "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY organic_rank NULLS FIRST, row_id) <= 5)",
+)
 def quota_keep_first(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates, each url once a query, under the quota of uncited rows."""
     order = [F.col("organic_rank"), F.col("row_id")]

@@ -264,9 +264,9 @@ def permutation_null_rank_ap(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("bootstrap_ap_difference")
 def bootstrap_ap_difference(spark: SparkSession, folder: str) -> DataFrame:
-    """AP of passage score minus rank score over 200 resamples of the queries: mean, 95 % range, share above 0."""
+    """AP of passage score minus rank score over 400 resamples of the queries: mean, 95 % range, share above 0."""
     x = scored(spark, folder)
-    drawn = validation.bootstrap_counts(x.select("query_id").distinct(), "query_id", 200, 11)
+    drawn = validation.bootstrap_counts(x.select("query_id").distinct(), "query_id", 400, 11)
     long = x.unpivot(["query_id", "y"], ["s", "m"], "model", "score").where("score is not null")
     grouped = long.groupBy("query_id", "model", "score").agg(F.sum("y").alias("tp"), F.count("*").alias("n"))
     weighted = grouped.join(drawn, "query_id").groupBy("rep", "model", "score").agg(
@@ -285,9 +285,9 @@ def bootstrap_ap_difference(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("group_holdout_ap")
 def group_holdout_ap(spark: SparkSession, folder: str) -> DataFrame:
-    """AP of the passage score on 10 holdouts of a fifth of the queries."""
+    """AP of the passage score on 50 holdouts of a fifth of the queries."""
     x = scored(spark, folder).where("m is not null")
-    reps = x.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    reps = x.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(50))))
     held = reps.where(validation.hash_unit("query_id", "rep", 5) < 0.2)
     each = metrics.average_precision(held, "m", "y", ["rep"])
     return each.agg(
@@ -295,22 +295,46 @@ def group_holdout_ap(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _true_k_sql(score: str) -> str:
+    return (
+        f"SELECT avg(p) AS p FROM (SELECT query_id, avg(y) AS p FROM (SELECT query_id, y, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, row_id) AS r, "
+        "sum(y) OVER (PARTITION BY query_id) AS k FROM x) WHERE k > 0 AND r <= k GROUP BY query_id)"
+    )
+
+
+_BEST_F1 = (
+    "SELECT arg_min(s, struct_pack(a := -f1, b := s)) AS threshold, max(f1) AS f1 FROM (SELECT s, round(2 * ctp / (p + cn)::double, 12) AS f1 FROM (SELECT s, sum(tp) OVER (ORDER BY s DESC) AS ctp, "
+    "sum(n) OVER (ORDER BY s DESC) AS cn, sum(tp) OVER () AS p FROM (SELECT m AS s, sum(y) AS tp, count(*) AS n FROM x GROUP BY m)))"
+)
+
+
 @query(
     "evaluation_summary",
-    f"WITH x AS ({_SCORED}), a AS (SELECT ap FROM ({_ap_sql('m')})), b AS (SELECT auc FROM ({_auc_sql('m')})) "
-    "SELECT count(*) AS rows, count(DISTINCT query_id) AS queries, CAST(sum(y) AS BIGINT) AS positives, round(avg(y), 6) AS prevalence, "
-    "round((SELECT ap FROM a), 6) AS pr_auc, round((SELECT auc FROM b), 6) AS roc_auc, round((SELECT ap FROM a) / avg(y), 6) AS lift FROM x",
+    f"WITH x AS (SELECT * FROM ({_SCORED}) WHERE m IS NOT NULL), b AS (SELECT count(*) AS n, count(DISTINCT query_id) AS q, avg(y) AS rate FROM x), f AS ({_BEST_F1}) "
+    f"SELECT n AS n_rows, q AS n_queries, round(rate, 6) AS positive_rate, round(mp.ap, 6) AS model_pr_auc, round(ma.auc, 6) AS model_roc_auc, round(rp.ap, 6) AS rank_only_pr_auc, "
+    "round(ra.auc, 6) AS rank_only_roc_auc, round(mp.ap - rp.ap, 6) AS lift_over_rank, round(mp.ap - rate, 6) AS lift_over_prevalence, round(mk.p, 6) AS precision_at_true_k_model, "
+    "round(rk.p, 6) AS precision_at_true_k_rank, round(threshold, 6) AS best_f1_threshold, round(f1, 6) AS best_f1 "
+    f"FROM b, f, ({_ap_sql('m')}) mp, ({_auc_sql('m')}) ma, ({_ap_sql('s')}) rp, ({_auc_sql('s')}) ra, ({_true_k_sql('m')}) mk, ({_true_k_sql('s')}) rk",
 )
 def evaluation_summary(spark: SparkSession, folder: str) -> DataFrame:
-    x = scored(spark, folder)
-    base = x.agg(
-        F.count("*").alias("rows"), F.countDistinct("query_id").alias("queries"), F.sum("y").alias("positives"), F.avg("y").alias("rate")
-    )
-    ap = metrics.average_precision(x, "m", "y").select("ap")
-    auc = metrics.roc_auc(x, "m", "y")
-    return base.crossJoin(ap).crossJoin(auc).select(
-        "rows", "queries", "positives", _r("rate").alias("prevalence"), _r("ap").alias("pr_auc"), _r("auc").alias("roc_auc"),
-        _r(F.col("ap") / F.col("rate")).alias("lift"),
+    """The thirteen figures of a model's scores against rank and prevalence; the stored passage score stands for the model's."""
+    return summary(scored(spark, folder).where("m is not null"), "m", "s")
+
+
+def summary(x: DataFrame, model: str, rank: str) -> DataFrame:
+    """One row from (row_id, query_id, y) and two scores."""
+    out = x.agg(F.count("*").alias("n_rows"), F.countDistinct("query_id").alias("n_queries"), F.avg("y").alias("rate"))
+    for name, score in (("model", model), ("rank_only", rank)):
+        out = out.crossJoin(F.broadcast(metrics.average_precision(x, score, "y").select(F.col("ap").alias(f"{name}_pr"))))
+        out = out.crossJoin(F.broadcast(metrics.roc_auc(x, score, "y").select(F.col("auc").alias(f"{name}_roc"))))
+        at_k = metrics.precision_at_true_k(x, "y", "query_id", [F.desc(score), F.col("row_id")])
+        out = out.crossJoin(F.broadcast(at_k.select(F.col("precision").alias(f"{name}_k"))))
+    out = out.crossJoin(F.broadcast(metrics.best_f1(x, model, "y")))
+    return out.select(
+        "n_rows", "n_queries", _r("rate").alias("positive_rate"), _r("model_pr").alias("model_pr_auc"), _r("model_roc").alias("model_roc_auc"),
+        _r("rank_only_pr").alias("rank_only_pr_auc"), _r("rank_only_roc").alias("rank_only_roc_auc"), _r(F.col("model_pr") - F.col("rank_only_pr")).alias("lift_over_rank"),
+        _r(F.col("model_pr") - F.col("rate")).alias("lift_over_prevalence"), _r("model_k").alias("precision_at_true_k_model"),
+        _r("rank_only_k").alias("precision_at_true_k_rank"), _r("threshold").alias("best_f1_threshold"), _r("f1").alias("best_f1"),
     )
 
 

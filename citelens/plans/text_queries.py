@@ -9,6 +9,7 @@ from citelens.functions import text as T
 from citelens.operators import similarity, windows
 from citelens.plans.registry import query
 from citelens.plans.tables import table
+from citelens.staging import stage
 
 _S = "[ \\t\\n\\x0B\\f\\r]+"
 _TOKENS = "[a-zäöüßA-ZÄÖÜ0-9€%.,-]+"
@@ -229,7 +230,7 @@ def _weights(spark: SparkSession, folder: str) -> DataFrame:
 )
 def tfidf_cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of each row's two sentences; rows without a common term have none."""
-    v = _weights(spark, folder)
+    v = stage(_weights(spark, folder), "tfidf-weights")
     a = v.where("side = 0").select("id", "term", F.col("w").alias("wa"))
     b = v.where("side = 1").select("id", "term", F.col("w").alias("wb"))
     dots = a.join(b, ["id", "term"]).groupBy(F.col("id").alias("match_id"))
@@ -244,7 +245,7 @@ def tfidf_cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
 )
 def best_passage(spark: SparkSession, folder: str) -> DataFrame:
     """The source sentence of the same query with the highest cosine of at least 0.45; ties go to the smallest id."""
-    v = _weights(spark, folder)
+    v = stage(_weights(spark, folder), "tfidf-weights")
     a = v.where("side = 0").select("query_id", "term", F.col("id").alias("match_id"), "w")
     b = v.where("side = 1").select("query_id", "term", F.col("id").alias("source_id"), "w")
     pairs = similarity.cosine_join(a, b, "match_id", "source_id", ["query_id"], 0.45)
@@ -305,7 +306,15 @@ _SNIPPETS_SQL = """WITH x AS (SELECT doc_id, list_filter(string_split(text, chr(
  regexp_extract(ls[i], '^(\\d+):(\\d\\d) (.*)$', 3) AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM x))"""
 
 
-@query("transcript_tumbling")
+@query(
+    "transcript_tumbling",
+    # a window ends with the first snippet that begins 30 s or more after it, and the next begins at that time
+    _SNIPPETS_SQL + ", r AS (SELECT * FROM (WITH RECURSIVE q AS (SELECT doc_id, i, t, text, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, "
+    "first_value(t) OVER (PARTITION BY doc_id ORDER BY i) AS t0 FROM s), z AS (SELECT doc_id, n, t0 AS since, t, text FROM q WHERE n = 1 UNION ALL "
+    "SELECT q.doc_id, q.n, CASE WHEN z.t - z.since >= 30 THEN z.t ELSE z.since END, q.t, q.text FROM z JOIN q ON q.doc_id = z.doc_id AND q.n = z.n + 1) SELECT * FROM z)), "
+    "k AS (SELECT doc_id, n, since, text, sum(c) OVER (PARTITION BY doc_id ORDER BY n) AS w FROM (SELECT *, CASE WHEN n = 1 THEN 0 WHEN lag(t) OVER p - lag(since) OVER p >= 30 THEN 1 ELSE 0 END AS c FROM r WINDOW p AS (PARTITION BY doc_id ORDER BY n))) "
+    "SELECT doc_id, any_value(since) AS start, CAST(length(string_agg(text, ' ' ORDER BY n)) AS INTEGER) AS n_chars FROM k GROUP BY doc_id, w",
+)
 def transcript_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     """Windows of 30 s that begin with the data."""
     w = transcripts(spark, folder).select("doc_id", F.inline(windows.tumbling_windows(F.col("snippets"), 30.0)))
