@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +62,11 @@ def contingency(df: DataFrame, flags: Sequence[str], label: str) -> DataFrame:
 
 def fisher(table: DataFrame) -> DataFrame:
     """The exact two-sided p of each row of ``contingency``."""
-    kernel = F.udf(lambda a, b, c, d: fisher_exact(a, b, c, d)[1], "double")
+
+    def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([fisher_exact(*map(int, x))[1] for x in zip(a, b, c, d)], dtype=float)
+
+    kernel = F.pandas_udf(p, T.DoubleType())
     return table.withColumn("p", kernel("a", "b", "c", "d"))
 
 

@@ -188,27 +188,34 @@ def quota_keep_first(spark: SparkSession, folder: str) -> DataFrame:
     return relational.quota(once, ["query_id"], order, F.col("cited") == 1, 5).select("row_id", "query_id", "cited")
 
 
-@query("streamed_event_windows")
+@query(
+    "streamed_event_windows",
+    "SELECT to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+)
 def streamed_event_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Hourly windows from a stream of the events table, run to its end; equal to the batch result."""
+    """Hourly windows from a stream of the events table, run to its end; equal to the batch result.
+
+    Windows are written as they change, each micro-batch to a folder of its own, and leave the state once the watermark has
+    passed them; the last state of a window counts.
+    """
     import uuid
 
     from citelens.staging import shared_folder
-    from citelens.streaming.incremental import event_windows
+    from citelens.streaming.incremental import event_windows, latest
 
     path = f"{folder}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if _is_folder(spark, path) else f"{folder}/events*.parquet")
     target = f"{shared_folder(spark)}/citelens/stream-{uuid.uuid4().hex}"
     run = (
         event_windows(stream, late="40 days")
-        .writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(target))
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{target}/batch={batch}"))
         .option("checkpointLocation", target + "-checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     run.awaitTermination()
-    return spark.read.parquet(target)
+    return latest(spark.read.parquet(target), ["start", "event_type"], "batch").withColumn("total", F.round("total", 4))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -196,10 +196,23 @@ def contingency_odds(spark: SparkSession, folder: str) -> DataFrame:
     return inference.contingency(rows, _FLAGS, "cited").withColumn("odds", _r("odds"))
 
 
-@query("fisher_holm")
+@query(
+    "fisher_holm",
+    "WITH t AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{f}' AS flag, CAST(count_if({f} = 1 AND cited = 1) AS BIGINT) AS a, CAST(count_if({f} = 1 AND cited = 0) AS BIGINT) AS b, CAST(count_if({f} = 0 AND cited = 1) AS BIGINT) AS c, CAST(count_if({f} = 0 AND cited = 0) AS BIGINT) AS d FROM candidates WHERE organic_rank <> 101"
+        for f in _FLAGS
+    )
+    + "), h AS (SELECT *, unnest(range(CAST(greatest(0, a - d) AS BIGINT), CAST(least(a + b, a + c) + 1 AS BIGINT))) AS x FROM t), "
+    "l AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS q FROM h), "
+    "p AS (SELECT flag, a, b, c, d, least(1, sum(exp(q)) FILTER (q <= o + 1e-7)) AS p FROM (SELECT *, max(q) FILTER (x = a) OVER (PARTITION BY flag) AS o FROM l) GROUP BY flag, a, b, c, d), "
+    "r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM p) "
+    "SELECT flag, a, b, c, d, round(a * d / nullif(b * c, 0)::double, 6) AS odds, round(p, 8) AS p, round(least(1.0, max((m - r + 1) * p) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING)), 8) AS holm FROM r",
+)
 def fisher_holm(spark: SparkSession, folder: str) -> DataFrame:
     """Fisher's exact p of each flag, adjusted by Holm."""
-    return inference.holm(inference.fisher(contingency_odds(spark, folder)), "p")
+    tested = inference.holm(inference.fisher(contingency_odds(spark, folder)), "p")
+    return tested.withColumns({c: F.round(c, 8) for c in ("p", "holm")})
 
 
 @query(

@@ -344,7 +344,16 @@ def transcript_sliding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("best_window_gap")
+@query(
+    "best_window_gap",
+    _SNIPPETS_SQL + ", w0 AS (SELECT doc_id, i, text, t, unnest(range(CAST(greatest(0, floor((t - 45) / 15) + 1) AS BIGINT), CAST(floor(t / 15) AS BIGINT) + 1)) AS k FROM s), "
+    "w AS (SELECT doc_id, k * 15.0::double AS start, string_agg(text, ' ' ORDER BY i) AS text FROM w0 GROUP BY doc_id, k HAVING trim(string_agg(text, ' ' ORDER BY i), ' ') <> ''), "
+    "f AS (SELECT query_id, arg_min(aio_sentence, match_id) AS s FROM passage_matches_ngram WHERE aio_sentence IS NOT NULL GROUP BY query_id), "
+    f"k AS (SELECT d.doc_id, {_content_sql('f.s')} AS words FROM documents d JOIN f ON f.query_id = d.query_id WHERE d.kind = 'transcript'), "
+    f"c AS (SELECT w.doc_id, start, words, {_content_sql('text')} AS own FROM w JOIN k ON k.doc_id = w.doc_id), "
+    "v AS (SELECT doc_id, start, CASE WHEN len(list_intersect(own, words)) > 0 THEN round(len(list_intersect(own, words)) / sqrt(len(own)), 12) ELSE 0 END AS v FROM c) "
+    "SELECT doc_id, CASE WHEN max(v) > 0 THEN arg_max(start, struct_pack(a := v, b := -start)) ELSE 0 END AS best_start, max(v) AS score FROM v GROUP BY doc_id",
+)
 def best_window_gap(spark: SparkSession, folder: str) -> DataFrame:
     """The best window of each transcript for its query's first answer sentence."""
     t = transcripts(spark, folder).join(_documents(spark, folder).select("doc_id", "query_id"), "doc_id")

@@ -47,6 +47,13 @@ def event_windows(events: DataFrame, late: str = "10 minutes", length: str = "1
     )
 
 
+def latest(written: DataFrame, key: list[str], batch: str) -> DataFrame:
+    """Of each key the row of its last batch, without the batch's number."""
+    others = [c for c in written.columns if c not in key and c != batch]
+    last = written.groupBy(*key).agg(F.max_by(F.struct(*others), batch).alias("x"))
+    return last.select(*key, "x.*")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user, ended by a pause of ``gap``."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))

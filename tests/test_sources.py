@@ -109,3 +109,31 @@ def test_finalise_and_windows(spark):
     events = spark.sql("select timestamp'2024-01-01 00:10:00' + make_interval(0,0,0,0,0,i*20) as ts, 'a' as event_type, 1.0 as value, 1 as user_id from (select explode(sequence(0,5)) i)")
     assert incremental.event_windows(events).count() == 2
     assert incremental.sessions(events).first()["n"] == 6
+
+
+def test_late_rows_and_bounded_state(spark, tmp_path):
+    """Rows behind the watermark are left out, and closed windows leave the state."""
+    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+
+    def feed(*minutes: int) -> None:
+        rows = spark.createDataFrame([(m, "a", 1.0) for m in minutes], "m int, event_type string, value double")
+        rows.selectExpr("timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,m) as ts", "event_type", "value").write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(source)
+        q = (
+            incremental.event_windows(stream, late="30 minutes").writeStream.outputMode("update")
+            .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{target}/batch={batch}"))
+            .option("checkpointLocation", mark).trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    feed(5, 10)
+    run()
+    feed(400)
+    run()
+    feed(15, 410)  # the first is more than half an hour behind
+    assert run() == 1
+    got = {r["start"].hour: r["n"] for r in incremental.latest(spark.read.parquet(target), ["start", "event_type"], "batch").collect()}
+    assert got == {0: 2, 6: 2}
