@@ -17,7 +17,7 @@ import base64
 import codecs
 import heapq
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from citelens.llm.lines import SLICE
 from citelens.staging import spread
 
-#: Where the vocabulary files lie; a parameter of every operator here.
+#: Where the vocabulary files lie on the driver; a parameter of every operator here.
 VOCABULARIES = "/opt/tokenizers"
 #: The pattern of byte_bpe_50k, from the vocabulary's documentation.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -37,10 +37,18 @@ PLAIN = 200
 KEPT = 400_000
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
+def parse_ranks(data: bytes) -> dict[bytes, int]:
     """The tokens of a rank file, by their bytes."""
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines())}
+
+
+def read_file(path: str) -> bytes:
     with open(path, "rb") as file:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        return file.read()
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    return parse_ranks(read_file(path))
 
 
 def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -198,8 +206,16 @@ def lookahead_of(path: str) -> int:
     return sufficient_lookahead(read_ranks(path))
 
 
-def _file(name: str, folder: str) -> str:
-    return f"{folder}/{name}.tiktoken"
+@lru_cache(4)
+def _encoder_of(data: bytes, lookahead: int) -> Encoder:
+    return Encoder(parse_ranks(data), lookahead)
+
+
+def shared_encoder(df: DataFrame, name: str, folder: str) -> Callable[[], Encoder]:
+    """What a worker calls for its encoder: the vocabulary file (about 1 MB) is read by the driver alone and sent along."""
+    path = f"{folder}/{name}.tiktoken"
+    shared = df.sparkSession.sparkContext.broadcast((read_file(path), lookahead_of(path)))
+    return lambda: _encoder_of(*shared.value)
 
 
 def encoded(
@@ -210,13 +226,12 @@ def encoded(
     A null or empty text has an empty list; blank texts are encoded as they are. Repeated rows come out as often as they come
     in; further columns are ignored.
     """
-    path = _file(name, folder)
-    lookahead = lookahead_of(path)
+    own_encoder = shared_encoder(texts, name, folder)
     narrow = spread(texts.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text")))
     schema = pa.schema([(key, pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, lookahead)
+        own = own_encoder()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
@@ -232,12 +247,11 @@ def encoded(
 
 def decoded(rows: DataFrame, key: str, ids: str, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """(key, text) of every row; a null list has a null text, an empty one an empty text."""
-    path = _file(name, folder)
-    lookahead = lookahead_of(path)
+    own_encoder = shared_encoder(rows, name, folder)
     schema = pa.schema([(key, pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, lookahead)
+        own = own_encoder()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
@@ -250,14 +264,13 @@ def decoded(rows: DataFrame, key: str, ids: str, name: str = "byte_bpe_50k", fol
 
 def round_trip(texts: DataFrame, key: str, text: str, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """(key, tokens, characters, same) of every row: whether decoding its ids gives its text; null texts count as empty."""
-    path = _file(name, folder)
-    lookahead = lookahead_of(path)
+    own_encoder = shared_encoder(texts, name, folder)
     narrow = spread(texts.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text")))
     fields = [(key, pa.int64()), ("tokens", pa.int64()), ("characters", pa.int64()), ("same", pa.bool_())]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, lookahead)
+        own = own_encoder()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
