@@ -22,6 +22,7 @@ def build_session(app: str = "citelens", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.variant.allowDuplicateKeys": "true",  # valid JSON may repeat a name
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("__", "."): str(v) for k, v in conf.items()}
     for key, value in settings.items():
