@@ -96,66 +96,49 @@ def cosine_join(
     return dots.where(F.col("cosine") >= threshold)
 
 
+def _packed(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """(name_ids, name_data): unit vectors, one row an Arrow batch; null vectors and those of length 0 are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = [x for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if x[1] is not None]
+            if not known:
+                continue
+            ids, matrix = np.array([x[0] for x in known], np.int64), np.array([x[1] for x in known], np.float64)
+            norms = np.linalg.norm(matrix, axis=1)
+            ids, matrix = ids[norms > 0], matrix[norms > 0] / norms[norms > 0, None]
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tolist()]), pa.array([matrix.tobytes()])], [f"{name}_ids", f"{name}_data"])
+
+    return df.select(F.col(key).cast("bigint"), vector).mapInArrow(run, f"{name}_ids array<bigint>, {name}_data binary")
+
+
 def nearest_vectors(
     vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 5, block: int = 2048
 ) -> DataFrame:
     """(query, key, similarity, position): the k rows of highest cosine for each query vector, itself left out.
 
-    The queries are taken in blocks of a fixed size. A partition's candidates for a block come from one matrix product and
-    are cut to k before they are shuffled, so that a query receives k rows from each partition and not all rows. Null vectors
-    and those of length 0 are left out.
+    Queries are packed into blocks, the rows into Arrow batches, and every block meets every batch as one matrix product, whose
+    result is cut to k for each query before it is shuffled. Blocks are distributed like any rows; the optimizer broadcasts them
+    only where their measured size allows it. Null vectors and those of length 0 are left out.
     """
-    spark = vectors.sparkSession
-    schema = f"query bigint, `{key}` bigint, similarity double"
-    out = None
-    rows = queries.where(F.col(vector).isNotNull()).select(key, vector).toLocalIterator()
-    batch: list = []
-
-    def one_block(batch: list) -> DataFrame:
-        ids = np.array([r[0] for r in batch], np.int64)
-        matrix = np.array([r[1] for r in batch], np.float64)
-        norms = np.linalg.norm(matrix, axis=1)
-        ids, matrix = ids[norms > 0], matrix[norms > 0] / norms[norms > 0, None]
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            best_s = np.full((len(qid), 0), 0.0)
-            best_i = np.full((len(qid), 0), 0, np.int64)
-            for b in batches:
-                v = [x for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x[1] is not None]
-                if not v:
-                    continue
-                own = np.array([x[0] for x in v], np.int64)
-                m = np.array([x[1] for x in v], np.float64)
-                length = np.linalg.norm(m, axis=1)
-                own, m = own[length > 0], m[length > 0] / length[length > 0, None]
-                s = q @ m.T
-                s[qid[:, None] == own[None, :]] = -np.inf
-                s = np.round(s, 9)
-                best_s = np.concatenate([best_s, s], 1)
-                best_i = np.concatenate([best_i, np.broadcast_to(own, s.shape)], 1)
-                order = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            ok = np.isfinite(best_s)
-            q_of = np.broadcast_to(qid[:, None], best_s.shape)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q_of[ok]), pa.array(best_i[ok]), pa.array(best_s[ok])], names=["query", key, "similarity"]
-            )
-
-        return vectors.select(F.col(key).cast("bigint"), vector).mapInArrow(run, schema)
-
-    def add(out: DataFrame | None, batch: list) -> DataFrame:
-        made = one_block(batch)
-        return made if out is None else out.unionByName(made)
-
-    for r in rows:
-        batch.append(r)
-        if len(batch) == block:
-            out, batch = add(out, batch), []
-    if batch:
-        out = add(out, batch)
-    if out is None:
-        return spark.createDataFrame([], schema + ", position int")
+    n = queries.count()
+    asked = _packed(queries.repartition(max(1, -(-n // block))), key, vector, "q")
+    stored = _packed(vectors, key, vector, "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, own = (np.array(x, np.int64) for x in (row[0], row[2]))
+                q, v = (np.frombuffer(data).reshape(len(x), -1) for x, data in ((ids, row[1]), (own, row[3])))
+                scores = np.round(q @ v.T, 9)
+                scores[ids[:, None] == own[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
+                best = np.take_along_axis(scores, order, 1)
+                ok = np.isfinite(best)
+                columns = [np.broadcast_to(ids[:, None], best.shape)[ok], own[order][ok], best[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", key, "similarity"])
+
+    met = asked.crossJoin(stored).select("q_ids", "q_data", "v_ids", "v_data").mapInArrow(run, f"query bigint, `{key}` bigint, similarity double")
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return out.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+    return met.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
