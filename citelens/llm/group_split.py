@@ -25,17 +25,19 @@ from citelens.functions.site import site_of
 from citelens.staging import stage
 
 
+def _jumped(paths: DataFrame) -> DataFrame:
+    """(site, root, moved): every path is as long again as it was."""
+    up = paths.select(F.col("site").alias("root"), F.col("root").alias("next"))
+    return paths.join(up, "root", "left").select(
+        "site", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
+    )
+
+
 def _forest_roots(parents: DataFrame) -> DataFrame:
-    """(site, root) from (site, parent): pointer jumping until nothing changes."""
+    """(site, root) from (site, parent): pointer jumping, two jumps a written step, until nothing changes."""
     paths = stage(parents.select("site", F.col("parent").alias("root")), "split-roots")
     while True:
-        up = paths.select(F.col("site").alias("root"), F.col("root").alias("next"))
-        jumped = stage(
-            paths.join(up, "root", "left").select(
-                "site", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
-            ),
-            "split-roots",
-        )
+        jumped = stage(_jumped(_jumped(paths).drop("moved")), "split-roots")
         paths = jumped.select("site", "root")
         if jumped.where("moved").isEmpty():
             return paths
