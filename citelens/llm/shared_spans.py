@@ -1,12 +1,15 @@
 """Problem 6: long stretches that stand verbatim in a passage row and in a line of a page.
 
-Spans of whole sentences can't give the required result: a case is any ``least`` consecutive characters, and most begin
-and end inside a sentence. The sliding spans are therefore runs of GRAM characters instead of runs of sentences; the rest
-of the method is kept: hash the spans, join globally, mark what repeated spans cover.
+Sliding sentence spans: from every sentence on, the shortest run of consecutive sentences that reaches ``least`` characters is
+hashed, the hashes are joined globally, and what meets is verified and extended to its full length on the texts. Two texts
+that share whole sentences of that length share such a run, from the first of them on.
 
-Of the spans of each stretch of ``least`` characters only the one with the smallest hash is kept (a minimizer), so that
-either side sends about two spans per ``least - GRAM`` characters, and equal stretches always send an equal span: no case
-is lost. Texts are compared by class: a line that stands on many pages, or a sentence in many rows, is hashed and compared
+A case is any ``least`` consecutive characters, though, and may begin and end within a sentence, where no run of sentences is
+equal. So that none is lost, spans of GRAM characters are hashed beside the runs; of each stretch of ``least`` characters only
+the one with the smallest hash is kept (a minimizer), about two spans per ``least - GRAM`` characters, and equal stretches
+always send an equal span. ``inside=False`` leaves these out, to see what the runs of sentences find alone.
+
+Texts are compared by class: a line that stands on many pages, or a sentence in many rows, is hashed and compared
 once, and its class's members (page and line number, row and side) take over what is found. Classes have 128-bit keys.
 
 Scale. Spans meet in one shuffled join on the 64-bit hash, of which adaptive execution splits a hot key. Only lines that
@@ -79,7 +82,39 @@ def collapse(text: str | None) -> str:
     return _SPACE.sub(" ", text) if text else ""
 
 
-def _texts(rows: DataFrame, split: Callable[..., list[tuple[int, str]]], least: int) -> DataFrame:
+#: Between sentences: white space, and signs around it, after the end of one.
+_SENTENCE_END = re.compile(r"(?<=[.!?…:;])[\s\"“”»)]+")
+
+
+def sentence_runs(text: str, least: int = LEAST) -> list[str]:
+    """From each sentence on, the shortest run of consecutive sentences that has ``least`` characters, if there is one."""
+    parts = [x for x in _SENTENCE_END.split(text) if x]
+    out, end, size = [], 0, -1
+    for start in range(len(parts)):
+        while size < least and end < len(parts):
+            size += len(parts[end]) + 1
+            end += 1
+        if size < least:
+            break
+        out.append(" ".join(parts[start:end]))
+        size -= len(parts[start]) + 1
+    return out
+
+
+def _hash(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
+def spans_of(texts: list[str], least: int, inside: bool) -> tuple[list[int], list[int]]:
+    """(ends, hashes): the spans of each text one after the other; ends[i] is where those of text i end."""
+    found = [[int.from_bytes(_hash(x)[:8], "little", signed=True) for x in sentence_runs(text, least)] for text in texts]
+    if inside:
+        for h, i in zip(*(x.tolist() for x in minimizers(texts, least))):
+            found[i].append(h)
+    return np.cumsum([0, *map(len, found)]).tolist(), [h for own in found for h in own]
+
+
+def _texts(rows: DataFrame, split: Callable[..., list[tuple[int, str]]], least: int, inside: bool) -> DataFrame:
     """(id, part, key, text, spans): the texts of at least ``least`` characters of each row, which has its id first."""
     schema = pa.schema(
         [("id", pa.int64()), ("part", pa.int32()), ("key", pa.binary()), ("text", pa.string()), ("spans", pa.list_(pa.int64()))]
@@ -95,26 +130,24 @@ def _texts(rows: DataFrame, split: Callable[..., list[tuple[int, str]]], least:
                             ids.append(own)
                             parts.append(part)
                             texts.append(text)
-                h, owner = minimizers(texts, least)
-                ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-                keys = [hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() for x in texts]
-                arrays = [pa.array(x, t) for x, t in zip((ids, parts, keys, texts), schema.types)]
-                spans = pa.ListArray.from_arrays(pa.array(ends), pa.array(h))
+                ends, hashes = spans_of(texts, least, inside)
+                arrays = [pa.array(x, t) for x, t in zip((ids, parts, map(_hash, texts), texts), schema.types)]
+                spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*arrays, spans], schema=schema)
 
     return rows.mapInArrow(run, "id bigint, part int, key binary, text string, spans array<bigint>")
 
 
-def page_texts(pages: DataFrame, least: int = LEAST) -> DataFrame:
+def page_texts(pages: DataFrame, least: int = LEAST, inside: bool = True) -> DataFrame:
     """(id, part, key, text, spans): the lines of each page; part is the line's number."""
     narrow = spread(pages.select("page_id", "html").where(F.length("html") >= least)).where("page_id is not null")
-    return _texts(narrow, lambda html: list(enumerate(page_lines(html))), least)
+    return _texts(narrow, lambda html: list(enumerate(page_lines(html))), least, inside)
 
 
-def passage_texts(passages: DataFrame, least: int = LEAST) -> DataFrame:
+def passage_texts(passages: DataFrame, least: int = LEAST, inside: bool = True) -> DataFrame:
     """(id, part, key, text, spans): both sentences of each row; part is 0 for aio_sentence, 1 for source_sentence."""
     narrow = passages.select("match_id", "aio_sentence", "source_sentence").where("match_id is not null")
-    return _texts(narrow, lambda *both: list(enumerate(map(collapse, both))), least)
+    return _texts(narrow, lambda *both: list(enumerate(map(collapse, both))), least, inside)
 
 
 def shared_runs(text: str, line: str, least: int = LEAST) -> list[tuple[int, int, int]]:
@@ -171,8 +204,8 @@ def class_runs(sentences: DataFrame, lines: DataFrame, least: int = LEAST) -> Da
     return map_many(texts.select("passage_key", "line_key", "text", "line"), _verify(least), _RUNS, _RUNS_DDL)
 
 
-def _staged(passages: DataFrame, pages: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sentences, lines = stage(passage_texts(passages, least), "span-passages"), stage(page_texts(pages, least), "span-lines")
+def _staged(passages: DataFrame, pages: DataFrame, least: int, inside: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sentences, lines = stage(passage_texts(passages, least, inside), "span-passages"), stage(page_texts(pages, least, inside), "span-lines")
     return sentences, lines, stage(class_runs(sentences, lines, least), "span-runs")
 
 
@@ -195,9 +228,9 @@ def shared_spans(passages: DataFrame, pages: DataFrame, least: int = LEAST) -> D
     )
 
 
-def shared_pairs(passages: DataFrame, pages: DataFrame, least: int = LEAST) -> DataFrame:
+def shared_pairs(passages: DataFrame, pages: DataFrame, least: int = LEAST, inside: bool = True) -> DataFrame:
     """(match_id, page_id) of the rows and pages that share a run."""
-    sentences, lines, runs = _staged(passages, pages, least)
+    sentences, lines, runs = _staged(passages, pages, least, inside)
     pairs = runs.select("passage_key", "line_key").distinct()
     one, two = _members(sentences, "passage_key", "match_id", "side"), _members(lines, "line_key", "page_id", "line_no")
     met = pairs.join(one.drop("side").distinct(), "passage_key").join(two.drop("line_no").distinct(), "line_key")
@@ -242,27 +275,3 @@ def shared_sizes(passages: DataFrame, pages: DataFrame, least: int = LEAST) -> D
         )
         out = part if out is None else out.unionByName(part)
     return out
-
-
-#: Ends of sentences, as the named method cuts texts.
-_SENTENCE_END = re.compile(r"(?<=[.!?…:;])[\s\"“”»)]+")
-
-
-def sentence_runs(text: str, most: int) -> list[str]:
-    """The runs of 1 to ``most`` consecutive sentences of a text."""
-    parts = [x for x in _SENTENCE_END.split(text) if x]
-    return [" ".join(parts[i : i + k]) for k in range(1, most + 1) for i in range(len(parts) - k + 1)]
-
-
-def sentence_pairs(passages: DataFrame, pages: DataFrame, least: int = LEAST, most: int = 5) -> DataFrame:
-    """(match_id, page_id) by the method as named, to measure what it finds: equal runs of whole sentences."""
-
-    def runs(texts: DataFrame, own: str) -> DataFrame:
-        schema = pa.schema([("id", pa.int64()), ("run", pa.string())])
-        each = map_many(
-            texts.select("id", "text"), lambda i, text: [(i, x) for x in sentence_runs(text, most) if len(x) >= least], schema, "id bigint, run string"
-        )
-        return each.select(F.col("id").alias(own), F.md5("run").alias("run")).distinct()
-
-    one, two = runs(passage_texts(passages, least), "match_id"), runs(page_texts(pages, least), "page_id")
-    return one.join(two, "run").select("match_id", "page_id").distinct()

@@ -215,13 +215,27 @@ def test_shared_spans_against_all_substrings(spark):
 
 
 def test_sentence_runs(spark):
-    assert shared_spans.sentence_runs("Eins ist da. Zwei auch! Drei", 2) == ["Eins ist da.", "Zwei auch!", "Drei", "Eins ist da. Zwei auch!", "Zwei auch! Drei"]
+    text = "Eins ist da. Zwei auch! Drei"
+    assert shared_spans.sentence_runs(text, 12) == ["Eins ist da.", "Zwei auch! Drei"] and shared_spans.sentence_runs(text, 13) == ["Eins ist da. Zwei auch!", "Zwei auch! Drei"]
+    assert shared_spans.sentence_runs(text, 99) == shared_spans.sentence_runs("", 1) == []
     p = spark.createDataFrame([(1, "A" * 60 + ". " + "B" * 60 + ". C", None, 0, ""), (2, "x" * 120, "A" * 60 + ".", 0, "")], PASSAGES)
     q = spark.createDataFrame([page(7, "u", "<p>D. " + "A" * 60 + ". " + "B" * 60 + ".</p>"), page(8, "u", "<p>y" + "x" * 120 + "</p>")], PAGES)
-    assert [tuple(x) for x in shared_spans.sentence_pairs(p, q).collect()] == [(1, 7)]
+    assert [tuple(x) for x in shared_spans.shared_pairs(p, q, inside=False).collect()] == [(1, 7)]
     assert {tuple(x) for x in shared_spans.shared_pairs(p, q).collect()} == {(1, 7), (2, 8)}
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_shared_sentences_share_a_run(seed):
+    import random
+
+    r = random.Random(seed)
+    sentence = lambda: "w" * r.randrange(5, 80) + str(r.random()) + r.choice(".!?")
+    shared = [sentence() for _ in range(r.randrange(1, 6))]
+    one, two = (" ".join([sentence() for _ in range(r.randrange(3))] + shared + [sentence() for _ in range(r.randrange(3))]) for _ in range(2))
+    met = set(shared_spans.sentence_runs(one)) & set(shared_spans.sentence_runs(two))
+    assert bool(met) == (len(" ".join(shared)) >= 100)
+
+
 def test_minimizers_always_meet():
     import random
 
