@@ -149,6 +149,11 @@ def _union(languages: tuple[str, ...]) -> frozenset[str]:
     return frozenset().union(*(_LETTERS[k] for k in languages))
 
 
+def _letter(c: str) -> bool:
+    """Whether a character is a letter of a word, which a modifier such as ˆ isn't."""
+    return c.isalpha() and not "\u02b0" <= c <= "\u02ff"
+
+
 def garbling_cost(part: str, before: str, after: str, own: frozenset[str]) -> float:
     """Cost of ``part`` between the characters ``before`` and ``after``; ``own``: the language's letters."""
     cost = 0.0
@@ -161,7 +166,7 @@ def garbling_cost(part: str, before: str, after: str, own: frozenset[str]) -> fl
             continue
         if "\x80" <= c <= "\x9f" or c == "�" or "" <= c <= "":
             cost += 3
-        elif c.isalpha():
+        elif _letter(c):
             if c not in own and c not in _USUAL:
                 cost += 0.1 if c in _BASIC_OTHER else 0.5 if c in _WEST else 1
             if last.isalpha():
@@ -192,6 +197,8 @@ def _utf8_step(text: str, table: dict[int, str], own: frozenset[str], lower: boo
             meant = meant.lower()
         before, after = text[start - 1 : start] or " ", text[end : end + 1] or " "
         drop = garbling_cost(text[start:end], before, after, own) - garbling_cost(meant, before, after, own)
+        if before.isalpha() and after.isalpha() and meant.isalpha() and not any(map(_letter, text[start:end])):
+            drop += 1  # signs alone between letters
         if drop >= 0.5:
             out += [text[at:start], meant]
             at, gain = end, gain + drop
@@ -204,7 +211,7 @@ def _telling(word: str, meant: str, own: frozenset[str], ordinary: bool) -> bool
         if a == b or a < "\x80":
             continue
         before, after = word[i - 1 : i], word[i + 1 : i + 2]
-        if not a.isalpha() and before.isalpha() and after.isalpha() and (b.isalpha() or b in _JOINING):
+        if not _letter(a) and before.isalpha() and after.isalpha() and (b.isalpha() or b in _JOINING):
             if not ordinary or a not in _QUOTES or b in own and before.islower() and after.islower():
                 return True
         if a.isupper() and before.islower() and after.islower() and (b in _JOINING and a not in own or ordinary and b.islower() and b in own):

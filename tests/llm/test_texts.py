@@ -203,6 +203,11 @@ def test_signs_as_letters(garbled, meant):
     assert encoding_repair.repair("Donât sign it in the house")[2] and not encoding_repair.repair("l'âge et le pâté dans la maison")[2]
 
 
+def test_names_in_foreign_texts():
+    assert encoding_repair.repair("the house in K√§uzfurt, a village") == ("the house in Käuzfurt, a village", 1, False)
+    assert encoding_repair.repair("in Wˆlkhausen, a village that is below") == ("in Wölkhausen, a village that is below", 1, False)
+
+
 def test_letters_of_a_text():
     letters = encoding_repair.letters_of
     assert letters("das ist für die Größe") == frozenset(encoding_repair.LETTERS["de"])
