@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,16 +104,42 @@ def shuffle_within(df: DataFrame, group: Sequence[str], key: str, value: str, se
     return here.join(there.drop(key), [*group, "_p"]).drop(value, "_p").withColumnRenamed("_v", value)
 
 
-def bootstrap_counts(groups: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:
-    """(rep, group, times): how often each replicate draws each group; Poisson(1), from a hash."""
-    reps = groups.select(group).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = hash_unit(group, "rep", seed)
-    # cumulative Poisson(1) probabilities up to 7
+def _poisson_steps() -> list[float]:
+    """The cumulative probabilities of Poisson(1) up to 7."""
     p, total, steps = 0.36787944117144233, 0.0, []
     for i in range(1, 9):
         total += p
         steps.append(total)
         p /= i
+    return steps
+
+
+def _xxhash_int(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of an int with the hash so far as the seed."""
+    p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (h + (p5 + np.uint64(4))) ^ (value * p1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    for shift, factor in ((33, p2), (29, p3)):
+        h ^= h >> np.uint64(shift)
+        h *= factor
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def times_drawn(hashes: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """groups x replicates: the counts of ``bootstrap_counts``; ``hashes`` are the groups' xxhash64."""
+    reps, last = np.arange(replicates, dtype=np.uint64)[None, :], np.array(seed & 0xFFFFFFFF, np.uint64)
+    u = _xxhash_int(_xxhash_int(hashes.view(np.uint64)[:, None], reps), last) & np.uint64((1 << 40) - 1)
+    out = np.zeros(u.shape, np.uint8)
+    for step in _poisson_steps():
+        out += u >= np.uint64(math.ceil(step * (1 << 40)))
+    return out
+
+
+def bootstrap_counts(groups: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:
+    """(rep, group, times): how often each replicate draws each group; Poisson(1), from a hash."""
+    reps = groups.select(group).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u, steps = hash_unit(group, "rep", seed), _poisson_steps()
     times = sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
     return reps.withColumn("times", times).where("times > 0")
 

@@ -279,13 +279,8 @@ def permutation_null_rank_ap(spark: SparkSession, folder: str) -> DataFrame:
 def bootstrap_ap_difference(spark: SparkSession, folder: str) -> DataFrame:
     """AP of passage score minus rank score over 400 resamples of the queries: mean, 95 % range, share above 0."""
     x = scored(spark, folder)
-    drawn = validation.bootstrap_counts(x.select("query_id").distinct(), "query_id", 400, 11)
-    long = x.unpivot(["query_id", "y"], ["s", "m"], "model", "score").where("score is not null")
-    grouped = long.groupBy("query_id", "model", "score").agg(F.sum("y").alias("tp"), F.count("*").alias("n"))
-    weighted = grouped.join(drawn, "query_id").groupBy("rep", "model", "score").agg(
-        F.sum(F.col("tp") * F.col("times")).alias("tp"), F.sum(F.col("n") * F.col("times")).alias("n")
-    )
-    ap = metrics.weighted_ap(weighted, "score", ["rep", "model"])
+    long = x.unpivot(["query_id", "y"], ["s", "m"], "model", "score")
+    ap = metrics.resampled_ap(long, "query_id", "score", "y", "model", 400, 11)
     wide = ap.groupBy("rep").pivot("model", ["s", "m"]).agg(F.first("ap"))
     gap = F.col("m") - F.col("s")
     return wide.agg(

@@ -195,14 +195,10 @@ def generalisation_matrix(spark: SparkSession, folder: str) -> DataFrame:
 def bootstrap_difference(scores: DataFrame, a: str, b: str, replicates: int, seed: int) -> DataFrame:
     """(mean, low, high, share_above): AP of model ``b`` minus that of ``a`` over resamples of the groups.
 
-    ``scores`` are (setting, group, label, score). A resample is a table of how often it draws each group.
+    ``scores`` are (setting, group, label, score).
     """
-    drawn = validation.bootstrap_counts(scores.select("group").distinct(), "group", replicates, seed)
-    own = scores.where(F.col("setting").isin(a, b)).groupBy("group", "setting", "score").agg(F.sum("label").alias("tp"), F.count("*").alias("n"))
-    weighted = own.join(drawn, "group").groupBy("rep", "setting", "score").agg(
-        F.sum(F.col("tp") * F.col("times")).alias("tp"), F.sum(F.col("n") * F.col("times")).alias("n")
-    )
-    ap = metrics.weighted_ap(weighted, "score", ["rep", "setting"])
+    own = scores.where(F.col("setting").isin(a, b))
+    ap = metrics.resampled_ap(own, "group", "score", "label", "setting", replicates, seed)
     gap = ap.groupBy("rep").agg((F.max(F.when(F.col("setting") == b, F.col("ap"))) - F.max(F.when(F.col("setting") == a, F.col("ap")))).alias("gap"))
     return gap.agg(  # one row a replicate
         F.avg("gap").alias("mean"), F.percentile("gap", F.lit(0.025)).alias("low"), F.percentile("gap", F.lit(0.975)).alias("high"),

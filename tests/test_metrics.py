@@ -173,3 +173,27 @@ def test_relational_edges(spark):
     assert relational.impute_median(df.where("v is null"), ["v"]).first()["v"] == 0.0
     quota = relational.quota(spark.createDataFrame([("q", i, int(i == 5)) for i in range(6)], "q string, r int, c int"), ["q"], [F.col("r")], F.col("c") == 1, 2)
     assert sorted(r["r"] for r in quota.collect()) == [0, 1, 5]
+
+
+def test_resampled_ap_draws_as_the_table_of_counts_does(spark):
+    r = np.random.default_rng(4)
+    rows = [(m, f"g{i % 31}", int(y), float(s)) for m, s_ in (("a", r.integers(0, 4, 3000)), ("b", r.normal(size=3000))) for i, (y, s) in enumerate(zip(r.integers(0, 2, 3000), s_))]
+    rows += [("a", None, 1, 9.0), ("b", "g1", 1, None), ("c", "g1", 0, 1.0)]
+    df = spark.createDataFrame(rows, "model string, g string, y int, s double").repartition(5)
+    got = {(x["model"], x["rep"]): x["ap"] for x in metrics.resampled_ap(df, "g", "s", "y", "model", 20, -7).collect()}
+    groups = spark.createDataFrame([(f"g{i}",) for i in range(31)], "g string")
+    times = {(x["rep"], x["g"]): x["times"] for x in validation.bootstrap_counts(groups, "g", 20, -7).collect()}
+    for m in "ab":
+        for rep in range(20):
+            own = [(y, s) for k, g, y, s in rows if k == m and g and s is not None for _ in range(times.get((rep, g), 0))]
+            assert got[m, rep] == pytest.approx(plain_ap([y for y, _ in own], [s for _, s in own]))
+    assert got["c", 0] is None
+
+
+def test_bootstrap_makes_no_table_of_groups_times_replicates(spark, tmp_path):
+    from citelens.plans.metric_queries import bootstrap_ap_difference
+
+    rows = [(i, f"q{i % 50}", i % 3 % 2, i % 29 + 1, i % 7 / 7) for i in range(1000)]
+    spark.createDataFrame(rows, "row_id int, query_id string, cited int, organic_rank int, passage_match_score double").write.parquet(f"{tmp_path}/candidates.parquet")
+    df = bootstrap_ap_difference(spark, str(tmp_path))
+    assert "explode" not in df._jdf.queryExecution().toString() and df.first()["low"] <= df.first()["mean_gap"] <= df.first()["high"]
