@@ -106,3 +106,29 @@ def test_themes(spark):
     q = spark.createDataFrame([(f"was kostet ein gutachten in stadt {i % 3}",) for i in range(30)] + [(f"wie finde ich einen makler {i % 4}",) for i in range(30)], "q string")
     out, labels = models.question_themes(q, "q")
     assert out.count() == 7 and labels.count() == 2
+
+
+def test_many_fits_grow_the_trees_of_single_ones(rows):
+    from citelens.operators import many_fits
+
+    numbered = rows.withColumn("other", 1 - F.col("label")).cache()
+    scale = {"organic_rank": 4, "word_count": 600, "query_url_similarity": 0.15, "passage_match_score": 0.15}
+    few = numbered.withColumns({c: F.least(F.round(F.col(c) / m), F.lit(9.0)) for c, m in scale.items()})
+    fits = [
+        many_fits.Fit({"name": n, "fold": k}, F.col("fold") != k, F.col("fold") == k, label, NUMERIC)
+        for n, label in (("own", "label"), ("other", "other")) for k in range(3)
+    ] + [many_fits.Fit({"name": "none", "fold": 0}, F.col("fold") < 0, F.col("fold") == 0, "label", NUMERIC, least=1)]
+    got = many_fits.fit_and_score(few, fits, key="id", trees=5, share=1.0).cache()
+    assert {r["name"] for r in got.select("name").distinct().collect()} == {"own", "other"}
+    assert got.where("name = 'own'").count() == rows.count()
+
+    def make():
+        one = models.gbt(NUMERIC, ["content_type"], trees=5)
+        one.getStages()[-1].setSubsamplingRate(1.0).setMaxBins(256)
+        return one
+
+    for name, label in (("own", "label"), ("other", "other")):
+        expected = models.out_of_fold(few.withColumn("label", F.col(label)), "fold", 3, make, "id")
+        both = expected.withColumnRenamed("score", "e").join(got.where(F.col("name") == name), "id")
+        assert both.count() == rows.count()
+        assert both.where("abs(e - score) > 1e-9").count() == 0
