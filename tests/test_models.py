@@ -132,3 +132,73 @@ def test_many_fits_grow_the_trees_of_single_ones(rows):
         both = expected.withColumnRenamed("score", "e").join(got.where(F.col("name") == name), "id")
         assert both.count() == rows.count()
         assert both.where("abs(e - score) > 1e-9").count() == 0
+
+
+def test_definitive_analysis_grows_the_original_trees(spark, monkeypatch):
+    """300 rounds of 31 leaves on all rows, as in the original analysis, not ten small trees."""
+    from citelens.plans import programs
+
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def record(rows, fits, **how):
+        seen.update(how, fits=len(fits))
+        raise Stop
+
+    few = spark.createDataFrame([(1, "q", "d", 1.0)], "row_id bigint, group string, domain string, label double")
+    monkeypatch.setattr(programs, "training_rows", lambda *_: few)
+    monkeypatch.setattr(programs, "_with_folds", lambda rows, name, by: rows.withColumn(name, F.lit(0)))
+    monkeypatch.setattr(programs, "stage", lambda df, label: df)
+    monkeypatch.setattr(programs, "fit_and_score", record)
+    with pytest.raises(Stop):
+        programs.definitive_analysis(spark, "")
+    assert seen == {"trees": 300, "step": 0.05, "depth": None, "leaves": 31, "least_rows": 20, "bins": 255, "columns": 0.9, "share": 1.0, "fits": 165}
+
+
+def test_trees_open_leaves_by_gain(monkeypatch):
+    from citelens.operators import many_fits
+
+    r = np.random.default_rng(5)
+    widths, n = [2, 3, 40, 200, 2, 4], 4000
+    bins = np.stack([r.integers(0, w, n) for w in widths]).astype(np.uint8)
+    y = r.random(n) < np.where((bins[2] > 20) ^ (bins[3] > 90), 0.8, 0.2) * np.where(bins[5] == 2, 0.5, 1)
+
+    def grown(weights=(1.0, 1.0), bins=bins, y=y, **other):
+        how = {"trees": 4, "step": 0.05, "depth": None, "leaves": 31, "least_rows": 20, "share": 1.0, "columns": 1.0, "seed": 1} | other
+        blocks = ((bins[:, a : a + 700], y[a : a + 700], np.arange(a, min(a + 700, n)).astype(np.uint64)) for a in range(0, n, 700))
+        return many_fits.grow(blocks, n, widths, weights, many_fits.Growth(**how))
+
+    forest = grown()
+    for at in range(4):
+        sizes = np.unique(forest.values(at, bins), return_counts=True)[1]
+        assert (forest.feature[at] >= 0).sum() == 30 and sizes.min() >= 20 and sizes.sum() == n
+    assert all(len(grown(leaves=None, depth=d).feature[0]) == 2 ** (d + 1) - 1 for d in (1, 3))
+    # the first split, counted plainly
+    target, gains = np.where(y, 1.0, -1.0), {}
+    ways = [(f, cut, bins[f] <= cut) for f in range(5) for cut in range(widths[f] - 1)]
+    ways += [(5, own, np.isin(bins[5], own)) for own in ([0], [1], [2], [3], [0, 1], [0, 2], [0, 3])]
+    for f, own, left in ways:
+        if min(left.sum(), n - left.sum()) >= 20:
+            gains[f, str(own)] = target[left].sum() ** 2 / left.sum() + target[~left].sum() ** 2 / (~left).sum()
+    assert max(gains, key=gains.get) == (5, "[2]") and forest.feature[0, 0] == 5 and forest.sets[0, 0].tolist() in ([False, False, True, False], [True, True, False, True])
+    numeric = grown(leaves=2, columns=0.5, seed=next(s for s in range(99) if 5 not in np.random.default_rng((s, 0)).permutation(6)[:3]))
+    assert numeric.feature[0, 0] < 5 and (numeric.feature[0, 1:] == -1).all()
+    # each leaf has its rows' mean target, also where a round draws of the rows, and from files
+    for other in ({}, {"share": 0.8}, {"weights": (0.5, 3.0)}):
+        own, margin = grown(**other), np.zeros(n)
+        w = np.where(y, *other.get("weights", (1.0, 1.0))[::-1])
+        if not other.get("share"):
+            for at in range(4):
+                t = 4 * target / (1 + np.exp(2 * target * margin)) if at else target
+                value = own.values(at, bins)
+                for v in np.unique(value):
+                    assert np.average(t[value == v], weights=w[value == v]) == pytest.approx(v)
+                margin += (0.05 if at else 1.0) * value
+        monkeypatch.setattr(many_fits, "IN_MEMORY", 0)
+        assert (grown(**other).margins(bins, 0.05) == own.margins(bins, 0.05)).all()
+        monkeypatch.undo()
+    assert (grown(columns=0.5).feature != forest.feature).any()
+    mixed = r.permutation(n)
+    assert (grown(bins=bins[:, mixed], y=y[mixed], trees=20).margins(bins, 0.05) == grown(trees=20).margins(bins, 0.05)).all()
